@@ -29,7 +29,7 @@ def clean_int(c: Column | str) -> Column:
     Leading blanks, a sign and an exponent are read ('1e3' is 1000), anything
     after the number is dropped.  Numbers beyond 64 bits stop at the largest.
     """
-    c = as_column(c)
+    c = F.coalesce(as_column(c), F.lit(""))
     whole, scientific = F.regexp_extract(c, _WHOLE, 1), F.regexp_extract(c, _SCIENTIFIC, 1)
     top = F.lit(2**63 - 1)
     real = scientific.try_cast("double")
@@ -39,7 +39,7 @@ def clean_int(c: Column | str) -> Column:
         .when(whole.startswith("-"), 0)
         .otherwise(F.coalesce(whole.try_cast("bigint"), top))
     )
-    return F.greatest(F.lit(0).cast("bigint"), F.coalesce(value.cast("bigint"), F.lit(0)))
+    return F.greatest(F.lit(0).cast("bigint"), value.cast("bigint"))
 
 
 def zero_to_null(c: Column | str) -> Column:

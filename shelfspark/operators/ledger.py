@@ -5,24 +5,26 @@ none of it; a return when the member holds the loan it names.  Both rules read
 one book's stock and that book's open loans only, so books are independent, but
 within a book every answer may depend on all earlier ones.
 
-A book may draw a third of all requests, so one book is never one task.  The
-requests are range-partitioned by (book, time) into *slices* of bounded size.
-A slice can be replayed on its own once the state at its start is known, so the
-slices of a book that spans several are replayed from an assumed state, all at
-once; each slice reports the state at its end, which gives the true start of
-the next.  Slices whose assumption was wrong run again.  The first slice of a
-book always starts right and each round settles at least one more, so rounds
-end, and they end with exactly the answers of a serial replay.  While stock
-lasts, answers do not depend on its exact level, so such slices are accepted
-without another run and two or three rounds are the rule.
+Books with a moderate number of requests are replayed whole, many in parallel.
+A busy book may draw a third of all requests and is never one task: its requests
+are range-partitioned by (book, time) into *slices* of bounded size.  A slice can
+be replayed on its own once the state at its start is known, so all slices run
+at once from an assumed state; each reports the state at its end, which gives
+the true start of the next.  Slices whose assumption was wrong run again.  The
+first slice of a book always starts right and each round settles at least one
+more, so rounds end, and they end with exactly the answers of a serial replay.
+While stock lasts, answers do not depend on its exact level, so such slices
+stand without another run and two or three rounds are the rule.
 """
 
 from __future__ import annotations
 
 import dataclasses
 import math
+import sys
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +36,10 @@ from shelfspark.schema import BOOKS, BORROWS, USER, conform
 from shelfspark.session import work_folder, write_and_reread
 from shelfspark.tables import Tables
 
+# Tasks receive this module's functions with their code, so that executors work
+# without the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SLICE_ROWS = 250_000
 
 BORROW, RETURN_HELD, RETURN_LOAN = 0, 1, 2
@@ -249,20 +255,15 @@ def resolve(tables: Tables, requests: DataFrame, new_loan_id: Column) -> DataFra
     )
 
 
-def _starts(tables: Tables, sliced: DataFrame, spanning: DataFrame | None) -> DataFrame:
+def _starts(tables: Tables, sliced: DataFrame, spans: bool) -> DataFrame:
     """Stock and open loans of what each slice touches, as the tables have them."""
-    shelves = sliced.select("slice", "book_id").distinct()
-    stock = shelves.join(
-        tables.books.select(F.col("id").alias("book_id"), F.col("quantity").cast("long")), "book_id"
-    )
-    if spanning is None:
-        stock = stock.withColumn("spans", F.lit(False))
-    else:
-        # One book at most spans each boundary: no more rows than slices.
-        stock = stock.join(
-            F.broadcast(spanning.select("book_id", F.lit(True).alias("spans"))), "book_id", "left"
-        )
     pairs = sliced.select("slice", "book_id", "user_id").distinct()
+    stock = (
+        sliced.select("slice", "book_id")
+        .distinct()
+        .join(tables.books.select(F.col("id").alias("book_id"), "quantity"), "book_id")
+        .withColumn("spans", F.lit(spans))
+    )
     held = (
         tables.borrows.where(is_open("status") & F.col("returned_at").isNull())
         .select("book_id", "user_id", "id")
@@ -280,8 +281,8 @@ def _start_rows(stock: DataFrame, held: DataFrame) -> DataFrame:
         "book_id",
         F.lit(0).cast("long").alias("user_id"),
         F.lit(True).alias("shelf"),
-        F.coalesce("spans", F.lit(False)).alias("spans"),
-        "quantity",
+        "spans",
+        F.col("quantity").cast("long").alias("quantity"),
         F.lit(None).cast("array<long>").alias("held"),
     )
     loans = held.select(
@@ -347,68 +348,72 @@ def _wrong_slices(stock: DataFrame, held: DataFrame) -> DataFrame:
     return by_stock.unionByName(by_loans).distinct()
 
 
-def _replay_in_slices(tables: Tables, events: DataFrame, slices: int) -> DataFrame:
+def _replay_whole_books(tables: Tables, events: DataFrame, slices: int) -> DataFrame:
+    """Answers in one pass; each slice takes all requests of some books."""
+    number = F.pmod(F.xxhash64("book_id"), F.lit(slices)).cast("int")
+    sliced = events.withColumn("slice", number)
+    return _run(sliced, _starts(tables, sliced, spans=False)).where("row = 'answer'")
+
+
+def _replay_busy_books(tables: Tables, events: DataFrame, slices: int) -> DataFrame:
+    """Answers in rounds; each slice takes a stretch of time of one or two books."""
     spark = events.sparkSession
     folder = work_folder(spark)
-    ranged = (
-        events.repartitionByRange(slices, "book_id", "at_us", "request_id")
-        .withColumn("slice", F.spark_partition_id())
-    )
-    sliced = write_and_reread(ranged, f"{folder}/requests", "slice")
-    spanning = (
-        sliced.groupBy("book_id")
-        .agg(F.min("slice").alias("low"), F.max("slice").alias("high"))
-        .where("low < high")
-        .select("book_id")
-    )
-    # At most one book crosses each boundary, so this is smaller than the
-    # number of slices and safe to list and to broadcast.
-    spanning_books = [(row.book_id,) for row in spanning.collect()]
-    spanning = spark.createDataFrame(spanning_books, "book_id long")
+    stored = T.StructType([*_REPLAYED, T.StructField("round", T.IntegerType())])
+    pair = ["slice", "book_id"]
 
     def keep(replayed: DataFrame, number: int) -> DataFrame:
-        path = f"{folder}/replayed"
         replayed.withColumn("round", F.lit(number)).write.mode("append").partitionBy(
             "round", "row", "slice"
-        ).parquet(path)
-        return spark.read.schema(T.StructType([*_REPLAYED, T.StructField("round", T.IntegerType())])).parquet(path)
-
-    replayed = keep(_run(sliced, _starts(tables, sliced, spanning)), 1)
-    if not spanning_books:
-        return replayed.where("row = 'answer'")
-
-    hot = F.broadcast(spanning)
-    hot_requests = sliced.join(hot, "book_id", "left_semi")
-    # Which round holds the valid replay of each slice of a spanning book: one
-    # entry per slice and book, so about as many as there are slices.
-    valid: dict[tuple[int, int], int] = {
-        (row.slice, row.book_id): 1
-        for row in replayed.where("row = 'book'").select("slice", "book_id").collect()
-    }
+        ).parquet(f"{folder}/replayed")
+        return spark.read.schema(stored).parquet(f"{folder}/replayed")
+
+    def listed(rows: list[tuple], schema: str) -> DataFrame:
+        # (slice, book) pairs: a slice boundary adds one, a book adds one.
+        return F.broadcast(spark.createDataFrame(rows, schema))
+
+    ranged = events.repartitionByRange(slices, "book_id", "at_us", "request_id").withColumn(
+        "slice", F.spark_partition_id()
+    )
+    sliced = write_and_reread(ranged, f"{folder}/requests", "slice")
+    # The round whose replay of a slice counts.
+    valid = {(row.slice, row.book_id): 1 for row in sliced.select(*pair).distinct().collect()}
     number = 1
+    replayed = keep(_run(sliced, _starts(tables, sliced, spans=True)), number)
     while True:
-        versions = F.broadcast(
-            spark.createDataFrame(
-                [(s, b, r) for (s, b), r in valid.items()], "slice int, book_id long, round int"
-            )
-        )
-        current = replayed.join(versions, ["slice", "book_id", "round"], "left_semi")
+        rounds = [(*key, number) for key, number in valid.items()]
+        versions = listed(rounds, "slice int, book_id long, round int")
+        current = replayed.join(versions, [*pair, "round"], "left_semi")
         stock, held = _next_starts(current)
         wrong = [(row.slice, row.book_id) for row in _wrong_slices(stock, held).collect()]
         if not wrong:
-            settled = replayed.where("row = 'answer' AND round = 1").join(hot, "book_id", "left_anti")
-            return settled.unionByName(current.where("row = 'answer'"))
+            return current.where("row = 'answer'").drop("round")
         number += 1
-        todo = F.broadcast(spark.createDataFrame(wrong, "slice int, book_id long"))
-        again = ["slice", "book_id"]
+        todo = listed(wrong, "slice int, book_id long")
         starts = _start_rows(
-            stock.withColumn("spans", F.lit(True)).join(todo, again, "left_semi"),
-            held.join(todo, again, "left_semi"),
+            stock.withColumn("spans", F.lit(True)).join(todo, pair, "left_semi"),
+            held.join(todo, pair, "left_semi"),
         )
-        replayed = keep(_run(hot_requests.join(todo, again, "left_semi"), starts), number)
+        replayed = keep(_run(sliced.join(todo, pair, "left_semi"), starts), number)
         valid.update(dict.fromkeys(wrong, number))
 
 
+def _answers(tables: Tables, events: DataFrame, slice_rows: int) -> DataFrame:
+    spark = events.sparkSession
+    # A book is busy with more than slice_rows requests: at most
+    # count / slice_rows books are.
+    sizes = events.groupBy("book_id").agg(F.count("*").alias("n"))
+    busy = {row.book_id: row.n for row in sizes.where(F.col("n") > slice_rows).collect()}
+    slices = max(spark.sparkContext.defaultParallelism, math.ceil(events.count() / slice_rows))
+    if not busy:
+        return _replay_whole_books(tables, events, slices)
+    books = F.broadcast(spark.createDataFrame([(book,) for book in busy], "book_id long"))
+    ordinary = _replay_whole_books(tables, events.join(books, "book_id", "left_anti"), slices)
+    hot = events.join(books, "book_id", "left_semi")
+    hot_slices = math.ceil(sum(busy.values()) / slice_rows)
+    return ordinary.unionByName(_replay_busy_books(tables, hot, hot_slices))
+
+
 def replay(
     tables: Tables, requests: DataFrame, slice_rows: int = SLICE_ROWS, reuse: bool = True
 ) -> Replay:
@@ -416,19 +421,17 @@ def replay(
 
     ``requests`` follow ``LEDGER_REQUEST``.  A return names a loan, or else the
     book, which stands for the member's open loan of it.  With ``reuse`` the
-    answers are written once for all results; without, a batch that fits one
-    slice stays lazy and each result derives them anew.
+    answers are written once for all results; without, each result derives the
+    answers of ordinary books anew.
     """
-    resolved = resolve(tables, requests, next_keys(tables.borrows, requests))
+    folder = work_folder(requests.sparkSession)
+    resolved = write_and_reread(
+        resolve(tables, requests, next_keys(tables.borrows, requests)), f"{folder}/resolved"
+    )
     events = resolved.where(F.col("refusal").isNull()).drop("refusal", "permitted", "kind")
-    slices = math.ceil(requests.count() / slice_rows)
-    if slices > 1:
-        answers = _replay_in_slices(tables, events, slices)
-    else:
-        sliced = events.withColumn("slice", F.lit(0))
-        answers = _run(sliced, _starts(tables, sliced, None))
-        if reuse:
-            answers = write_and_reread(answers, work_folder(requests.sparkSession))
+    answers = _answers(tables, events, slice_rows)
+    if reuse:
+        answers = write_and_reread(answers, f"{folder}/answers")
     return _apply(tables, resolved, answers)
 
 

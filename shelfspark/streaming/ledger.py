@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,6 +15,8 @@ from shelfspark.functions.loans import is_open
 from shelfspark.operators.ledger import BookState, answer_outcomes, resolve
 from shelfspark.tables import Tables
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _ANSWER = "request_id long, book_id long, user_id long, at_us long, code int, loan_id long, accepted boolean, late boolean"
 # Parallel lists: member users[i] holds loan loans[i].  ``known`` lists members
 # whose loans from before the stream are already part of the state.

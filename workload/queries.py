@@ -231,9 +231,9 @@ def ledger_replay(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ledger_replay_sliced(spark: SparkSession, folder: str) -> DataFrame:
-    """The same requests in about a dozen slices, so that busy books span several."""
+    """The same requests in slices so small that every book spans several."""
     tables, asked = m.event_ledger(spark, folder)
-    rows = max(1, asked.count() // 12)
+    rows = max(1, asked.count() // 60)
     return _event_answers(ledger.replay(tables, asked, slice_rows=rows).outcomes)
 
 
