@@ -3,182 +3,28 @@
 A borrow is admitted when the book has a copy on the shelf and the member holds
 none of it; a return when the member holds the loan it names.  Both rules read
 one book's stock and that book's open loans only, so books are independent, but
-within a book every answer may depend on all earlier ones.
-
-Books with a moderate number of requests are replayed whole, many in parallel.
-A busy book may draw a third of all requests and is never one task: its requests
-are range-partitioned by (book, time) into *slices* of bounded size.  A slice can
-be replayed on its own once the state at its start is known, so all slices run
-at once from an assumed state; each reports the state at its end, which gives
-the true start of the next.  Slices whose assumption was wrong run again.  The
-first slice of a book always starts right and each round settles at least one
-more, so rounds end, and they end with exactly the answers of a serial replay.
-While stock lasts, answers do not depend on its exact level, so such slices
-stand without another run and two or three rounds are the rule.
+within a book every answer may depend on all earlier ones.  How the requests of
+many and of very busy books are spread over tasks is told in
+``shelfspark.operators.slices``.
 """
 
 from __future__ import annotations
 
 import dataclasses
-import math
-import sys
 
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from shelfspark.functions.loans import due_date, is_open
+from shelfspark.functions.loans import due_date
+from shelfspark.operators import slices
+from shelfspark.operators.book_state import BORROW, RETURN_HELD, RETURN_LOAN
 from shelfspark.operators.requests import message, next_keys, outcome_rows, with_permission
 from shelfspark.schema import BOOKS, BORROWS, USER, conform
 from shelfspark.session import work_folder, write_and_reread
 from shelfspark.tables import Tables
 
-# Tasks receive this module's functions with their code, so that executors work
-# without the package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-SLICE_ROWS = 250_000
-
-BORROW, RETURN_HELD, RETURN_LOAN = 0, 1, 2
-
-# What a replayed slice returns: an "answer" row per request and, for books that
-# span slices, a "book" row and a "member" row per member with the state it used
-# and the state it left.
-_LONGS = T.ArrayType(T.LongType())
-_REPLAYED = T.StructType(
-    [
-        T.StructField("row", T.StringType()),
-        T.StructField("slice", T.IntegerType()),
-        T.StructField("book_id", T.LongType()),
-        T.StructField("user_id", T.LongType()),
-        T.StructField("request_id", T.LongType()),
-        T.StructField("at_us", T.LongType()),
-        T.StructField("code", T.IntegerType()),
-        T.StructField("loan_id", T.LongType()),
-        T.StructField("accepted", T.BooleanType()),
-        T.StructField("start_quantity", T.LongType()),
-        T.StructField("delta", T.LongType()),
-        T.StructField("need", T.LongType()),
-        T.StructField("refused", T.LongType()),
-        T.StructField("held_in", _LONGS),
-        T.StructField("held_out", _LONGS),
-    ]
-)
-_ARROW = {
-    T.StringType(): pa.string(),
-    T.IntegerType(): pa.int32(),
-    T.LongType(): pa.int64(),
-    T.BooleanType(): pa.bool_(),
-    _LONGS: pa.list_(pa.int64()),
-}
-_SHAPE = pa.schema([(f.name, _ARROW[f.dataType]) for f in _REPLAYED])
-
-
-class BookState:
-    """Stock and open loans of the books one slice (or one stream key) covers."""
-
-    def __init__(self, stock: dict[int, int], held: dict[tuple[int, int], list[int]]):
-        self.stock = stock
-        self.held = held
-        self.lowest = dict(stock)
-        self.refused: dict[int, int] = {}
-
-    def answer(self, book: int, user: int, code: int, loan: int) -> tuple[bool, int]:
-        """Apply one request; returns (admitted, loan opened or closed)."""
-        mine = self.held.get((book, user))
-        if code == BORROW:
-            if mine:
-                return False, 0
-            left = self.stock.get(book, 0)
-            if left <= 0:
-                self.refused[book] = self.refused.get(book, 0) + 1
-                return False, 0
-            self.stock[book] = left - 1
-            self.lowest[book] = min(self.lowest[book], left - 1)
-            self.held[(book, user)] = [loan]
-            return True, loan
-        if not mine or (code == RETURN_LOAN and loan not in mine):
-            return False, 0
-        closed = loan if code == RETURN_LOAN else mine[0]
-        self.held[(book, user)] = [held for held in mine if held != closed]
-        self.stock[book] = self.stock.get(book, 0) + 1
-        return True, closed
-
-
-def replay_slice(requests: pa.Table, starts: pa.Table) -> pa.Table:
-    """One slice: answers, and for books that span slices the state it leaves."""
-    stock: dict[int, int] = {}
-    held: dict[tuple[int, int], list[int]] = {}
-    spanning: set[int] = set()
-    columns = ("book_id", "user_id", "shelf", "spans", "quantity", "held")
-    for book, user, shelf, spans, quantity, loans in zip(*[starts[c].to_pylist() for c in columns]):
-        if shelf:
-            stock[book] = quantity
-            if spans:
-                spanning.add(book)
-        else:
-            held[(book, user)] = loans
-    started = dict(stock)
-    held_in = {key: loans for key, loans in held.items() if key[0] in spanning}
-    state = BookState(stock, held)
-
-    requests = requests.sort_by([("at_us", "ascending"), ("request_id", "ascending")])
-    columns = ("book_id", "user_id", "code", "loan_id")
-    asked = [requests[c].to_pylist() for c in columns]
-    answers = [state.answer(*request) for request in zip(*asked)]
-    kept = ("slice", "book_id", "user_id", "request_id", "at_us", "code")
-    parts = [
-        _rows(
-            "answer",
-            len(answers),
-            **{c: requests[c] for c in kept},
-            accepted=[ok for ok, _ in answers],
-            loan_id=[loan for _, loan in answers],
-        )
-    ]
-    touched = {key for key in zip(asked[0], asked[1]) if key[0] in spanning}
-    if touched:
-        number = requests["slice"][0].as_py()
-        members, books = list(touched), list({book for book, _ in touched})
-        parts += [
-            _rows(
-                "member",
-                len(members),
-                slice=[number] * len(members),
-                book_id=[book for book, _ in members],
-                user_id=[user for _, user in members],
-                held_in=[held_in.get(key, []) for key in members],
-                held_out=[state.held.get(key, []) for key in members],
-            ),
-            _rows(
-                "book",
-                len(books),
-                slice=[number] * len(books),
-                book_id=books,
-                start_quantity=[started[book] for book in books],
-                delta=[state.stock[book] - started[book] for book in books],
-                need=[started[book] - state.lowest[book] for book in books],
-                refused=[state.refused.get(book, 0) for book in books],
-            ),
-        ]
-    return pa.concat_tables(parts)
-
-
-def _rows(row: str, n: int, **columns: list | pa.ChunkedArray) -> pa.Table:
-    """``n`` rows of one kind in the shape of ``_REPLAYED``; the rest is NULL."""
-    columns["row"] = [row] * n
-    arrays = []
-    for field in _SHAPE:
-        values = columns.get(field.name)
-        if values is None:
-            values = pa.nulls(n, field.type)
-        elif isinstance(values, list):
-            values = pa.array(values, field.type)
-        arrays.append(values)
-    return pa.table(arrays, schema=_SHAPE)
+# Requests one task takes at a time; a million take about half a gigabyte.
+SLICE_ROWS = 1_000_000
 
 
 @dataclasses.dataclass(frozen=True)
@@ -232,7 +78,7 @@ def resolve(tables: Tables, requests: DataFrame, new_loan_id: Column) -> DataFra
         .otherwise(F.lit(0).cast("long"))
         .alias("loan_id"),
     )
-    out = tables.borrows.where(is_open("status") & F.col("returned_at").isNull()).select(
+    out = slices.returnable(tables).select(
         F.col("id").alias("borrow_id"),
         F.col("user_id").alias("owner"),
         F.col("book_id").alias("loan_book_id"),
@@ -255,165 +101,6 @@ def resolve(tables: Tables, requests: DataFrame, new_loan_id: Column) -> DataFra
     )
 
 
-def _starts(tables: Tables, sliced: DataFrame, spans: bool) -> DataFrame:
-    """Stock and open loans of what each slice touches, as the tables have them."""
-    pairs = sliced.select("slice", "book_id", "user_id").distinct()
-    stock = (
-        sliced.select("slice", "book_id")
-        .distinct()
-        .join(tables.books.select(F.col("id").alias("book_id"), "quantity"), "book_id")
-        .withColumn("spans", F.lit(spans))
-    )
-    held = (
-        tables.borrows.where(is_open("status") & F.col("returned_at").isNull())
-        .select("book_id", "user_id", "id")
-        .join(pairs, ["book_id", "user_id"])
-        .groupBy("slice", "book_id", "user_id")
-        # The admission rule keeps this list at one loan per member and book.
-        .agg(F.sort_array(F.collect_list("id")).alias("held"))
-    )
-    return _start_rows(stock, held)
-
-
-def _start_rows(stock: DataFrame, held: DataFrame) -> DataFrame:
-    shelf = stock.select(
-        "slice",
-        "book_id",
-        F.lit(0).cast("long").alias("user_id"),
-        F.lit(True).alias("shelf"),
-        "spans",
-        F.col("quantity").cast("long").alias("quantity"),
-        F.lit(None).cast("array<long>").alias("held"),
-    )
-    loans = held.select(
-        "slice",
-        "book_id",
-        "user_id",
-        F.lit(False).alias("shelf"),
-        F.lit(False).alias("spans"),
-        F.lit(0).cast("long").alias("quantity"),
-        "held",
-    )
-    rows = shelf.unionByName(loans)
-    # Fresh column identities: the rows meet the requests they stem from again.
-    return rows.select(*[F.col(c).alias(c) for c in rows.columns])
-
-
-def _run(sliced: DataFrame, starts: DataFrame) -> DataFrame:
-    return sliced.groupBy("slice").cogroup(starts.groupBy("slice")).applyInArrow(
-        replay_slice, _REPLAYED
-    )
-
-
-def _next_starts(replayed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What each slice should have started from, next to what it did start from.
-
-    Both windows run over the slices of one book or of one member of it, so over
-    no more rows than there are slices.
-    """
-    by_slice = W.partitionBy("book_id").orderBy("slice")
-    earlier = by_slice.rowsBetween(W.unboundedPreceding, -1)
-    stock = replayed.where("row = 'book'").select(
-        "slice",
-        "book_id",
-        "start_quantity",
-        "need",
-        "refused",
-        F.greatest(
-            F.lit(0),
-            F.first("start_quantity").over(by_slice) + F.coalesce(F.sum("delta").over(earlier), F.lit(0)),
-        ).alias("quantity"),
-    )
-    by_member = W.partitionBy("book_id", "user_id").orderBy("slice")
-    held = replayed.where("row = 'member'").select(
-        "slice",
-        "book_id",
-        "user_id",
-        "held_in",
-        F.coalesce(F.lag("held_out").over(by_member), "held_in").alias("held"),
-    )
-    return stock, held
-
-
-def _wrong_slices(stock: DataFrame, held: DataFrame) -> DataFrame:
-    """(slice, book_id) of slices replayed from a state that would answer otherwise.
-
-    Without a refusal for stock, every start that covers the lowest point gives
-    the same answers.
-    """
-    same = F.col("quantity") == F.col("start_quantity")
-    covered = (F.col("refused") == 0) & (F.col("quantity") >= F.col("need"))
-    by_stock = stock.where(~(same | covered)).select("slice", "book_id")
-    by_loans = held.where(F.col("held") != F.col("held_in")).select("slice", "book_id")
-    return by_stock.unionByName(by_loans).distinct()
-
-
-def _replay_whole_books(tables: Tables, events: DataFrame, slices: int) -> DataFrame:
-    """Answers in one pass; each slice takes all requests of some books."""
-    number = F.pmod(F.xxhash64("book_id"), F.lit(slices)).cast("int")
-    sliced = events.withColumn("slice", number)
-    return _run(sliced, _starts(tables, sliced, spans=False)).where("row = 'answer'")
-
-
-def _replay_busy_books(tables: Tables, events: DataFrame, slices: int) -> DataFrame:
-    """Answers in rounds; each slice takes a stretch of time of one or two books."""
-    spark = events.sparkSession
-    folder = work_folder(spark)
-    stored = T.StructType([*_REPLAYED, T.StructField("round", T.IntegerType())])
-    pair = ["slice", "book_id"]
-
-    def keep(replayed: DataFrame, number: int) -> DataFrame:
-        replayed.withColumn("round", F.lit(number)).write.mode("append").partitionBy(
-            "round", "row", "slice"
-        ).parquet(f"{folder}/replayed")
-        return spark.read.schema(stored).parquet(f"{folder}/replayed")
-
-    def listed(rows: list[tuple], schema: str) -> DataFrame:
-        # (slice, book) pairs: a slice boundary adds one, a book adds one.
-        return F.broadcast(spark.createDataFrame(rows, schema))
-
-    ranged = events.repartitionByRange(slices, "book_id", "at_us", "request_id").withColumn(
-        "slice", F.spark_partition_id()
-    )
-    sliced = write_and_reread(ranged, f"{folder}/requests", "slice")
-    # The round whose replay of a slice counts.
-    valid = {(row.slice, row.book_id): 1 for row in sliced.select(*pair).distinct().collect()}
-    number = 1
-    replayed = keep(_run(sliced, _starts(tables, sliced, spans=True)), number)
-    while True:
-        rounds = [(*key, number) for key, number in valid.items()]
-        versions = listed(rounds, "slice int, book_id long, round int")
-        current = replayed.join(versions, [*pair, "round"], "left_semi")
-        stock, held = _next_starts(current)
-        wrong = [(row.slice, row.book_id) for row in _wrong_slices(stock, held).collect()]
-        if not wrong:
-            return current.where("row = 'answer'").drop("round")
-        number += 1
-        todo = listed(wrong, "slice int, book_id long")
-        starts = _start_rows(
-            stock.withColumn("spans", F.lit(True)).join(todo, pair, "left_semi"),
-            held.join(todo, pair, "left_semi"),
-        )
-        replayed = keep(_run(sliced.join(todo, pair, "left_semi"), starts), number)
-        valid.update(dict.fromkeys(wrong, number))
-
-
-def _answers(tables: Tables, events: DataFrame, slice_rows: int) -> DataFrame:
-    spark = events.sparkSession
-    # A book is busy with more than slice_rows requests: at most
-    # count / slice_rows books are.
-    sizes = events.groupBy("book_id").agg(F.count("*").alias("n"))
-    busy = {row.book_id: row.n for row in sizes.where(F.col("n") > slice_rows).collect()}
-    slices = max(spark.sparkContext.defaultParallelism, math.ceil(events.count() / slice_rows))
-    if not busy:
-        return _replay_whole_books(tables, events, slices)
-    books = F.broadcast(spark.createDataFrame([(book,) for book in busy], "book_id long"))
-    ordinary = _replay_whole_books(tables, events.join(books, "book_id", "left_anti"), slices)
-    hot = events.join(books, "book_id", "left_semi")
-    hot_slices = math.ceil(sum(busy.values()) / slice_rows)
-    return ordinary.unionByName(_replay_busy_books(tables, hot, hot_slices))
-
-
 def replay(
     tables: Tables, requests: DataFrame, slice_rows: int = SLICE_ROWS, reuse: bool = True
 ) -> Replay:
@@ -429,7 +116,7 @@ def replay(
         resolve(tables, requests, next_keys(tables.borrows, requests)), f"{folder}/resolved"
     )
     events = resolved.where(F.col("refusal").isNull()).drop("refusal", "permitted", "kind")
-    answers = _answers(tables, events, slice_rows)
+    answers = slices.answer(tables, events, slice_rows)
     if reuse:
         answers = write_and_reread(answers, f"{folder}/answers")
     return _apply(tables, resolved, answers)

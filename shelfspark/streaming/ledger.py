@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from shelfspark.functions.loans import is_open
-from shelfspark.operators.ledger import BookState, answer_outcomes, resolve
+from shelfspark.operators.book_state import BookState
+from shelfspark.operators.ledger import answer_outcomes, resolve
+from shelfspark.operators.slices import returnable
 from shelfspark.tables import Tables
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -86,7 +87,7 @@ def ledger_stream(tables: Tables, requests: DataFrame) -> DataFrame:
     resolved = resolve(tables, requests, (top + 1 + F.col("request_id")).cast("long"))
     stock = tables.books.select(F.col("id").alias("book_id"), F.col("quantity").cast("long"))
     before = (
-        tables.borrows.where(is_open("status") & F.col("returned_at").isNull())
+        returnable(tables)
         .groupBy("book_id", "user_id")
         .agg(F.sort_array(F.collect_list("id")).alias("held"))
     )

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from shelfspark.operators import ledger
+from shelfspark.operators import book_state, ledger, slices
 from shelfspark.schema import BOOKS, BORROWS, GENRES, LEDGER_REQUEST, USERS
 from shelfspark.session import work_folder
 from shelfspark.sources import files
@@ -147,8 +147,8 @@ def test_busy_book_in_slices(spark, stock):
 
 def test_slices_settle_in_one_more_round_while_stock_lasts(spark, monkeypatch):
     rounds = []
-    whole = ledger._wrong_slices
-    monkeypatch.setattr(ledger, "_wrong_slices", lambda *a: rounds.append(1) or whole(*a))
+    whole = slices._BusyBooks._replay
+    monkeypatch.setattr(slices._BusyBooks, "_replay", lambda *a: rounds.append(1) or whole(*a))
     rows = [(i, i, i % 59 + 1, "borrow" if i % 118 < 59 else "return", 1, None) for i in range(590)]
     check(spark, {1: 1000}, [], rows, slice_rows=118)
     assert len(rounds) <= 2
@@ -174,10 +174,10 @@ def test_keys_beyond_53_bits_stay_exact(spark):
     st.lists(st.tuples(st.integers(1, 4), st.sampled_from(["borrow", "return"])), max_size=40),
 )
 def test_state_equals_serial_rule(stock, moves):
-    state = ledger.BookState({1: stock}, {})
+    state = book_state.BookState({1: stock}, {})
     rows = [(i, i, user, kind, 1, None) for i, (user, kind) in enumerate(moves)]
     want, left, out = one_by_one({1: stock}, [], rows, lambda i: i + 1)
-    codes = {"borrow": ledger.BORROW, "return": ledger.RETURN_HELD}
+    codes = {"borrow": book_state.BORROW, "return": book_state.RETURN_HELD}
     for i, _, user, kind, book, _ in rows:
         assert state.answer(book, user, codes[kind], i + 1)[0] == (want[i] in ("borrowed", "returned"))
     assert state.stock[1] == left[1] >= 0
