@@ -172,15 +172,16 @@ def delete_books(tables: Tables, requests: DataFrame) -> Change:
     """
     gone, marked = _deletions(requests, tables, "book_id", tables.books)
     gone_loans = gone.withColumnRenamed("id", "book_id")
+    # Counted before it meets the deletions, so that a book with a large share
+    # of all loans is reduced where its loans are read.
     out = (
         tables.borrows.where(is_open("status"))
-        .join(gone_loans, "book_id", "left_semi")
-        .groupBy("book_id")
+        .groupBy(F.col("book_id").alias("id"))
         .agg(F.count("*").alias("out"))
     )
     restored = (
         tables.books.join(gone, "id", "left_semi")
-        .join(out.withColumnRenamed("book_id", "id"), "id", "left")
+        .join(out, "id", "left")
         .select("id", (F.col("quantity") + F.coalesce("out", F.lit(0))).alias("restored"))
     )
     judged = (

@@ -1,12 +1,13 @@
 """The fixed reports.
 
 Every report takes a ``Snapshot`` and returns a lazy DataFrame with the same
-rows in the same order for the same input: each sort ends in a key.  No join
-carries a hint.  Adaptive execution broadcasts a side when its measured size
-allows it and splits partitions that one busy member or book makes too large.
+rows in the same order for the same input: each sort ends in a key.  Adaptive
+execution broadcasts a side when its measured size allows it and splits
+partitions that one busy member or book makes too large; only rows whose number
+a LIMIT bounds are broadcast by hint.
 
 Top-k reports pick their rows before they join, so the joins see k rows instead
-of all loans.  That is exact when every loan has its member and book, which the
+of all loans, and the members and books they meet are scanned but not shuffled.  That is exact when every loan has its member and book, which the
 declared references guarantee and ``foreign_key_violations`` verifies.  Pass
 ``trust_keys=False`` over tables that may break them: loans without a partner
 are then dropped before rows are picked.
@@ -100,9 +101,8 @@ def borrow_history(snap: Snapshot, trust_keys: bool = True) -> DataFrame:
     stored = snap.loans if trust_keys else _with_partners(snap.loans, snap)
     newest_first = (F.desc("borrowed_at"), F.desc("id"))
     latest = stored.orderBy(*newest_first).limit(HISTORY_ROWS)
-    joined = latest.join(_members(snap), "user_id").join(
-        _titles(snap, "title", "genre_id"), "book_id"
-    )
+    named = _members(snap).join(F.broadcast(latest), "user_id")
+    joined = _titles(snap, "title", "genre_id").join(F.broadcast(named), "book_id")
     return (
         _with_genre_name(joined, snap)
         .select(
@@ -153,7 +153,8 @@ def top_books(snap: Snapshot, trust_keys: bool = True) -> DataFrame:
     if not trust_keys:
         counts = counts.join(_titles(snap), "book_id", "left_semi")
     top = counts.orderBy(F.desc("borrow_count"), "book_id").limit(TOP_ROWS)
-    joined = top.join(_titles(snap, "title", "author", "quantity", "genre_id"), "book_id")
+    titles = _titles(snap, "title", "author", "quantity", "genre_id")
+    joined = titles.join(F.broadcast(top), "book_id")
     # At most TOP_ROWS rows reach this unpartitioned window.
     place = F.row_number().over(W.orderBy(F.desc("borrow_count"), "book_id"))
     return (
@@ -211,9 +212,8 @@ def overdue_top(snap: Snapshot, trust_keys: bool = True) -> DataFrame:
     late = snap.overdue_loans if trust_keys else _with_partners(snap.overdue_loans, snap)
     # The most days late is the earliest due date.
     latest = late.select("id", "user_id", "book_id", "due_date").orderBy("due_date", "id")
-    joined = latest.limit(TOP_ROWS).join(_members(snap), "user_id").join(
-        _titles(snap, "title"), "book_id"
-    )
+    named = _members(snap).join(F.broadcast(latest.limit(TOP_ROWS)), "user_id")
+    joined = _titles(snap, "title").join(F.broadcast(named), "book_id")
     return joined.orderBy("due_date", "id").select(
         "username",
         "title",

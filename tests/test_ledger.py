@@ -138,11 +138,18 @@ def traffic(seed, n, books, users, hot_share=0.0):
 
 
 @pytest.mark.parametrize("stock", [1, 3, 400])
-def test_busy_book_in_slices(spark, stock):
+def test_busy_book_in_slices(spark, stock, monkeypatch):
     """One book draws most requests and is cut into many slices."""
+    runs = []
+    replay = slices._BusyBooks._replay
+    monkeypatch.setattr(
+        slices._BusyBooks, "_replay", lambda self, stock, held: runs.append(len(stock)) or replay(self, stock, held)
+    )
     rows = traffic(stock, 1500, 6, 50, hot_share=0.7)
     loans = [(1000, 1, 1, "active"), (1001, 2, 1, "overdue"), (1002, 1, 2, "active")]
     check(spark, {b: stock for b in range(1, 6)}, loans, rows, slice_rows=120)
+    # Even where every answer depends on the ones before, work stays linear.
+    assert sum(runs) <= 5 * runs[0]
 
 
 def test_slices_settle_in_one_more_round_while_stock_lasts(spark, monkeypatch):
