@@ -9,12 +9,25 @@ from shelfspark.functions.text import as_column
 from shelfspark.schema import LOAN_DAYS, SOON_BAND_DAYS
 
 
+# Month names as shown.
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
+def _two(n: Column) -> Column:
+    return F.lpad(n.cast("string"), 2, "0")
+
+
 def day_text(ts: Column | str) -> Column:
-    return F.date_format(ts, "MMM dd, yyyy")
+    """'Apr 13, 2026'.  From the parts, since formatting a zone-free time would
+    first place it in the session's zone."""
+    month = F.element_at(F.array(*[F.lit(name) for name in MONTHS]), F.month(ts))
+    year = F.lpad(F.year(ts).cast("string"), 4, "0")
+    return F.concat(month, F.lit(" "), _two(F.dayofmonth(ts)), F.lit(", "), year)
 
 
 def minute_text(ts: Column | str) -> Column:
-    return F.date_format(ts, "MMM dd, yyyy HH:mm")
+    """'Apr 13, 2026 12:02'."""
+    return F.concat(day_text(ts), F.lit(" "), _two(F.hour(ts)), F.lit(":"), _two(F.minute(ts)))
 
 
 def status_text(status: Column | str) -> Column:

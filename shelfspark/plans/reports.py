@@ -222,8 +222,12 @@ def overdue_top(snap: Snapshot, trust_keys: bool = True) -> DataFrame:
     )
 
 
+def _due_soon_loans(snap: Snapshot) -> DataFrame:
+    return snap.active_loans.where(F.col("due_date") <= due_soon_limit(snap.as_of))
+
+
 def due_soon(snap: Snapshot) -> DataFrame:
-    soon = snap.active_loans.where(F.col("due_date") <= due_soon_limit(snap.as_of))
+    soon = _due_soon_loans(snap)
     joined = soon.join(_members(snap), "user_id").join(_titles(snap, "title"), "book_id")
     return joined.select(
         "id",
@@ -238,6 +242,14 @@ def due_soon_display(snap: Snapshot) -> DataFrame:
     return due_soon(snap).select("*", d.due_soon_text("days_rem").alias("due_text"))
 
 
+def dashboard_panels(snap: Snapshot) -> DataFrame:
+    """Which optional panels have anything to show; each probe stops at one row."""
+    return snap.tables.borrows.sparkSession.range(1).select(
+        snap.overdue_loans.exists().alias("overdue"),
+        _due_soon_loans(snap).exists().alias("due_soon"),
+    )
+
+
 def catalogue(snap: Snapshot) -> DataFrame:
     return (
         _with_genre_name(snap.books, snap)

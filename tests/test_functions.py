@@ -71,6 +71,20 @@ def test_due_date_and_clock(spark):
     assert values(spark, [at], "timestamp_ntz", l.due_date) == [dt.date(2024, 3, 4)]
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_times_show_as_stored_in_any_zone(spark, zone):
+    times = [dt.datetime(2024, 3, 10, 2, 5), dt.datetime(2024, 12, 1, 23, 59)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert values(spark, times, "timestamp_ntz", d.minute_text) == [
+            "Mar 10, 2024 02:05", "Dec 01, 2024 23:59"
+        ]
+        assert values(spark, times, "timestamp_ntz", d.day_text) == ["Mar 10, 2024", "Dec 01, 2024"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
 def test_microseconds_survive_any_zone(spark, zone):
     times = [

@@ -163,6 +163,9 @@ def _reports() -> dict[str, str]:
             WHERE br.status = 'overdue' ORDER BY days_late DESC, br.id LIMIT 5"""),
         "due_soon": _with(DUE_SOON),
         "due_soon_display": _with(f"SELECT *, {_soon_text('days_rem')} AS due_text FROM a", a=DUE_SOON),
+        "dashboard_panels": _with(f"""SELECT
+            EXISTS (SELECT 1 FROM loans WHERE status = 'overdue') AS overdue,
+            EXISTS (SELECT 1 FROM loans WHERE status = 'active' AND due_date <= {AS_OF} + 3) AS due_soon"""),
         "catalogue": _with(CATALOGUE),
         "catalogue_display": _with(
             f"""SELECT *, coalesce(genre_name, '—') AS genre_text,

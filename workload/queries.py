@@ -233,7 +233,7 @@ def ledger_replay(spark: SparkSession, folder: str) -> DataFrame:
 def ledger_replay_sliced(spark: SparkSession, folder: str) -> DataFrame:
     """The same requests in slices so small that every book spans several."""
     tables, asked = m.event_ledger(spark, folder)
-    rows = max(1, asked.count() // 60)
+    rows = max(1, asked.count() // 40)
     return _event_answers(ledger.replay(tables, asked, slice_rows=rows).outcomes)
 
 
@@ -288,6 +288,7 @@ def queries() -> dict[str, Query]:
         "overdue_top": _report(r.overdue_top),
         "due_soon": _report(r.due_soon),
         "due_soon_display": _report(r.due_soon_display),
+        "dashboard_panels": _report(r.dashboard_panels),
         "catalogue": _report(r.catalogue),
         "catalogue_display": _report(r.catalogue_display),
         "genre_catalogue": _report(r.genre_catalogue),
