@@ -261,9 +261,10 @@ def test_form_rules(spark):
         checks.invalid_requests(named, "rename")
 
 
-def test_written_tables_read_back(spark, tables, tmp_path):
+@pytest.mark.parametrize("by_member", [False, True])
+def test_written_tables_read_back(spark, tables, tmp_path, by_member):
     folder = str(tmp_path / "v1")
-    files.write_tables(tables, folder)
+    files.write_tables(tables, folder, by_member)
     back = files.read_tables(spark, folder)
     for name in ("books", "borrows", "genres", "users"):
         assert sorted(map(str, getattr(back, name).collect())) == sorted(map(str, getattr(tables, name).collect()))

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators import checks
+from shelfspark.operators import accounts, checks
 from shelfspark.plans import reports as r
 from shelfspark.schema import ADMIN
 from shelfspark.operators.requests import with_permission
@@ -78,6 +78,31 @@ def test_busy_requester_is_split(spark, skewed):
     assert re.search(r"isSkewJoin=true|skew=true", plan)
 
 
+def _attempts(skewed):
+    """Logins, half of them by one member."""
+    names = skewed.users.select(F.col("id").alias("user_id"), "username")
+    return skewed.borrows.select(F.col("id").alias("request_id"), "user_id").join(names, "user_id").withColumn(
+        "password", F.sha2(F.col("request_id").cast("string"), 512)
+    )
+
+
+@pytest.mark.parametrize(
+    "job",
+    [
+        lambda t: accounts.login_audit(t.users, _attempts(t)),
+        lambda t: checks.orphans(t.borrows, "book_id", t.books.where("id <> 3")),
+        lambda t: t.borrows.join(t.books.where("id % 5 = 0").select(F.col("id").alias("book_id")), "book_id", "left_anti"),
+    ],
+    ids=["login_audit", "orphans", "delete_books"],
+)
+def test_busy_keys_are_split_in_other_jobs(spark, skewed, job):
+    with large(spark):
+        plan = final_plan(job(skewed))
+    # The topmost join is the one the job itself adds.
+    top = next(line for line in plan.splitlines() if "Join" in line)
+    assert "SortMergeJoin(skew=true)" in top
+
+
 @pytest.mark.parametrize("report", [r.user_stats, r.top_books, r.never_borrowed])
 def test_loans_are_reduced_before_they_are_shuffled(spark, skewed, report):
     """The scan of the loans feeds a partial aggregate, not an exchange."""
