@@ -7,6 +7,7 @@ order is a loan.  The same mapping is spelled in SQL in ``workload.oracle``.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,9 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+@functools.cache
 def star_tables(spark: SparkSession, folder: str) -> Tables:
+    """The plans are made once per session, as registered views would be; no data is kept."""
     genres = read(spark, folder, "nation").selectExpr("n_nationkey AS id", "n_name AS name")
     books = read(spark, folder, "part").selectExpr(
         "p_partkey AS id",
