@@ -101,7 +101,8 @@ def invalid_requests(requests: DataFrame, kind: str) -> DataFrame:
     The server side accepts them all the same, so the change operators do too;
     drop these first to apply the form rules.
     """
-    blank = {c: clean_text(c) == "" for c in requests.columns if requests.schema[c].dataType == T.StringType()}
+    texts = [f.name for f in requests.schema if f.dataType == T.StringType()]
+    blank = {name: clean_text(name) == "" for name in texts}
     if kind in ("register", "login"):
         rules = [(blank["username"], "username is required")]
         short = F.length(F.coalesce("password", F.lit(""))) < MIN_PASSWORD_CHARS

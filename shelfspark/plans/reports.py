@@ -7,10 +7,11 @@ partitions that one busy member or book makes too large; only rows whose number
 a LIMIT bounds are broadcast by hint.
 
 Top-k reports pick their rows before they join, so the joins see k rows instead
-of all loans, and the members and books they meet are scanned but not shuffled.  That is exact when every loan has its member and book, which the
-declared references guarantee and ``foreign_key_violations`` verifies.  Pass
-``trust_keys=False`` over tables that may break them: loans without a partner
-are then dropped before rows are picked.
+of all loans, and the members and books they meet are scanned but not shuffled.
+That is exact when every loan has its member and book, which the declared keys
+guarantee and ``foreign_key_violations`` verifies.  Pass ``trust_keys=False``
+over tables that may break them: loans without a partner are then dropped
+before rows are picked.
 """
 
 from __future__ import annotations

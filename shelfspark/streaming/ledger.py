@@ -18,7 +18,10 @@ from shelfspark.tables import Tables
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_ANSWER = "request_id long, book_id long, user_id long, at_us long, code int, loan_id long, accepted boolean, late boolean"
+_ANSWER = (
+    "request_id long, book_id long, user_id long, at_us long, code int, "
+    "loan_id long, accepted boolean, late boolean"
+)
 # Parallel lists: member users[i] holds loan loans[i].  ``known`` lists members
 # whose loans from before the stream are already part of the state.
 _STATE = (

@@ -232,17 +232,17 @@ def ledger_requests(events: DataFrame) -> DataFrame:
 def line_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Requests over the mapped tables, which already hold loans.
 
-    Second lines of orders borrow; first lines return the loan they stand for,
-    every fourth of them by someone else; third lines return by book.
+    Even lines of orders borrow; first lines return the loan they stand for,
+    some of them by someone else; the other odd lines return by book.
     """
-    lines = read(spark, folder, "lineitem").where("l_linenumber <= 3")
+    lines = read(spark, folder, "lineitem")
     orders = read(spark, folder, "orders")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
-        "(l_orderkey * 4 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey AS request_id",
+        "(l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey AS request_id",
         "o_orderdate + make_dt_interval(3000) AS ts",
         "CASE WHEN l_linenumber = 1 AND l_suppkey % 4 = 0 THEN o_custkey + 1 "
         "ELSE o_custkey END AS user_id",
-        "CASE WHEN l_linenumber = 2 THEN 'borrow' ELSE 'return' END AS kind",
+        "CASE WHEN l_linenumber % 2 = 0 THEN 'borrow' ELSE 'return' END AS kind",
         "CASE WHEN l_linenumber > 1 THEN l_partkey % 50 END AS book_id",
         "CASE WHEN l_linenumber = 1 THEN l_orderkey * 100000000 + l_partkey * 1000 + l_suppkey "
         "END AS borrow_id",

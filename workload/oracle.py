@@ -448,7 +448,7 @@ def _checks() -> dict[str, str]:
         "check_lengths": "SELECT doc_id AS id FROM documents WHERE length(text) > 255 OR length(source) > 255",
         "check_restricted_delete": _with(
             """SELECT DISTINCT user_id AS id, 'restricted' AS outcome FROM borrows
-            WHERE user_id IN (SELECT id FROM users WHERE id % 3 = 0)"""
+            WHERE user_id IN (SELECT id FROM users)"""
         ),
         "check_requests": """SELECT * FROM (
             SELECT 'register' AS tbl, conv_id * 1000 + turn AS request_id, 'invalid' AS outcome,
@@ -508,15 +508,15 @@ st AS (
 SELECT event_id, ok FROM st WHERE event_id IS NOT NULL"""
 
 LINES = {
-    "req": """SELECT (l_orderkey * 4 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey AS request_id,
+    "req": """SELECT (l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey AS request_id,
         o_orderdate + INTERVAL 3000 DAY AS ts,
         CASE WHEN l_linenumber = 1 AND l_suppkey % 4 = 0 THEN o_custkey + 1 ELSE o_custkey END AS user_id,
         l_linenumber AS line, CASE WHEN l_linenumber > 1 THEN l_partkey % 50 END AS book_id,
         CASE WHEN l_linenumber = 1 THEN l_orderkey * 100000000 + l_partkey * 1000 + l_suppkey END AS borrow_id
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 3""",
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "judged": """SELECT r.request_id, r.ts, r.user_id, r.line,
         coalesce(r.book_id, CASE WHEN b.user_id = r.user_id THEN b.book_id END) AS book_id,
-        CASE WHEN r.line = 2 THEN (SELECT max(id) FROM borrows) + 1 + r.request_id
+        CASE WHEN r.line % 2 = 0 THEN (SELECT max(id) FROM borrows) + 1 + r.request_id
           - (SELECT min(request_id) FROM req) ELSE r.borrow_id END AS loan_id,
         EXISTS (SELECT 1 FROM users u WHERE u.id = r.user_id AND u.role = 'user') AS permitted
         FROM req r LEFT JOIN borrows b ON b.id = r.borrow_id AND b.status = 'active'""",
@@ -529,14 +529,14 @@ LINES = {
           CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BOOLEAN) AS ok, CAST(NULL AS BIGINT) AS loan_id
         FROM ev e LEFT JOIN books k ON k.id = e.book_id LEFT JOIN before b ON b.book_id = e.book_id
         UNION ALL
-        SELECT book_id, n, CASE WHEN ok AND line = 2 THEN q - 1 WHEN ok THEN q + 1 ELSE q END,
-          CASE WHEN ok AND line = 2 THEN list_append(h, {'u': user_id, 'l': loan})
+        SELECT book_id, n, CASE WHEN ok AND line % 2 = 0 THEN q - 1 WHEN ok THEN q + 1 ELSE q END,
+          CASE WHEN ok AND line % 2 = 0 THEN list_append(h, {'u': user_id, 'l': loan})
                WHEN ok THEN list_filter(h, lambda v: v.l <> loan) ELSE h END,
           request_id, ok, loan
-        FROM (SELECT *, CASE line WHEN 2 THEN q > 0 AND len(mine) = 0
-                WHEN 1 THEN list_contains(list_transform(mine, lambda v: v.l), named)
+        FROM (SELECT *, CASE WHEN line % 2 = 0 THEN q > 0 AND len(mine) = 0
+                WHEN line = 1 THEN list_contains(list_transform(mine, lambda v: v.l), named)
                 ELSE len(mine) > 0 END AS ok,
-                CASE WHEN line = 3 THEN mine[1].l ELSE named END AS loan
+                CASE WHEN line % 2 = 1 AND line > 1 THEN mine[1].l ELSE named END AS loan
               FROM (SELECT e.book_id, e.n, e.line, e.user_id, e.request_id, e.loan_id AS named, s.q, s.h,
                       list_filter(s.h, lambda v: v.u = e.user_id) AS mine
                     FROM st s JOIN ev e ON e.book_id = s.book_id AND e.n = s.n + 1))""",
@@ -556,14 +556,14 @@ def _ledger() -> dict[str, str]:
             WHEN 'unavailable' THEN 'Book unavailable or you already have it borrowed.'
             WHEN 'returned' THEN 'Book returned successfully. Thank you!' ELSE '' END AS message
             FROM (SELECT j.request_id, j.ts, CASE WHEN NOT j.permitted THEN 'forbidden'
-              WHEN j.line = 2 AND a.ok THEN 'borrowed' WHEN j.line = 2 THEN 'unavailable'
+              WHEN j.line % 2 = 0 AND a.ok THEN 'borrowed' WHEN j.line % 2 = 0 THEN 'unavailable'
               WHEN a.ok THEN 'returned' ELSE 'no_such_loan' END AS outcome
               FROM judged j LEFT JOIN ans a ON a.request_id = j.request_id)""",
             **LINES,
         ),
         "ledger_books": _with(
             """SELECT b.id, CAST(b.quantity + coalesce(d.delta, 0) AS INT) AS quantity FROM books b
-            LEFT JOIN (SELECT book_id, SUM(CASE WHEN line = 2 THEN -1 ELSE 1 END) AS delta FROM ans
+            LEFT JOIN (SELECT book_id, SUM(CASE WHEN line % 2 = 0 THEN -1 ELSE 1 END) AS delta FROM ans
               WHERE ok GROUP BY book_id) d ON d.book_id = b.id""",
             **LINES,
         ),
@@ -572,8 +572,8 @@ def _ledger() -> dict[str, str]:
             CASE WHEN closed_at IS NOT NULL THEN 'returned' ELSE status END AS status
             FROM (SELECT id, user_id, book_id, borrowed_at, due_date, returned_at, status FROM borrows
               UNION ALL SELECT loan_id, user_id, book_id, ts, CAST(CAST(ts AS DATE) + 7 AS DATE), NULL, 'active'
-              FROM ans WHERE ok AND line = 2) l
-            LEFT JOIN (SELECT loan_id, ts AS closed_at FROM ans WHERE ok AND line <> 2) c
+              FROM ans WHERE ok AND line % 2 = 0) l
+            LEFT JOIN (SELECT loan_id, ts AS closed_at FROM ans WHERE ok AND line % 2 = 1) c
               ON c.loan_id = l.id""",
             **LINES,
         ),
