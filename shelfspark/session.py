@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,18 +31,30 @@ def build_session(master: str | None = None, app: str = "shelfspark", **extra: s
     return builder.getOrCreate()
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A fresh folder for intermediate tables, on the cluster's shared storage.
+def work_root(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``, or the context's checkpoint folder."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
 
-    The cluster names the place in ``spark.checkpoint.dir``.  Only a local
-    session without that setting gets a temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+def work_folder(spark: SparkSession) -> str:
+    """A fresh folder for intermediate tables, on the cluster's shared storage; gone when the driver ends."""
+    root = work_root(spark)
     if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="shelfspark-")
-    return f"{root.rstrip('/')}/shelfspark-{uuid.uuid4().hex}"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = f"{root.rstrip('/')}/shelfspark-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Drops a work folder if its session still runs."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    for status in system.globStatus(context._jvm.org.apache.hadoop.fs.Path(f"{folder}*")) or ():
+        system.delete(status.getPath(), True)
 
 
 def write_and_reread(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
