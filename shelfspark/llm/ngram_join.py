@@ -13,10 +13,14 @@ Tokens fall into two classes by their bucket's count:
   the prefix grows until its signatures outnumber what any partner above the threshold can break.
   Sets of at most ``SMALL`` shingles, too short for pairs, also index single frequent tokens.
 
-Sets that agree in a signature are candidates; length and position bounds refute many, the others
-are verified on their full sets.  Equal sets collapse to one representative first.  To find
-components exactly without meeting all pairs of a large group, each signature first links its
-members to its smallest one; only pairs that are still in different components meet after that.
+Sets that agree in a signature are candidates.  Length and position refute many, and so does a parity
+sketch: every token flips one of ``PARITY`` bits, so two sketches differ in no more bits than the sets
+differ in tokens.  The others are verified on their full sets.
+
+Equal sets collapse to one representative first.  To find components exactly without verifying all pairs of
+a large group, candidates meet in rounds, and pairs whose ends are connected by then are left out: first each
+document with one of its signatures' smallest members, the one it shares most signatures with; then with the other
+smallest members; then all members of the signatures that still hold several components.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import SKETCH, Bitmap, WorkTables, bitmap, bucket_of, gather_buckets, mix64, sparse_chunks
@@ -36,6 +40,7 @@ WORDS = 5
 PERCENT = 80
 SKETCH_BITS = 20
 SMALL = 20
+PARITY = 1024
 MAX_CACHED_WORDS = 200_000
 MULTIPLIERS = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -90,6 +95,12 @@ def signatures(shingles: np.ndarray, counts: np.ndarray, frequent_from: int, bit
     return np.concatenate(parts), np.concatenate(places)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """The parity sketch as 64-bit integers."""
+    odd = np.bincount((shingles & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str | None]]:
     for doc, text in zip(batch.column(0), batch.column(1), strict=True):
         yield doc.as_py(), text.as_py()
@@ -129,28 +140,35 @@ def _read_sets(docs: DataFrame, bits: int) -> DataFrame:
     return docs.mapInArrow(read, f"doc long, n long, set_key binary, {SKETCH}")
 
 
-def _signature_rows(docs: DataFrame, counts: np.ndarray, frequent_from: int, bits: int) -> DataFrame:
-    """(doc, n, sigs, places) per document with words."""
+def _signature_rows(docs: DataFrame, counts: np.ndarray, frequent_from: int, sketch_bits: int) -> DataFrame:
+    """(doc, n, sigs, places, bits) per document with words."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, sizes, sigs, places = [], [], [], []
+            ids, sizes, sigs, places, bits = [], [], [], [], []
             for doc, text in _texts(batch):
                 found = shingle_set(text, hashes)
                 if doc is None or not len(found):
                     continue
-                own, at = signatures(found, shared.value, frequent_from, bits)
+                bits.append(parity(found))
+                own, at = signatures(found, shared.value, frequent_from, sketch_bits)
                 ids.append(doc)
                 sizes.append(len(found))
                 sigs.append(own.view(np.int64))
                 places.append(at.astype(np.int32))
             yield pa.RecordBatch.from_pydict(
-                {"doc": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int32()), "sigs": pa.array(sigs, pa.list_(pa.int64())), "places": pa.array(places, pa.list_(pa.int32()))}
+                {
+                    "doc": pa.array(ids, pa.int64()),
+                    "n": pa.array(sizes, pa.int32()),
+                    "sigs": pa.array(sigs, pa.list_(pa.int64())),
+                    "places": pa.array(places, pa.list_(pa.int32())),
+                    "bits": pa.array(bits, pa.list_(pa.int64())),
+                }
             )
 
-    return docs.mapInArrow(sign, "doc long, n int, sigs array<long>, places array<int>")
+    return docs.mapInArrow(sign, "doc long, n int, sigs array<long>, places array<int>, bits array<long>")
 
 
 def _only_marked(rows: DataFrame, marks: Bitmap) -> DataFrame:
@@ -194,18 +212,40 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.mapInArrow(read, "doc long, shingles array<long>").join(wanted.toDF("doc"), "doc", "left_semi")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x").alias("doc")).union(pairs.select("y")).distinct()
+
+
 def _possible(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (xn, yn, xplace, yplace) that length and position do not refute."""
     most = F.least("xplace", "yplace") + F.least(F.col("xn") - F.col("xplace"), F.col("yn") - F.col("yplace"))
     return pairs.where((100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (100 * most >= percent * (F.col("xn") + F.col("yn") - most)))
 
 
+def _alike() -> Column:
+    """Whether the parity sketches xb and yb allow the threshold: sets of that similarity differ in at most (xn + yn) / 9 tokens."""
+    differ = sum((F.bit_count(F.col("xb")[i].bitwiseXOR(F.col("yb")[i])) for i in range(PARITY // 64)), F.lit(0))
+    return 9 * differ <= F.col("xn") + F.col("yn")
+
+
+def _side(name: str, table: DataFrame, **columns: str) -> DataFrame:
+    """``table`` with doc as ``name`` and the given columns renamed."""
+    return table.select(F.col("doc").alias(name), *(F.col(old).alias(new) for old, new in columns.items()))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) whose full sets reach the threshold."""
-    a = sets.select(F.col("doc").alias("x"), F.col("shingles").alias("xs"))
-    b = sets.select(F.col("doc").alias("y"), F.col("shingles").alias("ys"))
     both = F.size(F.array_intersect("xs", "ys"))
-    return pairs.join(a, "x").join(b, "y").where(100 * both >= percent * (F.size("xs") + F.size("ys") - both)).select("x", "y")
+    met = pairs.select("x", "y").join(_side("x", sets, shingles="xs"), "x").join(_side("y", sets, shingles="ys"), "y")
+    return met.where(100 * both >= percent * (F.size("xs") + F.size("ys") - both)).select("x", "y")
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    x = label.select(F.col("node").alias("x"), F.col("component").alias("xc"))
+    y = label.select(F.col("node").alias("y"), F.col("component").alias("yc"))
+    met = pairs.join(x, "x", "left").join(y, "y", "left")
+    return met.where(F.coalesce("xc", "x") != F.coalesce("yc", "y")).drop("xc", "yc")
 
 
 def near_duplicates(docs: DataFrame, work: WorkTables, key: str = "doc_id", text: str = "text", percent: int = PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
@@ -237,26 +277,34 @@ def near_duplicates(docs: DataFrame, work: WorkTables, key: str = "doc_id", text
     entries = _only_marked(signed, bitmap(shared))
     entries = work.cut(entries.join(shared, "sig", "left_semi"))
 
-    x = F.struct(F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xplace"))
-    pivots = entries.groupBy("sig").agg(F.min(x).alias("p")).select("sig", "p.*")
-    members = entries.select("sig", F.col("doc").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yplace"))
-    stars = work.cut(_possible(members.join(pivots, "sig").where("x < y"), percent).select("x", "y").distinct())
-    sets = work.cut(_sets_of(texts, stars.select(F.col("x").alias("doc")).union(stars.select("y")).distinct()).dropDuplicates(["doc"]))
-    links = work.cut(_verified(stars, sets, percent))
+    # Round 1: each document and the smallest member of a signature it shares, the one it shares most with.
+    pivots = entries.groupBy("sig").agg(F.min(F.struct("doc", "n", "place")).alias("p")).select("sig", "p.*")
+    met = _side("y", entries, sig="sig", n="yn", place="yplace").join(_side("x", pivots, sig="sig", n="xn", place="xplace"), "sig")
+    stars = _possible(met.where("x < y"), percent).groupBy("x", "y", "xn", "yn").agg(F.count("*").alias("shared"))
+    stars = stars.join(_side("x", signed, bits="xb"), "x").join(_side("y", signed, bits="yb"), "y").where(_alike())
+    stars = work.cut(stars.select("x", "y", "shared"))
+    best = stars.groupBy("y").agg(F.min(F.struct(-F.col("shared"), F.col("x").alias("x"))).alias("b")).select("b.x", "y")
+    sets = work.cut(_sets_of(texts, _ends(stars)).dropDuplicates(["doc"]))
+    links = work.cut(_verified(best, sets, percent))
+    label = work.cut(components(links, work))
+
+    # Round 2: the other smallest members, where that could connect anything.
+    others = _apart(stars.join(best, ["x", "y"], "left_anti"), label)
+    links = work.cut(links.union(_verified(others, sets, percent)))
     label = work.cut(components(links, work))
 
-    # Members of one signature that are still apart meet pairwise; what a star has decided is not asked again.
+    # Round 3: members of one signature that are still apart, pairwise.
     placed = entries.join(label, entries["doc"] == label["node"], "left").select("sig", "doc", "n", "place", F.coalesce("component", "doc").alias("c"))
     apart = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    placed = work.cut(placed.join(apart, "sig", "left_semi"))
-    left = placed.select("sig", F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xplace"), F.col("c").alias("xc"))
-    right = placed.select("sig", F.col("doc").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yplace"), F.col("c").alias("yc"))
-    rest = _possible(left.join(right, "sig").where("x < y and xc != yc"), percent).select("x", "y").distinct()
+    placed = placed.join(apart, "sig", "left_semi").join(signed.select("doc", "bits"), "doc")
+    placed = work.cut(placed)
+    left = _side("x", placed, sig="sig", n="xn", place="xplace", c="xc", bits="xb")
+    right = _side("y", placed, sig="sig", n="yn", place="yplace", c="yc", bits="yb")
+    rest = _possible(left.join(right, "sig").where("x < y and xc != yc"), percent).where(_alike()).select("x", "y").distinct()
     rest = work.cut(rest.join(stars, ["x", "y"], "left_anti"))
     if not rest.isEmpty():
-        sets = _sets_of(texts, rest.select(F.col("x").alias("doc")).union(rest.select("y")).distinct())
-        more = _verified(rest, work.cut(sets.dropDuplicates(["doc"])), percent)
-        label = work.cut(components(links.union(more), work))
+        sets = work.cut(_sets_of(texts, _ends(rest)).dropDuplicates(["doc"]))
+        label = work.cut(components(links.union(_verified(rest, sets, percent)), work))
 
     named = first.join(label, first["rep"] == label["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(named, "set_key", "left").select(
