@@ -29,6 +29,7 @@ REVISIT_FROM = 1000
 FILE_BYTES = 128 << 20
 RANGE_BYTES = 16 << 20
 READ_BYTES = 1 << 20
+MOST_TASKS = 20_000
 LEVEL = 5
 HEADER_LIMIT = 1 << 20
 MANIFEST = "path string, bytes long, records long"
@@ -235,7 +236,8 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, payloads:
     """
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
     ranges = manifest.where("bytes > 0").select("path", F.explode(starts).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    # A range is one small row and much work, so the number of tasks is set; by size they would be put together.
+    ranges = ranges.repartition(max(1, min(ranges.count(), MOST_TASKS)), "path", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
