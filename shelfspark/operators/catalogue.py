@@ -1,7 +1,7 @@
 """Adding, editing and deleting books and genres in batches.
 
-One call applies one kind of request.  Within a batch, requests count as
-handled one after another in the order (ts, request_id).
+One call applies one kind of request and answers others ``unknown_kind``.  Within
+a batch, requests count as handled one after another in the order (ts, request_id).
 """
 
 from __future__ import annotations
@@ -24,12 +24,17 @@ from shelfspark.schema import ADMIN, BOOKS, GENRES, MAX_INT, TEXT_LIMITS, confor
 from shelfspark.tables import Tables
 
 
-def _book_values(tables: Tables, requests: DataFrame) -> DataFrame:
+def _is_kind(kind: str) -> Column:
+    return F.coalesce(F.col("kind") == kind, F.lit(False)).alias("known_kind")
+
+
+def _book_values(tables: Tables, requests: DataFrame, kind: str) -> DataFrame:
     """Permission, cleaned values and, where they cannot be stored, the reason."""
     cleaned = with_permission(requests, tables.users, ADMIN).select(
         "request_id",
         "ts",
         "permitted",
+        _is_kind(kind),
         clean_int("book_id").alias("book_id"),
         clean_text("title").alias("title"),
         clean_text("author").alias("author"),
@@ -44,6 +49,7 @@ def _book_values(tables: Tables, requests: DataFrame) -> DataFrame:
     return cleaned.join(known, "genre_id", "left").withColumn(
         "refusal",
         F.when(~F.col("permitted"), "forbidden")
+        .when(~F.col("known_kind"), "unknown_kind")
         .when(too_long, "too_long")
         .when(F.col("quantity") > MAX_INT, "out_of_range")
         .when(F.col("genre_id").isNotNull() & F.col("genre_known").isNull(), "unknown_genre"),
@@ -51,7 +57,7 @@ def _book_values(tables: Tables, requests: DataFrame) -> DataFrame:
 
 
 def add_books(tables: Tables, requests: DataFrame) -> Change:
-    judged = _book_values(tables, requests).withColumn(
+    judged = _book_values(tables, requests, "add").withColumn(
         "outcome", F.coalesce("refusal", F.lit("added"))
     )
     added = (
@@ -66,7 +72,7 @@ def add_books(tables: Tables, requests: DataFrame) -> Change:
 
 def edit_books(tables: Tables, requests: DataFrame) -> Change:
     """Title, author, genre and quantity are overwritten; the last edit stays."""
-    values = _book_values(tables, requests)
+    values = _book_values(tables, requests, "edit")
     fields = ("title", "author", "genre_id", "quantity")
     last = (
         values.where(F.col("refusal").isNull())
@@ -96,19 +102,21 @@ def add_genres(tables: Tables, requests: DataFrame) -> Change:
     """New genres; of several requests for one name the earliest wins."""
     named = (
         with_permission(requests, tables.users, ADMIN)
+        .withColumn("known_kind", _is_kind("add"))
         .withColumn("name", clean_text("name"))
         .withColumn("name_key", ci("name"))
     )
     fits = F.length("name") <= TEXT_LIMITS["genres"]["name"]
     known = tables.genres.select(ci("name").alias("name_key"))
     fresh = (
-        first_per_key(named.where(F.col("permitted") & fits), "name_key")
+        first_per_key(named.where(F.col("permitted") & F.col("known_kind") & fits), "name_key")
         .join(known, "name_key", "left_anti")
         .select("request_id", F.lit(True).alias("fresh"))
     )
     judged = named.join(fresh, "request_id", "left").withColumn(
         "outcome",
         F.when(~F.col("permitted"), "forbidden")
+        .when(~F.col("known_kind"), "unknown_kind")
         .when(F.col("fresh"), "added")
         .when(~fits, "too_long")
         .otherwise("exists"),
@@ -130,9 +138,9 @@ def _deletions(
 ) -> tuple[DataFrame, DataFrame]:
     """The ids to delete, and each request with the id it deletes, if any."""
     asked = with_permission(requests, tables.users, ADMIN).select(
-        "request_id", "ts", "permitted", clean_int(id_column).alias("id")
+        "request_id", "ts", "permitted", _is_kind("delete"), clean_int(id_column).alias("id")
     )
-    first = first_per_key(asked.where("permitted"), "id")
+    first = first_per_key(asked.where("permitted and known_kind"), "id")
     effective = first.join(present.select("id"), "id", "left_semi")
     marked = asked.join(
         effective.select("request_id", F.lit(True).alias("effective")), "request_id", "left"
@@ -143,6 +151,7 @@ def _deletions(
 def _deletion_outcome(missing: str) -> Column:
     return (
         F.when(~F.col("permitted"), "forbidden")
+        .when(~F.col("known_kind"), "unknown_kind")
         .when(F.col("effective"), "deleted")
         .otherwise(missing)
     )

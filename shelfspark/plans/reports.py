@@ -6,12 +6,9 @@ execution broadcasts a side when its measured size allows it and splits
 partitions that one busy member or book makes too large; only rows whose number
 a LIMIT bounds are broadcast by hint.
 
-Top-k reports pick their rows before they join, so the joins see k rows instead
-of all loans, and the members and books they meet are scanned but not shuffled.
-That is exact when every loan has its member and book, which the declared keys
-guarantee and ``foreign_key_violations`` verifies.  Pass ``trust_keys=False``
-over tables that may break them: loans without a partner are then dropped
-before rows are picked.
+Top-k reports first drop loans without their member or book, by semi joins on keys, then pick their
+rows, so the joins that add names see k rows instead of all loans.  Where the declared keys are known to
+hold (``foreign_key_violations`` finds nothing), ``trust_keys=True`` spares the semi joins.
 """
 
 from __future__ import annotations
@@ -98,7 +95,7 @@ def active_borrows_display(snap: Snapshot) -> DataFrame:
     )
 
 
-def borrow_history(snap: Snapshot, trust_keys: bool = True) -> DataFrame:
+def borrow_history(snap: Snapshot, trust_keys: bool = False) -> DataFrame:
     stored = snap.loans if trust_keys else _with_partners(snap.loans, snap)
     newest_first = (F.desc("borrowed_at"), F.desc("id"))
     latest = stored.orderBy(*newest_first).limit(HISTORY_ROWS)
@@ -145,7 +142,7 @@ def user_stats_display(snap: Snapshot) -> DataFrame:
     return user_stats(snap).select("*", d.minute_text("last_borrow").alias("last_borrow_text"))
 
 
-def top_books(snap: Snapshot, trust_keys: bool = True) -> DataFrame:
+def top_books(snap: Snapshot, trust_keys: bool = False) -> DataFrame:
     """Both counts from one aggregate; open loans need no sweep to be told apart."""
     counts = snap.tables.borrows.groupBy("book_id").agg(
         F.count("*").alias("borrow_count"),
@@ -209,7 +206,7 @@ def genre_list(snap: Snapshot) -> DataFrame:
     return snap.genres.select("id", "name").orderBy(ci("name"), "id")
 
 
-def overdue_top(snap: Snapshot, trust_keys: bool = True) -> DataFrame:
+def overdue_top(snap: Snapshot, trust_keys: bool = False) -> DataFrame:
     late = snap.overdue_loans if trust_keys else _with_partners(snap.overdue_loans, snap)
     # The most days late is the earliest due date.
     latest = late.select("id", "user_id", "book_id", "due_date").orderBy("due_date", "id")

@@ -279,3 +279,22 @@ def test_requests_read_back(spark, tmp_path):
     asked = register(spark, (1, 0, "a", "b"))
     asked.write.parquet(folder)
     assert files.read_requests(spark, folder, "register").collect() == asked.collect()
+
+
+@pytest.mark.parametrize("kind", ["delete", "archive", None])
+def test_requests_of_another_kind_change_nothing(spark, tables, kind):
+    asked = books(spark, kind, (1, 0, ADMIN, "1", "T", "A", "1", "2"), (2, 1, MEMBER, "1", "T", "A", "1", "2"))
+    for apply in (catalogue.add_books, catalogue.edit_books):
+        change = apply(tables, asked)
+        assert outcomes(change) == {1: "unknown_kind", 2: "forbidden"}
+        assert sorted(change.tables.books.collect()) == sorted(tables.books.collect())
+    named = genres(spark, kind, (1, 0, ADMIN, "1", "New shelf"))
+    assert outcomes(catalogue.add_genres(tables, named)) == {1: "unknown_kind"}
+
+
+def test_deletions_refuse_other_kinds(spark, tables):
+    asked = books(spark, "edit", (1, 0, ADMIN, "1", None, None, None, None))
+    change = catalogue.delete_books(tables, asked)
+    assert outcomes(change) == {1: "unknown_kind"} and change.tables.books.count() == tables.books.count()
+    change = catalogue.delete_genres(tables, genres(spark, "add", (1, 0, ADMIN, "1", None)))
+    assert outcomes(change) == {1: "unknown_kind"} and change.tables.genres.count() == tables.genres.count()

@@ -1,7 +1,8 @@
 """The star-schema test tables read as a lending ledger, and requests from them.
 
-Parts are books, nations genres, customers users, and the first line of each
-order is a loan.  The same mapping is spelled in SQL in ``workload.oracle``.
+Parts are books, nations genres, customers users, and every order line is a loan.
+Lines of every 57th part count for the part before, orders of every 61st customer for
+the one before, so that some books are never borrowed and some members idle.  The same mapping is spelled in SQL in ``workload.oracle``.
 """
 
 from __future__ import annotations
@@ -18,6 +19,11 @@ from shelfspark.tables import Snapshot, Tables
 AS_OF = dt.date(2001, 8, 2)
 MEMBER = 7
 EPOCH = "TIMESTAMP_NTZ '1995-01-01 00:00:00'"
+# Tells every line of the test tables apart; order and line number alone repeat.
+LOAN_KEY = (
+    "(((l_orderkey * 8 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT)) * 100000"
+    " + l_partkey) * 1000 + l_suppkey"
+)
 
 # The test tables' columns; naming them saves a job per read that would look
 # into the files for them.
@@ -60,12 +66,12 @@ def star_tables(spark: SparkSession, folder: str) -> Tables:
         "CASE WHEN c_custkey % 50 = 0 THEN 'admin' ELSE 'user' END AS role",
         f"{EPOCH} AS created_at",
     )
-    lines = read(spark, folder, "lineitem").where("l_linenumber = 1")
+    lines = read(spark, folder, "lineitem")
     orders = read(spark, folder, "orders")
     borrows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
-        "l_orderkey * 100000000 + l_partkey * 1000 + l_suppkey AS id",
-        "o_custkey AS user_id",
-        "l_partkey AS book_id",
+        f"{LOAN_KEY} AS id",
+        "CASE WHEN o_custkey % 61 = 0 AND o_custkey > 0 THEN o_custkey - 1 ELSE o_custkey END AS user_id",
+        "CASE WHEN l_partkey % 57 = 0 AND l_partkey > 0 THEN l_partkey - 1 ELSE l_partkey END AS book_id",
         "o_orderdate AS borrowed_at",
         "date_add(CAST(o_orderdate AS DATE), 7) AS due_date",
         "CASE WHEN l_returnflag = 'R' THEN o_orderdate + make_dt_interval(CAST(l_quantity AS INT)) END AS returned_at",
@@ -191,12 +197,16 @@ def delete_genre_requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-EVENT_KIND = "CASE WHEN event_type IN ('purchase', 'signup') THEN 'borrow' ELSE 'return' END"
+# Errors are requests of a kind the ledger does not know.
+EVENT_KIND = (
+    "CASE WHEN event_type IN ('purchase', 'signup') THEN 'borrow' "
+    "WHEN event_type = 'error' THEN 'error' ELSE 'return' END"
+)
 
 
 def event_ledger(spark: SparkSession, folder: str) -> tuple[Tables, DataFrame]:
     """Contended requests: all events on 23 books with little stock, no loans yet."""
-    events = read(spark, folder, "events").where("event_type <> 'error'")
+    events = read(spark, folder, "events")
     base = star_tables(spark, folder)
     books = (
         events.selectExpr("event_id % 23 AS id")
@@ -238,12 +248,11 @@ def line_requests(spark: SparkSession, folder: str) -> DataFrame:
     lines = read(spark, folder, "lineitem")
     orders = read(spark, folder, "orders")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
-        "(l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey AS request_id",
+        f"{LOAN_KEY} AS request_id",
         "o_orderdate + make_dt_interval(3000) AS ts",
         "CASE WHEN l_linenumber = 1 AND l_suppkey % 4 = 0 THEN o_custkey + 1 "
         "ELSE o_custkey END AS user_id",
         "CASE WHEN l_linenumber % 2 = 0 THEN 'borrow' ELSE 'return' END AS kind",
         "CASE WHEN l_linenumber > 1 THEN l_partkey % 50 END AS book_id",
-        "CASE WHEN l_linenumber = 1 THEN l_orderkey * 100000000 + l_partkey * 1000 + l_suppkey "
-        "END AS borrow_id",
+        f"CASE WHEN l_linenumber = 1 THEN {LOAN_KEY} END AS borrow_id",
     )
