@@ -40,7 +40,7 @@ WORDS = 5
 PERCENT = 80
 SKETCH_BITS = 20
 SMALL = 20
-PARITY = 1024
+PARITY = 512
 MAX_CACHED_WORDS = 200_000
 MULTIPLIERS = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
