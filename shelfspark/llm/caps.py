@@ -36,6 +36,8 @@ COSINE = 0.95
 PER_CAP = 256
 SHARED = 24.0
 CODES = 8
+# Shorter vectors are padded with zeros; in few dimensions no direction would exceed the threshold.
+LEAST_DIMENSIONS = 64
 MOST_CODEWORDS = 512
 BLOCK = 2048
 DECODED_AT_ONCE = 128
@@ -76,7 +78,7 @@ def plan_caps(vectors: int, cosine: float = COSINE) -> CapPlan:
 @lru_cache(maxsize=16)
 def _code(dimensions: int, code: int, plan: CapPlan) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
     """Random signs for the padded coordinates, and the codewords of each part, scaled to a unit direction."""
-    padded = 1 << max(plan.parts - 1, (dimensions - 1).bit_length())
+    padded = max(LEAST_DIMENSIONS, 1 << (dimensions - 1).bit_length())
     random = np.random.Generator(np.random.Philox(key=[SEED + code, dimensions]))
     signs = random.integers(0, 2, padded) * 2.0 - 1
     edges = np.linspace(0, padded, plan.parts + 1).astype(int)

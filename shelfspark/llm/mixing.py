@@ -8,7 +8,7 @@
    copy of a seeded choice.  The choice is made within size classes (powers of two), so it has
    documents of all lengths: in each class the documents with the smallest seeded hash, up to a threshold
    that is found by descending through the hash's digits, a sum per digit at a time.  One document
-   more per class, at most, settles what whole documents leave over.
+   more per class, at most, settles what whole documents leave over, chosen by their sums.
 
 The result is a small table of thresholds, a row per pattern and size class; applying it to the
 documents is a map without a shuffle.
@@ -29,6 +29,7 @@ SEED = 7_919
 STEPS_PER_COPY = 4
 MAX_PATTERNS = 4096
 DIGIT_BITS, HASH_BITS = 8, 56
+CHOICES = 2048
 WORDS = r"[^\x20\x09-\x0D]+"
 RULE = "pattern string, size_class int, copies long, extra_until long"
 
@@ -129,18 +130,24 @@ def _edges(rows: DataFrame, wanted: dict[tuple[str, int], float]) -> dict[tuple[
 
 
 def _settle(edges: dict) -> dict:
-    """Bound per stratum of one pattern: its last document is in where it fits into what is missing in all."""
-    missing, until, out = sum(x.missing for x in edges.values()), {}, []
-    for k, x in sorted(edges.items(), key=lambda item: (-item[1].size, item[0])):
-        if x.size <= missing:
-            until[k], missing = x.high, missing - x.size
-        else:
-            until[k] = x.low
-            out.append((abs(missing - x.size), k))
-    nearest = min(((abs(missing - edges[k].size), k) for _, k in out), default=None)
-    if nearest and nearest[0] < missing:
-        until[nearest[1]] = edges[nearest[1]].high
-    return until
+    """Bound per stratum of one pattern: the last documents that are in come closest to what is missing in all.
+
+    The sums of the choices are searched size by size, the largest first, keeping the ``CHOICES`` closest from below and above.
+    """
+    missing = sum(x.missing for x in edges.values())
+    order = sorted(edges, key=lambda k: (-edges[k].size, k))
+    rest = sum(edges[k].size for k in order)
+    sums: list[tuple[int, tuple]] = [(0, ())]
+    for k in order:
+        size, rest = edges[k].size, rest - edges[k].size
+        grown = dict((total, chosen) for total, chosen in reversed(sums))
+        for total, chosen in sums:
+            grown.setdefault(total + size, (*chosen, k))
+        # A sum can still grow by ``rest`` at most, so those near [missing - rest, missing] matter.
+        off = lambda total: max(0, missing - rest - total, total - missing)  # noqa: B023, E731
+        sums = sorted(grown.items(), key=lambda x: (off(x[0]), abs(x[0] - missing), x[0]))[:CHOICES]
+    taken = set(min(sums, key=lambda x: (abs(x[0] - missing), x[0]))[1])
+    return {k: x.high if k in taken else x.low for k, x in edges.items()}
 
 
 def mix(docs: DataFrame, targets: dict | None, work: WorkTables, key: str = "doc_id", sources: Column | None = None, size: Column | None = None, max_repeats: int = 2, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
