@@ -281,7 +281,7 @@ def test_requests_read_back(spark, tmp_path):
     assert files.read_requests(spark, folder, "register").collect() == asked.collect()
 
 
-@pytest.mark.parametrize("kind", ["delete", "archive", None])
+@pytest.mark.parametrize("kind", ["delete", "archive", ""])
 def test_requests_of_another_kind_change_nothing(spark, tables, kind):
     asked = books(spark, kind, (1, 0, ADMIN, "1", "T", "A", "1", "2"), (2, 1, MEMBER, "1", "T", "A", "1", "2"))
     for apply in (catalogue.add_books, catalogue.edit_books):
