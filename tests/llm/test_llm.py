@@ -519,7 +519,9 @@ def test_pipeline_stages(spark, tmp_path):
     for r in mixed:
         taken[r[3]] += len(r[1].encode().split())
     target = mixing.shared_targets(list(sizes.items()))
-    assert all(abs(taken[s] - target[s]) <= 0.002 * target[s] for s in sizes)
+    off = {s: round(abs(taken[s] - target[s]) / target[s], 5) for s in sizes}
+    # Whole documents again, some 45 of very different lengths per source.
+    assert max(off.values()) <= 0.01, off
     assert Counter(r.doc_id for r in encoded) == Counter(r[0] for r in mixed) and all(r.parity and r.round_trip for r in encoded)
 
 
