@@ -15,7 +15,8 @@ Tokens fall into two classes by their bucket's count:
 
 Sets that agree in a signature are candidates.  Length and position refute many, and so does a parity
 sketch: every token flips one of ``PARITY`` bits, so two sketches differ in no more bits than the sets
-differ in tokens.  The others are verified on their full sets.
+differ in tokens.  Sets of more than ``PARITY`` shingles saturate that sketch and have a finer one of about a bit per
+shingle, joined to their candidate pairs only.  The others are verified on their full sets.
 
 Equal sets collapse to one representative first.  To find components exactly without verifying all pairs of
 a large group, candidates meet in rounds, and pairs whose ends are connected by then are left out: first each
@@ -95,12 +96,17 @@ def signatures(shingles: np.ndarray, counts: np.ndarray, frequent_from: int, bit
     return np.concatenate(parts), np.concatenate(places)
 
 
-def parity(shingles: np.ndarray) -> np.ndarray:
-    """The parity sketch as 64-bit integers."""
-    odd = np.bincount((shingles & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+def parity(shingles: np.ndarray, width: int = PARITY) -> np.ndarray:
+    """The parity sketch of ``width`` bits, a power of two, as 64-bit integers."""
+    odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
+def fine_parity(shingles: np.ndarray) -> np.ndarray | None:
+    """The sketch of a set too large for ``PARITY`` bits: the least power of two that has a bit per shingle."""
+    return parity(shingles, 1 << (len(shingles) - 1).bit_length()) if len(shingles) > PARITY else None
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str | None]]:
     for doc, text in zip(batch.column(0), batch.column(1), strict=True):
         yield doc.as_py(), text.as_py()
@@ -141,18 +147,19 @@ def _read_sets(docs: DataFrame, bits: int) -> DataFrame:
 
 
 def _signature_rows(docs: DataFrame, counts: np.ndarray, frequent_from: int, sketch_bits: int) -> DataFrame:
-    """(doc, n, sigs, places, bits) per document with words."""
+    """(doc, n, sigs, places, bits, fine) per document with words; fine is null for sets of up to ``PARITY`` shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, sizes, sigs, places, bits = [], [], [], [], []
+            ids, sizes, sigs, places, bits, fine = [], [], [], [], [], []
             for doc, text in _texts(batch):
                 found = shingle_set(text, hashes)
                 if doc is None or not len(found):
                     continue
                 bits.append(parity(found))
+                fine.append(fine_parity(found))
                 own, at = signatures(found, shared.value, frequent_from, sketch_bits)
                 ids.append(doc)
                 sizes.append(len(found))
@@ -165,10 +172,11 @@ def _signature_rows(docs: DataFrame, counts: np.ndarray, frequent_from: int, ske
                     "sigs": pa.array(sigs, pa.list_(pa.int64())),
                     "places": pa.array(places, pa.list_(pa.int32())),
                     "bits": pa.array(bits, pa.list_(pa.int64())),
+                    "fine": pa.array(fine, pa.list_(pa.int64())),
                 }
             )
 
-    return docs.mapInArrow(sign, "doc long, n int, sigs array<long>, places array<int>, bits array<long>")
+    return docs.mapInArrow(sign, "doc long, n int, sigs array<long>, places array<int>, bits array<long>, fine array<long>")
 
 
 def _only_marked(rows: DataFrame, marks: Bitmap) -> DataFrame:
@@ -228,6 +236,23 @@ def _alike() -> Column:
     return 9 * differ <= F.col("xn") + F.col("yn")
 
 
+def _halved(sketch: Column, size: Column) -> Column:
+    """A sketch of twice ``size`` numbers folded to ``size``, as if it had been taken at half the width; shorter ones as they are."""
+    folded = F.zip_with(F.slice(sketch, 1, size), F.slice(sketch, size + 1, size), lambda low, high: low.bitwiseXOR(high))
+    return F.when(F.size(sketch) > size, folded).otherwise(sketch)
+
+
+def _finely_alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (x, y, xn, yn) of similar length that the finer sketches, where both ends have one, do not refute."""
+    fine = signed.where("fine is not null")
+    met = pairs.join(_side("x", fine, n="xn", fine="xf"), ["x", "xn"], "left").join(_side("y", fine, n="yn", fine="yf"), ["y", "yn"], "left")
+    size = F.least(F.size("xf"), F.size("yf"))
+    bits = F.zip_with(_halved(F.col("xf"), size), _halved(F.col("yf"), size), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    differ = F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+    plain = F.col("xf").isNull() | F.col("yf").isNull()
+    return met.where(plain | (9 * differ <= F.col("xn") + F.col("yn"))).drop("xf", "yf")
+
+
 def _side(name: str, table: DataFrame, **columns: str) -> DataFrame:
     """``table`` with doc as ``name`` and the given columns renamed."""
     return table.select(F.col("doc").alias(name), *(F.col(old).alias(new) for old, new in columns.items()))
@@ -282,7 +307,7 @@ def near_duplicates(docs: DataFrame, work: WorkTables, key: str = "doc_id", text
     met = _side("y", entries, sig="sig", n="yn", place="yplace").join(_side("x", pivots, sig="sig", n="xn", place="xplace"), "sig")
     stars = _possible(met.where("x < y"), percent).groupBy("x", "y", "xn", "yn").agg(F.count("*").alias("shared"))
     stars = stars.join(_side("x", signed, bits="xb"), "x").join(_side("y", signed, bits="yb"), "y").where(_alike())
-    stars = work.cut(stars.select("x", "y", "shared"))
+    stars = work.cut(_finely_alike(stars.drop("xb", "yb"), signed).select("x", "y", "shared"))
     best = stars.groupBy("y").agg(F.min(F.struct(-F.col("shared"), F.col("x").alias("x"))).alias("b")).select("b.x", "y")
     sets = work.cut(_sets_of(texts, _ends(stars)).dropDuplicates(["doc"]))
     links = work.cut(_verified(best, sets, percent))
@@ -300,8 +325,9 @@ def near_duplicates(docs: DataFrame, work: WorkTables, key: str = "doc_id", text
     placed = work.cut(placed)
     left = _side("x", placed, sig="sig", n="xn", place="xplace", c="xc", bits="xb")
     right = _side("y", placed, sig="sig", n="yn", place="yplace", c="yc", bits="yb")
-    rest = _possible(left.join(right, "sig").where("x < y and xc != yc"), percent).where(_alike()).select("x", "y").distinct()
-    rest = work.cut(rest.join(stars, ["x", "y"], "left_anti"))
+    rest = _possible(left.join(right, "sig").where("x < y and xc != yc"), percent).where(_alike())
+    rest = rest.select("x", "y", "xn", "yn").distinct().join(stars, ["x", "y"], "left_anti")
+    rest = work.cut(_finely_alike(rest, signed).select("x", "y"))
     if not rest.isEmpty():
         sets = work.cut(_sets_of(texts, _ends(rest)).dropDuplicates(["doc"]))
         label = work.cut(components(links.union(_verified(rest, sets, percent)), work))

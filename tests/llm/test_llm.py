@@ -398,6 +398,32 @@ def test_ngram_join_against_brute_force(spark, monkeypatch, frequent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_near(rows)
 
 
+def test_ngram_join_of_long_texts(spark):
+    """Sets that saturate the short sketch: copies near the limit link, texts that share half their passages do not."""
+    random_ = random.Random(11)
+    rows = []
+    for group, n in enumerate((505, 520, 700, 1020, 1030, 2100)):
+        base = [f"w{random_.randrange(5000)}" for _ in range(n)]
+        for changed in (0, 2, 8, 11, 14, 18, 25, 40):
+            words = list(base)
+            for at in random_.sample(range(n), n * changed // 500):
+                words[at] = f"new{at}"
+            rows.append((len(rows), " ".join(words)))
+        half = base[: n // 2] + [f"other{group}{random_.randrange(5000)}" for _ in range(n - n // 2)]
+        rows.append((len(rows), " ".join(half)))
+        rows.append((len(rows), " ".join(base[: n * 5 // 6])))
+    sets = {i: set(ngram_join.shingle_set(t, ngram_join.WordHashes()).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    got = ngram_join.near_duplicates(documents(spark, [(i, t, "s") for i, t in rows]), work(spark, "ngrams"), sketch_bits=16)
+    assert {r.doc_id: r.component_id for r in got.collect()} == root
+    assert 1 < len(set(root.values())) < len(rows)
+
+
 def test_ngram_join_edge_cases(spark):
     got = ngram_join.near_duplicates(documents(spark, ODD), work(spark, "ngrams"), sketch_bits=16).collect()
     assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (None, 4), (5, 5), (6, 4)])
