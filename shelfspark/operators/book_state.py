@@ -12,10 +12,12 @@ from pyspark.sql import types as T
 # without the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BORROW, RETURN_HELD, RETURN_LOAN = 0, 1, 2
+BORROW, RETURN_HELD, RETURN_LOAN, RETURN_LOOSE = 0, 1, 2, 3
 # Stands for a loan opened in an earlier slice.  Answers depend on whether a
 # member holds such a loan, not on its key, so slices need not agree on keys.
 INHERITED = -1
+# Stands for a loan that is open by status but has come back: it blocks a borrow and cannot be returned.
+STUCK = -2
 
 # What a replayed slice returns: an "answer" row per request and, for books that
 # span slices, a "book" row and a "member" row per member with the state it used
@@ -39,6 +41,8 @@ REPLAYED = T.StructType(
         T.StructField("held_in", _LONGS),
         T.StructField("held_out", _LONGS),
         T.StructField("opened", T.LongType()),
+        T.StructField("key_in", T.LongType()),
+        T.StructField("names_inherited", T.BooleanType()),
     ]
 )
 _ARROW = {
@@ -54,9 +58,17 @@ _SHAPE = pa.schema([(f.name, _ARROW[f.dataType]) for f in REPLAYED])
 class BookState:
     """Stock and open loans of the books one slice (or one stream key) covers."""
 
-    def __init__(self, stock: dict[int, int], held: dict[tuple[int, int], list[int]]):
+    def __init__(
+        self,
+        stock: dict[int, int],
+        held: dict[tuple[int, int], list[int]],
+        keys: dict[tuple[int, int], int] | None = None,
+    ):
         self.stock = stock
         self.held = held
+        # The key of a member's inherited loan, and the members whose answers depend on it.
+        self.keys = keys or {}
+        self.names_inherited: set[tuple[int, int]] = set()
         self.lowest = dict(stock)
         self.refused: dict[int, int] = {}
 
@@ -74,30 +86,48 @@ class BookState:
             self.lowest[book] = min(self.lowest[book], left - 1)
             self.held[(book, user)] = [loan]
             return True, loan
-        if not mine or (code == RETURN_LOAN and loan not in mine):
+        if code == RETURN_LOOSE:
+            self.stock[book] = self.stock.get(book, 0) + 1
+            return True, loan
+        mine = mine or []
+        if code == RETURN_LOAN and loan in (INHERITED, STUCK):
+            return False, 0
+        if code == RETURN_LOAN:
+            closed = loan
+            if loan not in mine and INHERITED in mine:
+                self.names_inherited.add((book, user))
+                if loan == self.keys.get((book, user)):
+                    closed = INHERITED
+        else:
+            closed = next((held for held in mine if held != STUCK), None)
+        if closed not in mine:
             return False, 0
-        closed = loan if code == RETURN_LOAN else mine[0]
         self.held[(book, user)] = [held for held in mine if held != closed]
         self.stock[book] = self.stock.get(book, 0) + 1
-        return True, closed
+        return True, loan if code == RETURN_LOAN else closed
 
 
 def replay_slice(requests: pa.Table, starts: pa.Table) -> pa.Table:
     """One slice: answers, and for books that span slices the state it leaves."""
     stock: dict[int, int] = {}
     held: dict[tuple[int, int], list[int]] = {}
+    keys: dict[tuple[int, int], int] = {}
     spanning: set[int] = set()
-    columns = ("book_id", "user_id", "shelf", "spans", "quantity", "held")
-    for book, user, shelf, spans, quantity, loans in zip(*[starts[c].to_pylist() for c in columns]):
+    columns = ("book_id", "user_id", "shelf", "spans", "quantity", "held", "key")
+    for book, user, shelf, spans, quantity, loans, key in zip(
+        *[starts[c].to_pylist() for c in columns]
+    ):
         if shelf:
             stock[book] = quantity
             if spans:
                 spanning.add(book)
         else:
             held[(book, user)] = loans
+            if key is not None:
+                keys[(book, user)] = key
     started = dict(stock)
     held_in = {key: loans for key, loans in held.items() if key[0] in spanning}
-    state = BookState(stock, held)
+    state = BookState(stock, held, keys)
 
     requests = requests.sort_by([("at_us", "ascending"), ("request_id", "ascending")])
     columns = ("book_id", "user_id", "code", "loan_id")
@@ -130,6 +160,8 @@ def replay_slice(requests: pa.Table, starts: pa.Table) -> pa.Table:
                 held_in=[held_in.get(key, []) for key in members],
                 held_out=[_as_inherited(state.held.get(key, []), opened) for key in members],
                 opened=[_opened(state.held.get(key, []), opened) for key in members],
+                key_in=[keys.get(key) for key in members],
+                names_inherited=[key in state.names_inherited for key in members],
             ),
             _rows(
                 "book",

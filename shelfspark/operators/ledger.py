@@ -1,7 +1,8 @@
 """Replay of ordered borrow and return requests against stock.
 
-A borrow is admitted when the book has a copy on the shelf and the member holds
-none of it; a return when the member holds the loan it names.  Both rules read
+A borrow is admitted when the book has a copy on the shelf and no loan of the
+member's is open by status; a return when the loan it names is the member's and
+has no return time yet, whatever its status says.  Both rules read
 one book's stock and that book's open loans only, so books are independent, but
 within a book every answer may depend on all earlier ones.  How the requests of
 many and of very busy books are spread over tasks is told in
@@ -15,9 +16,9 @@ import dataclasses
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.loans import due_date
+from shelfspark.functions.loans import due_date, is_open
 from shelfspark.operators import slices
-from shelfspark.operators.book_state import BORROW, RETURN_HELD, RETURN_LOAN
+from shelfspark.operators.book_state import BORROW, RETURN_HELD, RETURN_LOAN, RETURN_LOOSE
 from shelfspark.operators.requests import message, next_keys, outcome_rows, with_permission
 from shelfspark.schema import BOOKS, BORROWS, USER, conform
 from shelfspark.session import work_folder, write_and_reread
@@ -64,6 +65,11 @@ def timestamp(at_us: Column | str) -> Column:
 def resolve(tables: Tables, requests: DataFrame, new_loan_id: Column) -> DataFrame:
     """Requests with the book they concern, the loan they open or name, or why not.
 
+    A return may name a loan that a borrow of the same batch opens; it is told the
+    book here, and whether that borrow came before it and was admitted by the replay.
+    On a stream, where requests cannot be joined with each other, it goes by the
+    ``book_id`` of its own.
+
     Returns that name a loan are joined apart from the rest: the others have no
     loan to join on and would all meet in the partition of NULL.
     """
@@ -78,18 +84,34 @@ def resolve(tables: Tables, requests: DataFrame, new_loan_id: Column) -> DataFra
         .otherwise(F.lit(0).cast("long"))
         .alias("loan_id"),
     )
-    out = slices.returnable(tables).select(
+    out = tables.borrows.where(F.col("returned_at").isNull()).select(
         F.col("id").alias("borrow_id"),
         F.col("user_id").alias("owner"),
         F.col("book_id").alias("loan_book_id"),
+        (~F.coalesce(is_open("status"), F.lit(False))).alias("loose"),
     )
+    own_book = F.lit(None).cast("long")
+    if requests.isStreaming:
+        own_book = F.when(F.col("owner").isNull(), F.col("book_id"))
+    else:
+        opening = judged.where((F.col("kind") == "borrow") & F.col("permitted"))
+        out = out.unionByName(
+            opening.select(
+                new_loan_id.alias("borrow_id"),
+                F.col("user_id").alias("owner"),
+                F.col("book_id").alias("loan_book_id"),
+                F.lit(False).alias("loose"),
+            )
+        )
     named = (
         judged.where(names_loan)
         .join(out, "borrow_id", "left")
         .select(
             *kept,
-            F.when(F.col("owner") == F.col("user_id"), F.col("loan_book_id")).alias("book_id"),
-            F.lit(RETURN_LOAN).alias("code"),
+            F.when(F.col("owner") == F.col("user_id"), F.col("loan_book_id"))
+            .otherwise(own_book)
+            .alias("book_id"),
+            F.when(F.col("loose"), RETURN_LOOSE).otherwise(RETURN_LOAN).alias("code"),
             F.col("borrow_id").alias("loan_id"),
         )
     )
@@ -101,6 +123,19 @@ def resolve(tables: Tables, requests: DataFrame, new_loan_id: Column) -> DataFra
     )
 
 
+def _loose_once(resolved: DataFrame) -> DataFrame:
+    """Refuses all but the first return of each loan that is out though its status is not open.
+
+    Such a loan blocks no borrow, so its first return holds whatever else is asked.
+    """
+    loose = (F.col("code") == RETURN_LOOSE) & F.col("refusal").isNull()
+    order = F.struct("at_us", "request_id")
+    first = resolved.where(loose).groupBy("loan_id").agg(F.min(order).alias("first"))
+    judged = resolved.where(loose).join(first, "loan_id")
+    again = F.when(F.col("first") != order, "no_such_loan")
+    return resolved.where(~loose).unionByName(judged.withColumn("refusal", again).drop("first"))
+
+
 def replay(
     tables: Tables, requests: DataFrame, slice_rows: int = SLICE_ROWS, reuse: bool = True
 ) -> Replay:
@@ -115,6 +150,7 @@ def replay(
     resolved = write_and_reread(
         resolve(tables, requests, next_keys(tables.borrows, requests)), f"{folder}/resolved"
     )
+    resolved = _loose_once(resolved)
     events = resolved.where(F.col("refusal").isNull()).drop("refusal", "permitted", "kind")
     answers = slices.answer(tables, events, slice_rows)
     if reuse:

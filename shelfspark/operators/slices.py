@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.functions.loans import is_open
-from shelfspark.operators.book_state import INHERITED, REPLAYED, replay_slice
+from shelfspark.operators.book_state import INHERITED, REPLAYED, STUCK, replay_slice
 from shelfspark.session import work_folder, write_and_reread
 from shelfspark.tables import Tables
 
@@ -38,21 +38,27 @@ PAIR = ["slice", "book_id"]
 _STORED = T.StructType([*REPLAYED, T.StructField("round", T.IntegerType())])
 
 
-def returnable(tables: Tables) -> DataFrame:
-    """Loans that are out; open by status and not yet back."""
-    return tables.borrows.where(is_open("status") & F.col("returned_at").isNull())
+def blocking(tables: Tables) -> DataFrame:
+    """(book_id, user_id, id): loans that block another borrow, those open by status.
+
+    One that has come back all the same cannot be returned and carries ``STUCK`` for its key.
+    """
+    key = F.when(F.col("returned_at").isNull(), F.col("id")).otherwise(F.lit(STUCK))
+    return tables.borrows.where(is_open("status")).select(
+        "book_id", "user_id", key.cast("long").alias("id")
+    )
 
 
 def _loans_before(tables: Tables, sliced: DataFrame) -> DataFrame:
     """(slice, book, user, held): loans from before, where a member first appears."""
     first = sliced.groupBy("book_id", "user_id").agg(F.min("slice").alias("slice"))
     return (
-        returnable(tables)
-        .select("book_id", "user_id", "id")
+        blocking(tables)
         .join(first, ["book_id", "user_id"])
         .groupBy(*PAIR, "user_id")
         # The admission rule keeps this list at one loan per member and book.
         .agg(F.sort_array(F.collect_list("id")).alias("held"))
+        .withColumn("key", F.lit(None).cast("long"))
     )
 
 
@@ -64,6 +70,7 @@ def _start_rows(stock: DataFrame, held: DataFrame, spans: bool) -> DataFrame:
         F.lit(spans).alias("spans"),
         F.col("quantity").cast("long").alias("quantity"),
         F.lit(None).cast("array<long>").alias("held"),
+        F.lit(None).cast("long").alias("key"),
     )
     loans = held.select(
         *PAIR,
@@ -72,6 +79,7 @@ def _start_rows(stock: DataFrame, held: DataFrame, spans: bool) -> DataFrame:
         F.lit(False).alias("spans"),
         F.lit(0).cast("long").alias("quantity"),
         "held",
+        "key",
     )
     rows = shelf.unionByName(loans)
     # Fresh column identities: the rows meet the requests they stem from again.
@@ -225,7 +233,7 @@ class _BusyBooks:
         for book, frontier in self.books.items():
             stock.update(self._stock_at(frontier, book))
         members = self._replayed("member", set(stock)).select(
-            *PAIR, "user_id", "held_in", "held_out"
+            *PAIR, "user_id", "held_in", "held_out", "key_in", "names_inherited", "opened"
         )
         at_frontier = self.held.select(
             F.lit(-1).alias("slice"),
@@ -233,15 +241,24 @@ class _BusyBooks:
             "user_id",
             F.lit(None).cast("array<long>").alias("held_in"),
             F.col("held").alias("held_out"),
+            F.lit(None).cast("long").alias("key_in"),
+            F.lit(False).alias("names_inherited"),
+            F.col("key").alias("opened"),
         )
         known = members.unionByName(at_frontier)
         # One member of one book has a row per slice at most.
         by_member = W.partitionBy("book_id", "user_id").orderBy("slice")
         none = F.array().cast("array<long>")
-        held = known.withColumn(
-            "held", F.coalesce(F.lag("held_out").over(by_member), none)
-        ).where("slice >= 0")
-        other_loans = held.where(F.col("held") != F.col("held_in")).select(*PAIR).distinct()
+        earlier = by_member.rowsBetween(W.unboundedPreceding, -1)
+        held = (
+            known.withColumn("held", F.coalesce(F.lag("held_out").over(by_member), none))
+            .withColumn("key", F.last("opened", True).over(earlier))
+            .where("slice >= 0")
+        )
+        # The key of an inherited loan matters only to a member who names one.
+        other_key = F.col("names_inherited") & ~F.col("key").eqNullSafe(F.col("key_in"))
+        other = (F.col("held") != F.col("held_in")) | other_key
+        other_loans = held.where(other).select(*PAIR).distinct()
         wrong = {(row.slice, row.book_id) for row in other_loans.collect()}
         wrong |= {pair for pair, quantity in stock.items() if not self._fits(pair, quantity)}
 
@@ -271,7 +288,10 @@ class _BusyBooks:
         self.held = write_and_reread(
             known.join(behind, PAIR, "left_semi")
             .groupBy("book_id", "user_id")
-            .agg(F.max_by("held_out", "slice").alias("held"))
+            .agg(
+                F.max_by("held_out", "slice").alias("held"),
+                F.max_by("opened", F.when(F.col("opened").isNotNull(), F.col("slice"))).alias("key"),
+            )
             .where(F.size("held") > 0),
             f"{self.folder}/held/{self.round}-{sum(f.settled for f in self.books.values())}",
         )

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from shelfspark.operators.book_state import BookState
+from shelfspark.operators.book_state import RETURN_LOOSE, BookState
 from shelfspark.operators.ledger import answer_outcomes, resolve
-from shelfspark.operators.slices import returnable
+from shelfspark.operators.slices import blocking
 from shelfspark.tables import Tables
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -23,10 +23,11 @@ _ANSWER = (
     "loan_id long, accepted boolean, late boolean"
 )
 # Parallel lists: member users[i] holds loan loans[i].  ``known`` lists members
-# whose loans from before the stream are already part of the state.
+# whose loans from before the stream are already part of the state; ``loose``
+# lists returned loans whose status was never open.
 _STATE = (
     "quantity long, at_us long, request_id long, "
-    "users array<long>, loans array<long>, known array<long>"
+    "users array<long>, loans array<long>, known array<long>, loose array<long>"
 )
 
 
@@ -38,12 +39,12 @@ def _answer_batch(
     rows = rows.sort_values(["at_us", "request_id"], kind="stable")
     held: dict[tuple[int, int], list[int]] = {}
     if state.exists:
-        quantity, at_us, request_id, users, loans, known = state.get
-        last, known = (at_us, request_id), set(known)
+        quantity, at_us, request_id, users, loans, known, loose = state.get
+        last, known, loose = (at_us, request_id), set(known), set(loose)
         for user, loan in zip(users, loans):
             held.setdefault((book, user), []).append(loan)
     else:
-        quantity, last, known = int(rows["quantity"].iloc[0]), None, set()
+        quantity, last, known, loose = int(rows["quantity"].iloc[0]), None, set(), set()
     book_state = BookState({book: quantity}, held)
 
     answers = []
@@ -57,6 +58,11 @@ def _answer_batch(
             known.add(user)
             held.setdefault((book, user), []).extend(int(x) for x in before)
         last = (at_us, request_id)
+        if code == RETURN_LOOSE:
+            if loan in loose:
+                answers.append((False, 0, False))
+                continue
+            loose.add(loan)
         answers.append((*book_state.answer(book, user, code, loan), False))
 
     pairs = [(user, loan) for (_, user), loans in held.items() for loan in loans]
@@ -68,6 +74,7 @@ def _answer_batch(
                 [user for user, _ in pairs],
                 [loan for _, loan in pairs],
                 sorted(known),
+                sorted(loose),
             )
         )
     accepted, loans, lates = zip(*answers)
@@ -90,7 +97,7 @@ def ledger_stream(tables: Tables, requests: DataFrame) -> DataFrame:
     resolved = resolve(tables, requests, (top + 1 + F.col("request_id")).cast("long"))
     stock = tables.books.select(F.col("id").alias("book_id"), F.col("quantity").cast("long"))
     before = (
-        returnable(tables)
+        blocking(tables)
         .groupBy("book_id", "user_id")
         .agg(F.sort_array(F.collect_list("id")).alias("held"))
     )

@@ -21,13 +21,17 @@ def at(seconds):
     return START + dt.timedelta(seconds=seconds)
 
 
+def is_back(status, back=None):
+    return status == "returned" if back is None else back
+
+
 def library(spark, stock, loans=(), members=range(1, 60), admins=()):
-    """loans: (id, user, book, status)"""
+    """loans: (id, user, book, status), and whether it is back where that differs from the status"""
     due = dt.date(2026, 5, 8)
     books = [(b, f"B{b}", "", q, None, START) for b, q in stock.items()]
     borrows = [
-        (i, u, b, START, due, START if status == "returned" else None, status)
-        for i, u, b, status in loans
+        (i, u, b, START, due, START if is_back(status, *back) else None, status)
+        for i, u, b, status, *back in loans
     ]
     users = [(u, f"u{u}", "", "admin" if u in admins else "user", START) for u in members]
     return Tables(
@@ -46,26 +50,29 @@ def asked(spark, rows):
 def one_by_one(stock, loans, rows, new_id):
     """Every request on its own, in order, over plain lists of loans."""
     stock = dict(stock)
-    out = [{"id": i, "user": u, "book": b} for i, u, b, status in loans if status != "returned"]
+    out = [
+        {"id": i, "user": u, "book": b, "blocks": status != "returned", "due": not is_back(status, *back)}
+        for i, u, b, status, *back in loans
+    ]
     answers = {}
     for i, _, user, kind, book, loan in sorted(rows, key=lambda row: (row[1], row[0])):
         if kind == "borrow":
-            has = any(x["user"] == user and x["book"] == book for x in out)
+            has = any(x["user"] == user and x["book"] == book and x["blocks"] for x in out)
             ok = stock.get(book, 0) > 0 and not has
             if ok:
                 stock[book] -= 1
-                out.append({"id": new_id(i), "user": user, "book": book})
+                out.append({"id": new_id(i), "user": user, "book": book, "blocks": True, "due": True})
             answers[i] = "borrowed" if ok else "unavailable"
             continue
         if loan is not None:
-            match = [x for x in out if x["id"] == loan and x["user"] == user and loan < new_id(0)]
+            match = [x for x in out if x["id"] == loan and x["user"] == user and x["due"]]
         else:
-            match = [x for x in out if x["user"] == user and x["book"] == book]
+            match = [x for x in out if x["user"] == user and x["book"] == book and x["blocks"] and x["due"]]
         if match:
             out.remove(match[0])
             stock[match[0]["book"]] += 1
         answers[i] = "returned" if match else "no_such_loan"
-    return answers, stock, {(x["id"], x["user"], x["book"]) for x in out}
+    return answers, stock, {(x["id"], x["user"], x["book"]) for x in out if x["blocks"]}
 
 
 def check(spark, stock, loans, rows, **options):
@@ -79,8 +86,9 @@ def check(spark, stock, loans, rows, **options):
     still = replayed.tables.borrows.where("status <> 'returned'")
     assert {(x.id, x.user_id, x.book_id) for x in still.collect()} == out
     # Copies are neither made nor lost.
-    was_out = sum(status != "returned" for *_, status in loans)
-    assert sum(left.values()) + len(out) == sum(stock.values()) + was_out
+    if all(len(x) == 4 for x in loans):
+        was_out = sum(x[3] != "returned" for x in loans)
+        assert sum(left.values()) + len(out) == sum(stock.values()) + was_out
     assert min(left.values()) >= 0
     return replayed
 
@@ -119,6 +127,55 @@ def test_named_returns(spark):
     assert (loan.status, loan.returned_at) == ("returned", at(2))
 
 
+@pytest.mark.parametrize("options", [{}, {"slice_rows": 2}])
+def test_return_of_a_loan_opened_in_the_batch(spark, options):
+    rows = [
+        (1, 1, 4, "return", None, 9),  # before request 2 opens it
+        (2, 2, 4, "borrow", 1, None),  # loan 9
+        (3, 3, 5, "return", None, 9),  # not the owner
+        (4, 4, 4, "return", None, 9),
+        (5, 5, 4, "return", None, 9),  # a second time
+        (6, 6, 4, "borrow", 1, None),  # loan 13
+        (7, 7, 4, "borrow", 1, None),  # refused, so there is no loan 14
+        (8, 8, 4, "return", None, 14),
+        (9, 9, 4, "return", None, 13),
+    ]
+    replayed = check(spark, {1: 1}, [(7, 3, 1, "active")], rows, **options)
+    done = {x.request_id for x in replayed.outcomes.collect() if x.outcome == "returned"}
+    assert done == {4, 9}
+
+
+@pytest.mark.parametrize("stock", [2, 40])
+def test_named_returns_of_new_loans_in_slices(spark, stock):
+    rows, rng = traffic(21, 160, 2, 9, hot_share=0.7), random.Random(3)
+    first = min(row[0] for row in rows)
+    asked_for = {}
+    for at_row, (i, second, user, kind, book, loan) in enumerate(rows):
+        if kind == "borrow":
+            asked_for.setdefault(user, []).append(501 + i - first)
+        elif user in asked_for and rng.random() < 0.7:
+            rows[at_row] = (i, second, user, kind, None, rng.choice(asked_for[user][-2:]))
+    check(spark, {1: stock, 2: stock}, [(500, 1, 1, "active")], rows, slice_rows=40)
+
+
+@pytest.mark.parametrize("options", [{}, {"slice_rows": 3}])
+def test_status_blocks_and_return_time_returns(spark, options):
+    loans = [(1, 1, 1, "returned", False), (2, 2, 1, "active", True), (3, 3, 1, "overdue", False)]
+    rows = [
+        (1, 1, 1, "borrow", 1, None),  # its old loan does not block
+        (2, 2, 2, "borrow", 1, None),  # blocked by status alone
+        (3, 3, 2, "return", None, 2),  # has come back
+        (4, 4, 2, "return", 1, None),
+        (5, 5, 1, "return", None, 1),  # still due, whatever its status
+        (6, 6, 1, "return", None, 1),
+        (7, 7, 2, "return", None, 1),
+        (8, 8, 3, "return", None, 3),
+    ]
+    replayed = check(spark, {1: 5}, loans, rows, **options)
+    done = {x.request_id for x in replayed.outcomes.collect() if x.outcome in ("borrowed", "returned")}
+    assert done == {1, 5, 8}
+
+
 def test_only_members_may_ask(spark):
     tables = library(spark, {1: 5}, members=[1, 2], admins=[2])
     rows = [(1, 1, 1, "borrow", 1, None), (2, 2, 2, "borrow", 1, None), (3, 3, 9, "borrow", 1, None), (4, 4, 1, "renew", 1, None)]
@@ -215,6 +272,22 @@ def test_stream_equals_batch(spark):
     assert {x.request_id: x.message for x in got} == {x.request_id: x.message for x in batch}
 
 
+def test_stream_returns_loans_it_opened(spark):
+    loans = [(1, 7, 1, "returned", False), (2, 8, 1, "active", True)]
+    tables = library(spark, {1: 1}, loans)
+    first = [(0, 10, 5, "borrow", 1, None), (1, 11, 7, "return", 1, 1), (2, 12, 8, "borrow", 1, None)]
+    second = [
+        (3, 20, 6, "return", 1, 3),  # not the owner
+        (4, 21, 5, "return", 1, 3),
+        (5, 22, 5, "return", 1, 3),
+        (6, 23, 7, "return", 1, 1),
+    ]
+    got = {x.request_id: x.outcome for x in stream_batches(spark, tables, [first, second])}
+    want, _, _ = one_by_one({1: 1}, loans, first + second, lambda i: 3 + i)
+    assert got == want
+    assert [i for i in got if got[i] == "returned"] and {i for i in got if got[i] == "returned"} == {1, 4}
+
+
 def test_stream_marks_late_requests(spark):
     tables = library(spark, {1: 1, 2: 1})
     first = [(5, 50, 1, "borrow", 1, None)]
