@@ -5,12 +5,13 @@ threshold, that is, when it lies in the direction's cap.  Vectors that are close
 far more often than others.  The directions are a random product code (Becker, Ducas, Gama, Laarhoven,
 2016): coordinates are rotated by random signs and a Hadamard transform and cut into parts, each part has a
 few random codewords, and every combination of codewords is a direction.  Directions of one code resemble
-each other, so there are ``CODES`` codes with rotations of their own.  A vector's filters are
+each other, so there are several codes with rotations of their own.  A vector's filters are
 list-decoded: part by part, keeping only what can still reach the threshold, so the number of
 directions may far exceed the work.
 
 The plan fits the caps to the number of vectors: a cap holds about ``PER_CAP`` of unrelated
-vectors, and there are so many that a pair at the limit shares ``SHARED`` of them on average.  The work
+vectors, and there are so many that a pair at the limit shares ``SHARED`` of them on average, both by the exact law
+of inner products on the sphere.  The work
 so grows with the vectors, not with their square.  All pairs within a cap are verified in double
 precision.  A link may be met in several caps; it counts in the first of them only.  Equal vectors
 collapse to one first.  A cap with more than ``BLOCK`` members is cut into blocks, and pairs of blocks are
@@ -36,52 +37,69 @@ COSINE = 0.95
 PER_CAP = 256
 SHARED = 24.0
 CODES = 8
+# Directions of three parts resemble each other more, so their number is spread over more codes.
+MANY_CODES = 64
 # Shorter vectors are padded with zeros; in few dimensions no direction would exceed the threshold.
 LEAST_DIMENSIONS = 64
-MOST_CODEWORDS = 512
+MOST_DEVIATIONS = 40
+MOST_CODEWORDS = 2048
 BLOCK = 2048
 DECODED_AT_ONCE = 128
 COLUMNS = 1024
 SEED = 31_337
 
 
-def _tail(x: np.ndarray | float) -> np.ndarray:
-    return 0.5 * np.vectorize(math.erfc)(np.asarray(x) / math.sqrt(2))
+def padded(dimensions: int) -> int:
+    return max(LEAST_DIMENSIONS, 1 << (dimensions - 1).bit_length())
+
+
+def _law(dimensions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inner products of unit vectors with a random direction, in standard deviations: grid, density, tail.
+
+    The law on the sphere, not its Gaussian limit: in 64 dimensions the two differ tenfold where caps are small.
+    """
+    grid = np.linspace(0, min(math.sqrt(dimensions), MOST_DEVIATIONS), 1 << 16)
+    density = np.maximum(0, 1 - grid * grid / dimensions) ** ((dimensions - 3) / 2)
+    beyond = np.cumsum(density[::-1])[::-1]
+    return grid, density / beyond[0] / 2, beyond / beyond[0] / 2
 
 
 @dataclass(frozen=True)
 class CapPlan:
-    """``threshold`` in standard deviations of a random inner product; ``codewords`` per part of each code."""
+    """``threshold`` in standard deviations of a random inner product; ``codewords`` per part of each of ``codes``."""
 
     threshold: float
     parts: int
     codewords: int
+    codes: int
 
 
-def plan_caps(vectors: int, cosine: float = COSINE) -> CapPlan:
-    """Caps for so many vectors: their height from ``PER_CAP``, their number from ``SHARED``."""
+def plan_caps(vectors: int, cosine: float = COSINE, dimensions: int = LEAST_DIMENSIONS) -> CapPlan:
+    """Caps for so many vectors of ``dimensions``: their height from ``PER_CAP``, their number from ``SHARED``."""
+    size = padded(dimensions)
     share = min(0.02, PER_CAP / max(1, vectors))
-    low, high = 0.0, 12.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if float(_tail(middle)) > share else (low, middle)
-    u = np.linspace(low, low + 6, 4001)
-    density = np.exp(-u * u / 2) / math.sqrt(2 * math.pi)
-    both = float(np.sum(density * _tail((low - cosine * u) / math.sqrt(1 - cosine * cosine))) * (u[1] - u[0]))
-    directions = SHARED / both / CODES
-    parts = 2
-    while directions ** (1 / parts) > MOST_CODEWORDS:
-        parts += 1
-    return CapPlan(low, parts, math.ceil(directions ** (1 / parts)))
-
-
-@lru_cache(maxsize=16)
+    grid, density, tail = _law(size)
+    low = int(np.searchsorted(-tail, -share))
+    u, threshold = grid[low:-1] / math.sqrt(size), grid[low] / math.sqrt(size)
+    # Given one inner product, the other depends on a random direction with one dimension less.
+    rest = np.sqrt(max(1e-12, 1 - cosine * cosine) * (1 - u * u))
+    needed = (threshold - cosine * u) / rest * math.sqrt(size - 1)
+    others, _, other = _law(size - 1)
+    exceeds = np.interp(np.abs(needed), others, other, right=0.0)
+    both = float(density[low:-1] @ np.where(needed > 0, exceeds, 1 - exceeds))
+    codes, parts = CODES, 2
+    while (SHARED / both / codes) ** (1 / parts) > MOST_CODEWORDS:
+        codes, parts = MANY_CODES, parts + 1
+    return CapPlan(float(grid[low]), parts, math.ceil((SHARED / both / codes) ** (1 / parts)), codes)
+
+
+@lru_cache(maxsize=MANY_CODES)
 def _code(dimensions: int, code: int, plan: CapPlan) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
     """Random signs for the padded coordinates, and the codewords of each part, scaled to a unit direction."""
-    padded = max(LEAST_DIMENSIONS, 1 << (dimensions - 1).bit_length())
+    size = padded(dimensions)
     random = np.random.Generator(np.random.Philox(key=[SEED + code, dimensions]))
-    signs = random.integers(0, 2, padded) * 2.0 - 1
-    edges = np.linspace(0, padded, plan.parts + 1).astype(int)
+    signs = random.integers(0, 2, size) * 2.0 - 1
+    edges = np.linspace(0, size, plan.parts + 1).astype(int)
     words = []
     for k in range(plan.parts):
         word = random.standard_normal((edges[k + 1] - edges[k], plan.codewords))
@@ -105,7 +123,7 @@ def _rotated(vectors: np.ndarray, signs: np.ndarray) -> np.ndarray:
 def decode_caps(vectors: np.ndarray, plan: CapPlan) -> list[np.ndarray]:
     """The filters of each unit vector, ascending: all directions of all codes that exceed the threshold."""
     of_all, names_all = [], []
-    for code in range(CODES):
+    for code in range(plan.codes):
         signs, words = _code(vectors.shape[1], code, plan)
         turned, scores, at = _rotated(vectors, signs), [], 0
         for word in words:
@@ -219,7 +237,9 @@ def near_duplicates(rows: DataFrame, work: WorkTables, key: str = "vec_id", vect
     usable = finite & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
     distinct = given.where(usable).groupBy("vector").agg(F.min("vec").alias("vec"), F.count("*").alias("weight"))
     distinct = work.cut(distinct)
-    plan = plan_caps(distinct.count(), cosine)
+    vectors, most = distinct.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    sizes = [1 << k for k in range(padded(most).bit_length())]
+    plans = {size: plan_caps(vectors, cosine, size) for size in sizes if size >= LEAST_DIMENSIONS}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +250,7 @@ def near_duplicates(rows: DataFrame, work: WorkTables, key: str = "vec_id", vect
                 at = np.flatnonzero(dims == dim)
                 for start in range(0, len(at), DECODED_AT_ONCE):
                     some = at[start : start + DECODED_AT_ONCE]
-                    for i, found in zip(some, decode_caps(unit(_matrix(vectors.take(pa.array(some)))), plan), strict=True):
+                    for i, found in zip(some, decode_caps(unit(_matrix(vectors.take(pa.array(some)))), plans[padded(int(dim))]), strict=True):
                         caps[i] = found
             yield pa.RecordBatch.from_pydict({"vec": batch.column(1), "weight": batch.column(2), "dim": pa.array(dims, pa.int32()), "vector": vectors, "caps": pa.array(caps, pa.list_(pa.int64()))})
 

@@ -194,6 +194,20 @@ def test_caps_recall_at_the_limit():
         assert np.mean(found) > 0.995
 
 
+@pytest.mark.parametrize("dimensions", [24, 64, 256])
+@pytest.mark.parametrize("vectors", [10**6, 10**7, 10**8, 10**10])
+def test_caps_recall_does_not_fall_with_the_rows(vectors, dimensions):
+    random_ = np.random.default_rng(2)
+    x = caps.unit(random_.standard_normal((400, dimensions)))
+    z = random_.standard_normal((400, dimensions))
+    z -= (z * x).sum(axis=1)[:, None] * x
+    y = 0.95 * x + math.sqrt(1 - 0.95**2) * caps.unit(z)
+    plan = caps.plan_caps(vectors, dimensions=dimensions)
+    shared = np.array([np.intersect1d(a, b).size for a, b in zip(caps.decode_caps(x, plan), caps.decode_caps(y, plan), strict=True)])
+    assert 0.8 * caps.SHARED < shared.mean() < 1.25 * caps.SHARED
+    assert np.mean(shared > 0) > 0.99
+
+
 def test_components(spark):
     random_ = random.Random(3)
     links = [(random_.randrange(400), random_.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 6000 + i) for i in range(300)]
