@@ -33,7 +33,8 @@ class Replay:
     """Answers in full, the changes they amount to, and the tables after them.
 
     ``opened``, ``closed`` and ``stock_delta`` hold what changed, for sinks
-    that apply changes; ``tables`` is the complete new state.
+    that apply changes; ``tables`` is the complete new state.  ``answers`` are
+    the requests that were asked, with their book.
     """
 
     tables: Tables
@@ -41,6 +42,7 @@ class Replay:
     opened: DataFrame
     closed: DataFrame
     stock_delta: DataFrame
+    answers: DataFrame
 
 
 def micros(ts: Column | str) -> Column:
@@ -137,18 +139,25 @@ def _loose_once(resolved: DataFrame) -> DataFrame:
 
 
 def replay(
-    tables: Tables, requests: DataFrame, slice_rows: int = SLICE_ROWS, reuse: bool = True
+    tables: Tables,
+    requests: DataFrame,
+    slice_rows: int = SLICE_ROWS,
+    reuse: bool = True,
+    new_loan_id: Column | None = None,
 ) -> Replay:
     """Answer all requests in the order (ts, request_id), and apply the admitted.
 
     ``requests`` follow ``LEDGER_REQUEST``.  A return names a loan, or else the
     book, which stands for the member's open loan of it.  With ``reuse`` the
     answers are written once for all results; without, each result derives the
-    answers of ordinary books anew.
+    answers of ordinary books anew.  ``new_loan_id`` is the key of the loan a
+    borrow opens, by default the next free ones.
     """
+    if new_loan_id is None:
+        new_loan_id = next_keys(tables.borrows, requests)
     folder = work_folder(requests.sparkSession)
     resolved = write_and_reread(
-        resolve(tables, requests, next_keys(tables.borrows, requests)), f"{folder}/resolved"
+        resolve(tables, requests, new_loan_id), f"{folder}/resolved"
     )
     resolved = _loose_once(resolved)
     events = resolved.where(F.col("refusal").isNull()).drop("refusal", "permitted", "kind")
@@ -221,4 +230,4 @@ def _apply(tables: Tables, resolved: DataFrame, answers: DataFrame) -> Replay:
     )
     outcomes = answer_outcomes(answers, resolved)
     state = tables.replace(books=conform(books, BOOKS), borrows=conform(borrows, BORROWS))
-    return Replay(state, outcomes, opened, closed, stock_delta)
+    return Replay(state, outcomes, opened, closed, stock_delta, answers)

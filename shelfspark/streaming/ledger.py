@@ -1,4 +1,10 @@
-"""The ledger over an endless stream of requests, with state kept per book."""
+"""The ledger over an endless stream of requests.
+
+``answer_arrivals`` answers every request, in order of arrival: all of a trigger
+through the slices of the batch replay, so that a busy book is split there too.
+``ledger_stream`` answers within one streaming query, keeps its state per book
+and refuses what arrives after a later request for its book.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +12,16 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import cloudpickle
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelfspark.operators.book_state import RETURN_LOOSE, BookState
-from shelfspark.operators.ledger import answer_outcomes, resolve
+from shelfspark.operators.ledger import SLICE_ROWS, Replay, answer_outcomes, replay, resolve
 from shelfspark.operators.slices import blocking
+from shelfspark.schema import BORROWS, LEDGER_REQUEST, conform
 from shelfspark.tables import Tables
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -129,3 +137,125 @@ def run_to_files(outcomes: DataFrame, folder: str) -> None:
         .start()
     )
     query.awaitTermination()
+
+
+_ARRIVED = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LEDGER_REQUEST) + ", trigger long"
+# What a trigger leaves: loans opened on the stream and still out, loans from before that came back, and
+# for each book asked for how its stock changed and its latest answered request.
+_LEFT = {
+    "opened": BORROWS,
+    "closed": "id long",
+    "books": "book_id long, delta long, at_us long, request_id long",
+}
+_OUTCOMES = "request_id long, outcome string, message string, late boolean"
+_BEFORE = -1
+
+
+def _with_trigger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # A trigger that runs again after a failure keeps its number.
+    number = int(TaskContext.get().getLocalProperty("streaming.sql.batchId"))
+    for batch in batches:
+        yield batch.append_column("trigger", pa.array([number] * batch.num_rows, pa.int64()))
+
+
+def answer_arrivals(
+    tables: Tables, requests: DataFrame, folder: str, slice_rows: int = SLICE_ROWS
+) -> None:
+    """Answer all requests that are there now into ``folder``/outcomes, then stop.
+
+    Requests apply in order of arrival: by trigger, then (ts, request_id).  None
+    is refused for its age; ``late`` tells that an earlier trigger had answered a
+    later request for the same book.  ``tables`` are the state before the stream.
+    New loans are numbered on from their highest loan key by request_id, so those
+    start at 0 or above; a return may name such a loan without its book.
+
+    A streaming query first records which trigger brought each request.  Then each
+    trigger is a batch replay on the state its predecessors left, whose slices
+    bound what a busy book brings to one task.  Every trigger writes the state it
+    leaves, as large as the books asked for and the loans changed since the start.
+    A trigger cut off is answered again with the same result, one answered is not.
+    """
+    spark = requests.sparkSession
+    query = (
+        conform(requests, LEDGER_REQUEST)
+        .mapInArrow(_with_trigger, _ARRIVED)
+        .writeStream.format("parquet")
+        .partitionBy("trigger")
+        .option("path", f"{folder}/arrived")
+        .option("checkpointLocation", f"{folder}/progress")
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+    done = f"{folder}/answered"
+    start = {name: spark.createDataFrame([], columns) for name, columns in _LEFT.items()}
+    _write_trigger(folder, _BEFORE, start, spark.createDataFrame([], _OUTCOMES))
+    spark.createDataFrame([(_BEFORE,)], "trigger long").write.mode("ignore").parquet(done)
+    last = spark.read.schema("trigger long").parquet(done).agg(F.max("trigger")).first()[0]
+    arrived = spark.read.schema(_ARRIVED).parquet(f"{folder}/arrived")
+    new = arrived.where(F.col("trigger") > last).select("trigger").distinct()
+    top = tables.borrows.agg(F.max("id")).first()[0] or 0
+    for number in sorted(row.trigger for row in new.collect()):
+        left = {
+            name: spark.read.schema(columns).parquet(f"{folder}/state/{last}/{name}")
+            for name, columns in _LEFT.items()
+        }
+        asked = arrived.where(F.col("trigger") == number).drop("trigger")
+        key = (F.lit(top + 1) + F.col("request_id")).cast("long")
+        answered = replay(_tables_after(tables, left), asked, slice_rows, new_loan_id=key)
+        _write_trigger(
+            folder, number, _left_after(left, answered, top), _with_lateness(answered, left["books"])
+        )
+        spark.createDataFrame([(number,)], "trigger long").write.mode("append").parquet(done)
+        last = number
+
+
+def _write_trigger(
+    folder: str, number: int, left: dict[str, DataFrame], outcomes: DataFrame
+) -> None:
+    for name, rows in left.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/state/{number}/{name}")
+    outcomes.write.mode("overwrite").parquet(f"{folder}/outcomes/trigger={number}")
+
+
+def _tables_after(tables: Tables, left: dict[str, DataFrame]) -> Tables:
+    """The tables before the stream with what its triggers changed; loans that came back are left out."""
+    delta = left["books"].select(F.col("book_id").alias("id"), "delta")
+    quantity = (F.col("quantity") + F.coalesce("delta", F.lit(0))).cast("int")
+    books = tables.books.join(delta, "id", "left").withColumn("quantity", quantity).drop("delta")
+    borrows = tables.borrows.join(left["closed"], "id", "left_anti")
+    return tables.replace(books=books, borrows=conform(borrows, BORROWS).unionByName(left["opened"]))
+
+
+def _left_after(left: dict[str, DataFrame], answered: Replay, top: int) -> dict[str, DataFrame]:
+    closed = answered.closed.select("id")
+    asked = answered.answers.groupBy("book_id").agg(
+        F.max(F.struct("at_us", "request_id")).alias("last")
+    )
+    books = (
+        left["books"]
+        .unionByName(asked.selectExpr("book_id", "0L AS delta", "last.at_us", "last.request_id"))
+        .unionByName(answered.stock_delta, allowMissingColumns=True)
+        .groupBy("book_id")
+        .agg(F.sum("delta").alias("delta"), F.max(F.when(F.col("at_us").isNotNull(), F.struct("at_us", "request_id"))).alias("last"))
+    )
+    return {
+        "opened": left["opened"].unionByName(answered.opened).join(closed, "id", "left_anti"),
+        "closed": left["closed"].unionByName(closed.where(F.col("id") <= top)),
+        "books": books.select("book_id", "delta", "last.at_us", "last.request_id"),
+    }
+
+
+def _with_lateness(answered: Replay, books: DataFrame) -> DataFrame:
+    last = books.select("book_id", F.struct("at_us", "request_id").alias("last"))
+    late = (
+        answered.answers.select("book_id", "request_id", F.struct("at_us", "request_id").alias("own"))
+        .join(last, "book_id")
+        .where(F.col("own") < F.col("last"))
+        .select("request_id", F.lit(True).alias("late"))
+        .distinct()
+    )
+    noted = answered.outcomes.join(late, "request_id", "left")
+    return noted.withColumn("late", F.coalesce("late", F.lit(False)))

@@ -11,7 +11,7 @@ from shelfspark.operators import book_state, ledger, slices
 from shelfspark.schema import BOOKS, BORROWS, GENRES, LEDGER_REQUEST, USERS
 from shelfspark.session import work_folder
 from shelfspark.sources import files
-from shelfspark.streaming.ledger import ledger_stream, run_to_files
+from shelfspark.streaming.ledger import answer_arrivals, ledger_stream, run_to_files
 from shelfspark.tables import Tables
 
 START = dt.datetime(2026, 5, 1, 9)
@@ -298,3 +298,52 @@ def test_stream_marks_late_requests(spark):
     ]
     got = {x.request_id: x.outcome for x in stream_batches(spark, tables, [first, second])}
     assert got == {5: "borrowed", 6: "late", 7: "borrowed", 8: "unavailable"}
+
+
+def arrival_batches(spark, tables, batches, slice_rows):
+    """Two files arrive at a time, each a trigger of its own."""
+    folder = work_folder(spark)
+    for number, rows in enumerate(batches):
+        asked(spark, rows).coalesce(1).write.parquet(f"{folder}/in/{number}")
+        if number % 2 or number == len(batches) - 1:
+            arriving = files.stream_requests(spark, f"{folder}/in/*", "ledger", max_files=1)
+            answer_arrivals(tables, arriving, folder, slice_rows)
+    return spark.read.parquet(f"{folder}/outcomes").collect()
+
+
+@pytest.mark.parametrize("slice_rows", [1_000_000, 20])
+def test_arrivals_out_of_order_are_all_answered(spark, slice_rows):
+    rows = traffic(5, 300, 4, 20)
+    random.Random(3).shuffle(rows)
+    rows.append((900, -50, 30, "return", None, 1002))
+    loans = [(1000, 1, 1, "active"), (1001, 2, 1, "overdue"), (1002, 30, 2, "active")]
+    tables = library(spark, {b: 3 for b in range(1, 5)}, loans)
+    batches = [rows[:120], rows[120:200], rows[200:]]
+    got = arrival_batches(spark, tables, batches, slice_rows)
+    # Serially: each trigger wholly after the one before.
+    inorder = [(i, number * 10**6 + s, *rest) for number, batch in enumerate(batches) for i, s, *rest in batch]
+    want, _, _ = one_by_one({b: 3 for b in range(1, 5)}, loans, inorder, lambda i: 1003 + i)
+    assert len(got) == len(rows)
+    assert {x.request_id: x.outcome for x in got} == want
+    assert sum(x.late and x.outcome in ("borrowed", "returned") for x in got) > 10
+    by_id = {i: (number, s, book) for number, batch in enumerate(batches) for i, s, _, _, book, _ in batch}
+    by_id[900] = (2, -50, 2)
+    for x in got:
+        number, second, book = by_id[x.request_id]
+        earlier = [(s, i) for i, (n, s, b) in by_id.items() if n < number and b == book]
+        if x.outcome in ("borrowed", "returned"):
+            assert x.late == (max(earlier, default=(-100, 0)) > (second, x.request_id))
+
+
+def test_arrivals_return_loans_of_earlier_triggers(spark):
+    tables = library(spark, {1: 1}, [(1, 7, 1, "returned", False), (2, 8, 1, "active", True)])
+    batches = [
+        [(0, 50, 5, "borrow", 1, None)],
+        [(1, 10, 5, "return", None, 3), (2, 11, 7, "return", None, 1)],
+        [(3, 5, 7, "return", None, 1), (4, 6, 8, "borrow", 1, None), (5, 7, 5, "return", None, 3), (6, 8, 6, "borrow", 1, None)],
+    ]
+    got = {x.request_id: (x.outcome, x.late) for x in arrival_batches(spark, tables, batches, 1_000_000)}
+    assert {i: outcome for i, (outcome, _) in got.items()} == {
+        0: "borrowed", 1: "returned", 2: "returned", 3: "no_such_loan", 4: "unavailable", 5: "no_such_loan", 6: "borrowed",
+    }
+    assert not got[0][1] and got[1][1] and got[2][1] and got[6][1]

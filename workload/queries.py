@@ -16,7 +16,7 @@ from shelfspark.operators.sweep import sweep
 from shelfspark.plans import reports as r
 from shelfspark.schema import BOOKS, TABLES
 from shelfspark.session import work_folder
-from shelfspark.streaming.ledger import ledger_stream, run_to_files
+from shelfspark.streaming.ledger import answer_arrivals
 from workload import mapping as m
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -238,7 +238,7 @@ def ledger_replay_sliced(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ledger_stream_replay(spark: SparkSession, folder: str) -> DataFrame:
-    """The same requests as a stream over the event file, with state per book."""
+    """The same requests as a stream over the event file, answered in order of arrival."""
     tables, _ = m.event_ledger(spark, folder)
     events = m.read(spark, folder, "events")
     arriving = (
@@ -247,7 +247,7 @@ def ledger_stream_replay(spark: SparkSession, folder: str) -> DataFrame:
         .parquet(folder)
     )
     results = work_folder(spark)
-    run_to_files(ledger_stream(tables, m.ledger_requests(arriving)), results)
+    answer_arrivals(tables, m.ledger_requests(arriving), results)
     return _event_answers(spark.read.parquet(f"{results}/outcomes"))
 
 
