@@ -13,11 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,14 @@ BLOCK_GRAMS = 8192
 BLOCK_TEXTS = 256
 MAX_LETTERS = 20_000
 MAX_LANGUAGES = 1000
+# How often chance alone may pass for a language, and which share of learned pieces may look like chance.
+CHANCE = 1e-4
+UNLIKE = 0.002
+PIECES = 4000
+LEAST_PIECES = 50
+PIECE_CHARACTERS = 1000
+PIECE_WORDS = (1, 2, 4, 8, 16, 32, 64)
+LEAST_GRAMS = (4, 8, 16, 32, 64, 128)
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -76,6 +86,12 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_counts=True)
 
 
+def effective_grams(text: str) -> float:
+    """As many equally frequent n-grams would give a vector as even as that of the text; repeats add nothing."""
+    counts = gram_counts(text)[1].astype(np.float64)
+    return float(counts.sum() ** 2 / max(1.0, (counts**2).sum()))
+
+
 def text_vectors(texts: list[str | None], letters: Letters) -> np.ndarray:
     """Unit vector per text, zero where there is no letter; works on blocks of texts and n-grams."""
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
@@ -161,3 +177,82 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> Column:
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     return nearest(F.col(text))
+
+
+@dataclass(frozen=True)
+class Limits:
+    """When a text is like no learned language.
+
+    ``noise`` is a cosine that texts without a common n-gram exceed in ``CHANCE`` of the cases, whatever their length.
+    Learned texts clear it from ``grams`` effective n-grams on (None: never), so shorter ones cannot be told by it; for
+    these there are the ``letters`` of the learned texts.
+    """
+
+    noise: float
+    grams: int | None
+    letters: frozenset[str]
+
+
+def limits(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang") -> Limits:
+    """The limits for ``profiles``, which were learned from ``docs``.
+
+    All learned texts give their letters.  Pieces of 1 to 64 words are cut from the starts of at most ``PIECES`` texts (or
+    ``LEAST_PIECES`` a language), chosen by hash per language; ``grams`` is twice the least number from which on all but
+    ``UNLIKE`` of the pieces of every language exceed the noise, as learned texts score higher than new ones.
+    """
+    buckets = max(LEAST_PIECES, PIECES // max(1, len(profiles.languages)))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, chosen = set(), {}
+        for batch in batches:
+            for whole, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if whole:
+                    met.update(whole.lower())
+                    start = whole[:PIECE_CHARACTERS]
+                    order, bucket = divmod(xxhash.xxh64_intdigest(start.encode("utf-8", "surrogatepass"), SEED) >> 1, buckets)
+                    chosen[name, bucket] = min(chosen.get((name, bucket), (order, start)), (order, start))
+        letters = [ord(x) for x in met if LETTERS.match(x)]
+        rows = [(None, point, 0, None) for point in letters] + [(*key, *value) for key, value in chosen.items()]
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in rows], schema)
+
+    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("order", pa.int64()), ("start", pa.string())])
+    known = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    found = known.mapInArrow(gather, "lang string, bucket int, order long, start string").groupBy("lang", "bucket").agg(F.min_by("start", "order").alias("start")).collect()
+    met = frozenset(chr(row.bucket) for row in found if row.lang is None)
+    noise = NormalDist().inv_cdf(1 - CHANCE / max(1, len(profiles.languages))) / DIMENSIONS**0.5
+
+    words = [(row.lang, LETTERS.findall(row.start)) for row in found if row.lang is not None]
+    pieces = [(name, " ".join(x[:length])) for name, x in words for length in PIECE_WORDS if len(x) >= length]
+    scores = (text_vectors([piece for _, piece in pieces], Letters()).astype(np.float64) @ profiles.prototypes.T).max(axis=1)
+    names = np.array([name for name, _ in pieces], object)
+    sizes = np.array([effective_grams(piece) for _, piece in pieces])
+    for least in LEAST_GRAMS:
+        rest = [scores[(names == name) & (sizes >= least)] for name in profiles.languages]
+        if all(len(x) and (x <= noise).mean() <= UNLIKE for x in rest):
+            return Limits(noise, 2 * least, met)
+    return Limits(noise, None, met)
+
+
+def like_learned(docs: DataFrame, profiles: Profiles, limit: Limits, text: str = "text") -> Column:
+    """Whether a text is like a learned language.
+
+    Not so: null or without a letter; of ``limit.grams`` effective n-grams or more and with a best cosine within the
+    noise; shorter and without a single letter of the learned texts.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((profiles, limit))
+
+    @F.pandas_udf("boolean")
+    def like(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        letters, (own, limit) = Letters(), shared.value
+        for texts in batches:
+            vectors = text_vectors(texts.tolist(), letters)
+            best = (vectors.astype(np.float64) @ own.prototypes.T).max(axis=1)
+            kept = vectors.any(axis=1)
+            for i in np.flatnonzero(kept & (best <= limit.noise)):
+                if limit.grams is not None and effective_grams(texts.iloc[i]) >= limit.grams:
+                    kept[i] = False
+                else:
+                    kept[i] = not limit.letters.isdisjoint(texts.iloc[i].lower())
+            yield pd.Series(kept)
+
+    return like(F.col(text))

@@ -492,6 +492,32 @@ def test_language_edge_cases(spark):
     assert langid.train(documents(spark, [])).languages == ()
 
 
+def test_pipeline_language_stage_drops_foreign_scripts_and_keeps_short_clean_texts(spark):
+    random_ = random.Random(4)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    scripts = [(0x430, 0x44F), (0x4E00, 0x9FFF), (0x621, 0x63A), (0x3B1, 0x3C9)]
+
+    def foreign(low, high, n):
+        return " ".join("".join(chr(random_.randint(low, high)) for _ in range(random_.randint(2, 8))) for _ in range(n))
+
+    strange = [foreign(*script, n) for script in scripts for n in (1, 3, 200) for _ in range(30)]
+    clean = sorted({w for r in docs.where("text is not null").limit(300).collect() for w in langid.LETTERS.findall(r.text)})
+    clean = ["Avec.", "a", "I", *random_.sample(clean, 1500)]
+    given = [(10**9 + i, text, None, "x", len(text)) for i, text in enumerate(strange + clean)]
+    added = spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long")
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    known = docs.select(columns)
+    # Where a learned text quotes the scripts, their letters tell nothing; long texts are still told by the noise.
+    quote = known.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat("text", F.lit(" " + " ".join(strange))))
+    quoted = corpus_pipeline.language(spark, known.unionByName(quote).unionByName(added), "").where("doc_id >= 1000000000")
+    found = {r.doc_id - 10**9 for r in quoted.collect()}
+    assert not [i for i in range(len(strange)) if i in found and len(strange[i]) > 200]
+    assert [i for i in range(len(strange), len(given)) if i not in found] == []
+    kept = {r.doc_id - 10**9 for r in corpus_pipeline.language(spark, known.unionByName(added), "").where("doc_id >= 1000000000").collect()}
+    assert not [i for i in range(len(strange)) if i in kept]
+    assert [i for i in range(len(strange), len(given)) if i not in kept] == []
+
+
 # --- 10 -----------------------------------------------------------------------
 
 
