@@ -7,8 +7,8 @@ it matches when it contains at least ``PERCENT`` of the template's distinct word
   must have one of the first k - ceil(0.8 k) + 1 words of a template of k words (prefix filter), so only texts with such a word
   go on, and only blocks that cover a place of it;
 * a text with fewer template words than must be found cannot match (length filter);
-* a place whose prefix word has rank i leaves at most k - i words for a block in which it is the
-  first of the prefix, so ranks that leave too few refute (position filter);
+* a place whose prefix word has rank i leaves at most k - i words for a block in which it is the first of the
+  prefix; ranks that leave too few are just those outside the prefix, so this position filter refutes nothing more;
 * what remains is counted word by word.
 
 Besides, a few phrases count wherever their words stand consecutively.  The templates are a fixed list, so the
