@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters stripped from form text, and the collation that
-# compares names without regard to case, accents or trailing spaces.
+# The characters stripped from form text.
 STRIPPED = " \t\n\r\0\x0b"
-COLLATION = "UNICODE_CI_AI_RTRIM"
+# Fixed values of the source's collation: sharp s weighs as s, characters beyond the basic plane weigh all the same.
+SHARP_S = {"ß": "S"}
+BEYOND = "\ufffd"
 
 _WHOLE = r"^\s*([+-]?[0-9]+)"
 _SCIENTIFIC = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-]?[0-9]+)"
@@ -50,9 +54,31 @@ def md5_hex(c: Column | str) -> Column:
     return F.md5(F.coalesce(as_column(c), F.lit("")).cast("binary"))
 
 
+@functools.cache
+def _weights() -> tuple[str, str]:
+    """Characters whose weight is another character, and those: the capital of the letter without its accents."""
+    plain, weight = [], []
+    for code in (*range(0xD800), *range(0xE000, 0x10000)):
+        char = chr(code)
+        base, *marks = unicodedata.normalize("NFD", char)
+        base = base if all(unicodedata.combining(mark) for mark in marks) else char
+        upper = SHARP_S.get(char, base.upper())
+        upper = upper if len(upper) == 1 else base
+        if upper != char:
+            plain.append(char)
+            weight.append(upper)
+    return "".join(plain), "".join(weight)
+
+
 def ci(c: Column | str) -> Column:
-    """``c`` under the case-blind collation, for keys and sort order."""
-    return F.collate(as_column(c), COLLATION)
+    """The weights of ``c`` as text, alike for names that the source's collation takes as equal, and in its order.
+
+    One weight per character: no case, no accents, sharp s as s, but a letter with a separate accent sign is two
+    characters.  Blanks at the end do not count.  A plain text, so it sorts, groups and joins like any other.
+    """
+    plain, weight = _weights()
+    basic = F.regexp_replace(as_column(c), r"[\x{10000}-\x{10FFFF}]", BEYOND)
+    return F.rtrim(F.translate(basic, plain, weight))
 
 
 def contains_ci(text: Column, query: str) -> Column:

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from shelfspark.functions.text import ci, clean_text, md5_hex
 from shelfspark.operators.requests import (
     Change,
+    counters_after,
     first_per_key,
     message,
-    next_keys,
+    next_free,
+    numbered,
     outcome_rows,
 )
 from shelfspark.schema import TEXT_LIMITS, USER, USERS, conform
@@ -36,29 +38,35 @@ def register_users(tables: Tables, requests: DataFrame) -> Change:
         "outcome",
         F.when(F.col("fresh"), "registered").when(~fits, "too_long").otherwise("taken"),
     )
-    added = judged.where("fresh").select(
-        next_keys(tables.users, requests).alias("id"),
-        "username",
-        "password",
-        F.lit(USER).alias("role"),
-        F.col("ts").alias("created_at"),
-    )
-    users = tables.users.unionByName(conform(added, USERS))
+
+    def registered() -> Tables:
+        added = numbered(judged.where("fresh").select("ts", "request_id", "username", "password"), ["ts", "request_id"], n=F.lit(True))
+        rows = added.select(
+            (next_free(tables, "users") + F.col("n") - 1).alias("id"),
+            "username",
+            "password",
+            F.lit(USER).alias("role"),
+            F.col("ts").alias("created_at"),
+        )
+        counters = counters_after(tables, users=F.coalesce(added.agg(F.max("n")).scalar(), F.lit(0)))
+        return tables.replace(users=tables.users.unionByName(conform(rows, USERS)), counters=counters)
+
     outcomes = outcome_rows(
         judged, {"registered": message("registered"), "taken": message("taken")}
     )
-    return Change(tables.replace(users=users), outcomes)
+    return Change(registered, outcomes)
 
 
 def login_audit(users: DataFrame, attempts: DataFrame) -> DataFrame:
     """Whether each attempt names a user and carries that user's password.
 
-    Names compare case-blind, the hash exactly.
+    Names compare case-blind, the hash exactly.  Where several users have one name, the one with the
+    smallest id counts, so every attempt gets one outcome.
     """
     keyed = attempts.select(
         "request_id", ci(clean_text("username")).alias("name_key"), md5_hex("password").alias("given")
     )
-    stored = users.select(ci("username").alias("name_key"), F.col("password").alias("stored"))
+    stored = users.groupBy(ci("username").alias("name_key")).agg(F.min_by("password", "id").alias("stored"))
     judged = keyed.join(stored, "name_key", "left").withColumn(
         "outcome",
         F.when(F.col("given") == F.col("stored"), "accepted").otherwise("denied"),

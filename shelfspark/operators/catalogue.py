@@ -13,10 +13,11 @@ from shelfspark.functions.loans import is_open
 from shelfspark.functions.text import ci, clean_int, clean_text, zero_to_null
 from shelfspark.operators.requests import (
     Change,
-    dense_keys,
+    counters_after,
     first_per_key,
     message,
-    next_keys,
+    next_free,
+    numbered,
     outcome_rows,
     with_permission,
 )
@@ -60,14 +61,15 @@ def add_books(tables: Tables, requests: DataFrame) -> Change:
     judged = _book_values(tables, requests, "add").withColumn(
         "outcome", F.coalesce("refusal", F.lit("added"))
     )
-    added = (
-        judged.where(F.col("outcome") == "added")
-        .withColumn("id", next_keys(tables.books, requests))
-        .withColumnRenamed("ts", "created_at")
-    )
-    books = tables.books.unionByName(conform(added, BOOKS))
+
+    def with_added() -> Tables:
+        added = numbered(judged.where(F.col("outcome") == "added"), ["ts", "request_id"], n=F.lit(True))
+        rows = added.withColumn("id", next_free(tables, "books") + F.col("n") - 1).withColumnRenamed("ts", "created_at")
+        counters = counters_after(tables, books=F.coalesce(added.agg(F.max("n")).scalar(), F.lit(0)))
+        return tables.replace(books=tables.books.unionByName(conform(rows, BOOKS)), counters=counters)
+
     outcomes = outcome_rows(judged, {"added": message("book_added", F.col("title"))})
-    return Change(tables.replace(books=books), outcomes)
+    return Change(with_added, outcomes)
 
 
 def edit_books(tables: Tables, requests: DataFrame) -> Change:
@@ -121,16 +123,18 @@ def add_genres(tables: Tables, requests: DataFrame) -> Change:
         .when(~fits, "too_long")
         .otherwise("exists"),
     )
-    # Genre keys are 32-bit, so they are handed out without gaps.
-    top = F.coalesce(tables.genres.agg(F.max("id")).scalar(), F.lit(0))
-    accepted = judged.where("fresh").select("ts", "request_id", "name")
-    added = dense_keys(accepted, [F.col("ts"), F.col("request_id")], top)
-    genres = tables.genres.unionByName(conform(added, GENRES))
+
+    def with_added() -> Tables:
+        added = numbered(judged.where("fresh").select("ts", "request_id", "name"), ["ts", "request_id"], n=F.lit(True))
+        rows = added.withColumn("id", next_free(tables, "genres") + F.col("n") - 1)
+        counters = counters_after(tables, genres=F.coalesce(added.agg(F.max("n")).scalar(), F.lit(0)))
+        return tables.replace(genres=tables.genres.unionByName(conform(rows, GENRES)), counters=counters)
+
     outcomes = outcome_rows(
         judged,
         {"added": message("genre_added", F.col("name")), "exists": message("genre_exists")},
     )
-    return Change(tables.replace(genres=genres), outcomes)
+    return Change(with_added, outcomes)
 
 
 def _deletions(
@@ -170,7 +174,8 @@ def delete_genres(tables: Tables, requests: DataFrame) -> Change:
         marked.withColumn("outcome", _deletion_outcome("no_such_genre")),
         {"deleted": deleted, "no_such_genre": deleted},
     )
-    return Change(tables.replace(books=conform(books, BOOKS), genres=genres), outcomes)
+    counters = counters_after(tables, genres=0)
+    return Change(tables.replace(books=conform(books, BOOKS), genres=genres, counters=counters), outcomes)
 
 
 def delete_books(tables: Tables, requests: DataFrame) -> Change:
@@ -205,6 +210,7 @@ def delete_books(tables: Tables, requests: DataFrame) -> Change:
     return Change(
         tables.replace(
             books=tables.books.join(gone, "id", "left_anti"),
+            counters=counters_after(tables, books=0, borrows=0),
             borrows=tables.borrows.join(gone_loans, "book_id", "left_anti").select(
                 tables.borrows.columns
             ),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.loans import due_date, is_open
 from shelfspark.operators import slices
 from shelfspark.operators.book_state import BORROW, RETURN_HELD, RETURN_LOAN, RETURN_LOOSE
-from shelfspark.operators.requests import message, next_keys, outcome_rows, with_permission
+from shelfspark.operators.requests import counters_after, message, next_keys, outcome_rows, with_permission
 from shelfspark.schema import BOOKS, BORROWS, USER, conform
 from shelfspark.session import work_folder, write_and_reread
 from shelfspark.tables import Tables
@@ -69,8 +69,6 @@ def resolve(tables: Tables, requests: DataFrame, new_loan_id: Column) -> DataFra
 
     A return may name a loan that a borrow of the same batch opens; it is told the
     book here, and whether that borrow came before it and was admitted by the replay.
-    On a stream, where requests cannot be joined with each other, it goes by the
-    ``book_id`` of its own.
 
     Returns that name a loan are joined apart from the rest: the others have no
     loan to join on and would all meet in the partition of NULL.
@@ -92,27 +90,21 @@ def resolve(tables: Tables, requests: DataFrame, new_loan_id: Column) -> DataFra
         F.col("book_id").alias("loan_book_id"),
         (~F.coalesce(is_open("status"), F.lit(False))).alias("loose"),
     )
-    own_book = F.lit(None).cast("long")
-    if requests.isStreaming:
-        own_book = F.when(F.col("owner").isNull(), F.col("book_id"))
-    else:
-        opening = judged.where((F.col("kind") == "borrow") & F.col("permitted"))
-        out = out.unionByName(
-            opening.select(
-                new_loan_id.alias("borrow_id"),
-                F.col("user_id").alias("owner"),
-                F.col("book_id").alias("loan_book_id"),
-                F.lit(False).alias("loose"),
-            )
+    opening = judged.where((F.col("kind") == "borrow") & F.col("permitted"))
+    out = out.unionByName(
+        opening.select(
+            new_loan_id.alias("borrow_id"),
+            F.col("user_id").alias("owner"),
+            F.col("book_id").alias("loan_book_id"),
+            F.lit(False).alias("loose"),
         )
+    )
     named = (
         judged.where(names_loan)
         .join(out, "borrow_id", "left")
         .select(
             *kept,
-            F.when(F.col("owner") == F.col("user_id"), F.col("loan_book_id"))
-            .otherwise(own_book)
-            .alias("book_id"),
+            F.when(F.col("owner") == F.col("user_id"), F.col("loan_book_id")).alias("book_id"),
             F.when(F.col("loose"), RETURN_LOOSE).otherwise(RETURN_LOAN).alias("code"),
             F.col("borrow_id").alias("loan_id"),
         )
@@ -154,7 +146,7 @@ def replay(
     borrow opens, by default the next free ones.
     """
     if new_loan_id is None:
-        new_loan_id = next_keys(tables.borrows, requests)
+        new_loan_id = next_keys(tables, "borrows", requests)
     folder = work_folder(requests.sparkSession)
     resolved = write_and_reread(
         resolve(tables, requests, new_loan_id), f"{folder}/resolved"
@@ -164,16 +156,16 @@ def replay(
     answers = slices.answer(tables, events, slice_rows)
     if reuse:
         answers = write_and_reread(answers, f"{folder}/answers")
-    return _apply(tables, resolved, answers)
+    span = requests.agg((F.max("request_id") - F.min("request_id") + 1).alias("n")).scalar()
+    counters = counters_after(tables, borrows=F.coalesce(span, F.lit(0)))
+    return _apply(tables.replace(counters=counters), resolved, answers)
 
 
 def answer_outcomes(answers: DataFrame, resolved: DataFrame) -> DataFrame:
     """One outcome per request: the answers, and the reasons of those never asked."""
     borrowing = F.col("code") == BORROW
-    late = F.col("late") if "late" in answers.columns else F.lit(False)
     outcome = (
-        F.when(late, "late")
-        .when(borrowing & F.col("accepted"), "borrowed")
+        F.when(borrowing & F.col("accepted"), "borrowed")
         .when(borrowing, "unavailable")
         .when(F.col("accepted"), "returned")
         .otherwise("no_such_loan")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import dataclasses
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfspark.schema import TABLES
 from shelfspark.session import work_folder, write_and_reread
 from shelfspark.tables import Tables
 
@@ -28,12 +29,20 @@ MESSAGES = {
 }
 
 
-@dataclasses.dataclass(frozen=True)
 class Change:
-    """The new state, and one outcome row per request."""
+    """The new state, and one outcome row per request.
 
-    tables: Tables
-    outcomes: DataFrame
+    New keys take a job, so the state may be given as a function; it is called when the state is first asked for.
+    """
+
+    def __init__(self, tables: Tables | Callable[[], Tables], outcomes: DataFrame):
+        self._tables, self.outcomes = tables, outcomes
+
+    @property
+    def tables(self) -> Tables:
+        if callable(self._tables):
+            self._tables = self._tables()
+        return self._tables
 
 
 def message(name: str, value: Column | None = None) -> Column:
@@ -83,16 +92,54 @@ def first_per_key(requests: DataFrame, key: str) -> DataFrame:
     return first.select(key, F.col("first.request_id").alias("request_id"))
 
 
-def next_keys(existing: DataFrame, requests: DataFrame) -> Column:
-    """Surrogate keys for inserts: unique, rising with request_id, with gaps.
+def next_free(tables: Tables, name: str) -> Column:
+    """The key that the next row of a table gets: above all present ones, and above those its counter has given."""
+    top = F.coalesce(getattr(tables, name).agg(F.max("id")).scalar(), F.lit(0)).cast("long") + 1
+    if tables.counters is None:
+        return top
+    given = tables.counters.where(F.col("tbl") == name).agg(F.max("next_id")).scalar()
+    return F.greatest(top, F.coalesce(given, F.lit(1).cast("long")))
+
+
+def counters_after(tables: Tables, **used: Column | int) -> DataFrame:
+    """The counters of all tables, those named moved on by so many keys.
+
+    Deletions name their table with 0: its counter must not fall back with the rows.
+    """
+    spark = tables.books.sparkSession
+    rows = [
+        F.struct(F.lit(name).alias("tbl"), (next_free(tables, name) + F.lit(used.get(name, 0))).cast("long").alias("next_id"))
+        for name in TABLES
+        if name in used or tables.counters is not None
+    ]
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("row")).select("row.*")
+
+
+def next_keys(tables: Tables, name: str, requests: DataFrame) -> Column:
+    """Keys on from the table's counter by the distance of request ids: unique, rising with request_id, with gaps.
 
-    Each request of the batch takes its own number, used or not, just as an
-    auto-increment counter moves on when an insert is refused.  Needs neither a
-    window nor a shuffle.
+    Needs neither a window nor a shuffle.  Request ids may be anything, as long as the distance between two of
+    them fits 64 bits together with the keys.
     """
-    top = F.coalesce(existing.agg(F.max("id")).scalar(), F.lit(0))
     first = requests.agg(F.min("request_id")).scalar()
-    return (top + 1 + F.col("request_id") - first).cast("bigint")
+    return (next_free(tables, name) + (F.col("request_id") - first)).cast("bigint")
+
+
+def numbered(df: DataFrame, order: list[str], **which: Column) -> DataFrame:
+    """Adds for each name the place, from 1, among the rows that meet its condition; null for other rows.
+
+    The rows are range-partitioned by ``order`` and written once; a place is the number of such rows in earlier partitions plus
+    those before it in its own.  Only the counts, one row per partition, pass through a single task.
+    """
+    flags = [F.coalesce(met, F.lit(False)).cast("int").alias(name) for name, met in which.items()]
+    ranged = df.select("*", *flags).repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    kept = write_and_reread(ranged, work_folder(df.sparkSession))
+    counts = kept.groupBy("__part").agg(*(F.sum(name).alias(name) for name in which))
+    earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("__part", *(F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"__{name}") for name in which))
+    upto = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    places = {name: F.when(F.col(name) == 1, F.col(f"__{name}") + F.sum(name).over(upto)) for name in which}
+    return kept.join(F.broadcast(before), "__part").withColumns(places).drop("__part", *(f"__{name}" for name in which))
 
 
 def dense_keys(df: DataFrame, order: list[Column], base: Column, name: str = "id") -> DataFrame:

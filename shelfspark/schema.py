@@ -97,6 +97,20 @@ GENRE_REQUEST = _struct(
     ("genre_id", _TEXT, True),
     ("name", _TEXT, True),
 )
+# Books and genres in one ordered batch; each kind reads the fields it needs.
+CATALOGUE_KINDS = ("add_book", "edit_book", "delete_book", "add_genre", "delete_genre")
+CATALOGUE_REQUEST = _struct(
+    ("request_id", _LONG, False),
+    ("ts", _TIME, False),
+    ("user_id", _LONG, False),
+    ("kind", _TEXT, False),
+    ("book_id", _TEXT, True),
+    ("title", _TEXT, True),
+    ("author", _TEXT, True),
+    ("genre_id", _TEXT, True),
+    ("quantity", _TEXT, True),
+    ("name", _TEXT, True),
+)
 REGISTER_REQUEST = _struct(
     ("request_id", _LONG, False),
     ("ts", _TIME, False),
@@ -108,6 +122,7 @@ REQUESTS = {
     "ledger": LEDGER_REQUEST,
     "book": BOOK_REQUEST,
     "genre": GENRE_REQUEST,
+    "catalogue": CATALOGUE_REQUEST,
     "register": REGISTER_REQUEST,
     "login": LOGIN_ATTEMPT,
 }

@@ -57,6 +57,13 @@ def _remove(spark: SparkSession, folder: str) -> None:
         system.delete(status.getPath(), True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever storage the path names."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target)
+
+
 def write_and_reread(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     """Cut lineage with a written table, so a lost executor costs no recomputation."""
     df.write.partitionBy(*partition_by).parquet(path)

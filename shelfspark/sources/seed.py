@@ -58,6 +58,10 @@ def starter_password(username: str) -> str:
     return f"{username}-opens-the-shelf"
 
 
+# The keys that the starter tables' counters give next.
+NEXT_IDS = [("books", 7), ("borrows", 8), ("genres", 9), ("users", 11)]
+
+
 def _users(spark: SparkSession) -> DataFrame:
     rows = [
         (key, name, hashlib.md5(starter_password(name).encode()).hexdigest(), role, _time(at))
@@ -81,6 +85,7 @@ def starter_tables(spark: SparkSession) -> Tables:
         borrows=_borrows(spark),
         genres=spark.createDataFrame(GENRE_ROWS, GENRES),
         users=_users(spark),
+        counters=spark.createDataFrame(NEXT_IDS, "tbl string, next_id long"),
     )
 
 

@@ -1,223 +1,179 @@
-"""The ledger over an endless stream of requests.
+"""The ledger over an endless stream of requests, answered in order of arrival.
 
-``answer_arrivals`` answers every request, in order of arrival: all of a trigger
-through the slices of the batch replay, so that a busy book is split there too.
-``ledger_stream`` answers within one streaming query, keeps its state per book
-and refuses what arrives after a later request for its book.
+A streaming query records which trigger brought each request.  Every recorded trigger is then a
+batch replay on the state its predecessors left, so a busy book is split there as in a batch, and it is answered while
+later requests still arrive.
+
+The state grows by changes.  A trigger writes what it changed and nothing else: the loans it opened and left out, the
+loans it closed, the books it was asked for.  The state is the tables before the stream, the last compaction,
+and the changes since; every ``compact_every`` triggers they are folded into the next compaction.  Counted over many triggers
+a request is so written a bounded number of times, however long the stream runs.
 """
 
 from __future__ import annotations
 
-import sys
+import time
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-from shelfspark.operators.book_state import RETURN_LOOSE, BookState
-from shelfspark.operators.ledger import SLICE_ROWS, Replay, answer_outcomes, replay, resolve
-from shelfspark.operators.slices import blocking
+from shelfspark.operators.book_state import BORROW
+from shelfspark.operators.ledger import SLICE_ROWS, Replay, replay
+from shelfspark.operators.requests import next_free
 from shelfspark.schema import BORROWS, LEDGER_REQUEST, conform
+from shelfspark.session import path_exists
 from shelfspark.tables import Tables
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-_ANSWER = (
-    "request_id long, book_id long, user_id long, at_us long, code int, "
-    "loan_id long, accepted boolean, late boolean"
-)
-# Parallel lists: member users[i] holds loan loans[i].  ``known`` lists members
-# whose loans from before the stream are already part of the state; ``loose``
-# lists returned loans whose status was never open.
-_STATE = (
-    "quantity long, at_us long, request_id long, "
-    "users array<long>, loans array<long>, known array<long>, loose array<long>"
-)
-
-
-def _answer_batch(
-    key: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    (book,) = key
-    rows = pd.concat(list(batches), ignore_index=True)
-    rows = rows.sort_values(["at_us", "request_id"], kind="stable")
-    held: dict[tuple[int, int], list[int]] = {}
-    if state.exists:
-        quantity, at_us, request_id, users, loans, known, loose = state.get
-        last, known, loose = (at_us, request_id), set(known), set(loose)
-        for user, loan in zip(users, loans):
-            held.setdefault((book, user), []).append(loan)
-    else:
-        quantity, last, known, loose = int(rows["quantity"].iloc[0]), None, set(), set()
-    book_state = BookState({book: quantity}, held)
-
-    answers = []
-    columns = ("at_us", "request_id", "user_id", "code", "loan_id", "held")
-    for at_us, request_id, user, code, loan, before in zip(*[rows[c].tolist() for c in columns]):
-        late = last is not None and (at_us, request_id) < last
-        if late:
-            answers.append((False, 0, True))
-            continue
-        if user not in known and before is not None and len(before):
-            known.add(user)
-            held.setdefault((book, user), []).extend(int(x) for x in before)
-        last = (at_us, request_id)
-        if code == RETURN_LOOSE:
-            if loan in loose:
-                answers.append((False, 0, False))
-                continue
-            loose.add(loan)
-        answers.append((*book_state.answer(book, user, code, loan), False))
-
-    pairs = [(user, loan) for (_, user), loans in held.items() for loan in loans]
-    if last is not None:
-        state.update(
-            (
-                book_state.stock[book],
-                *last,
-                [user for user, _ in pairs],
-                [loan for _, loan in pairs],
-                sorted(known),
-                sorted(loose),
-            )
-        )
-    accepted, loans, lates = zip(*answers)
-    yield rows[["request_id", "book_id", "user_id", "at_us", "code"]].assign(
-        loan_id=loans, accepted=accepted, late=lates
-    )
-
-
-def ledger_stream(tables: Tables, requests: DataFrame) -> DataFrame:
-    """Outcomes for a stream that follows ``LEDGER_REQUEST``, in append mode.
-
-    ``tables`` are the state before the stream.  Requests apply in the order
-    (ts, request_id) within a batch; one that arrives after a later request for
-    the same book was answered gets the outcome ``late`` and changes nothing.
-    New loans are numbered on from the highest loan key by request_id, so those
-    start at 0 or above.  A trigger takes a bounded number of files, which bounds
-    what one busy book can bring to one task; its state is its open loans.
-    """
-    top = F.coalesce(tables.borrows.agg(F.max("id")).scalar(), F.lit(0))
-    resolved = resolve(tables, requests, (top + 1 + F.col("request_id")).cast("long"))
-    stock = tables.books.select(F.col("id").alias("book_id"), F.col("quantity").cast("long"))
-    before = (
-        blocking(tables)
-        .groupBy("book_id", "user_id")
-        .agg(F.sort_array(F.collect_list("id")).alias("held"))
-    )
-    events = (
-        resolved.where(F.col("refusal").isNull())
-        .select("request_id", "at_us", "book_id", "user_id", "code", "loan_id")
-        .join(stock, "book_id", "left")
-        .join(before, ["book_id", "user_id"], "left")
-        .withColumn("quantity", F.coalesce("quantity", F.lit(0).cast("long")))
-    )
-    answers = events.groupBy("book_id").applyInPandasWithState(
-        _answer_batch, _ANSWER, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
-    return answer_outcomes(answers, resolved)
-
-
-def run_to_files(outcomes: DataFrame, folder: str) -> None:
-    """Answer all requests that are there now into ``folder``, then stop.
-
-    Progress is kept next to the results: a run that was cut off, or a later
-    run over new files, goes on from there and writes no answer twice.
-    """
-    query = (
-        outcomes.writeStream.format("parquet")
-        .option("path", f"{folder}/outcomes")
-        .option("checkpointLocation", f"{folder}/progress")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-
-
 _ARRIVED = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LEDGER_REQUEST) + ", trigger long"
-# What a trigger leaves: loans opened on the stream and still out, loans from before that came back, and
+# What a trigger changes: loans it opened that are still out, loans it closed that are older, and
 # for each book asked for how its stock changed and its latest answered request.
-_LEFT = {
-    "opened": BORROWS,
+_CHANGES = {
+    "opened": ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BORROWS),
     "closed": "id long",
     "books": "book_id long, delta long, at_us long, request_id long",
 }
-_OUTCOMES = "request_id long, outcome string, message string, late boolean"
+_ANSWERED = "trigger long, compacted long"
 _BEFORE = -1
+COMPACT_EVERY = 16
 
 
-def _with_trigger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    # A trigger that runs again after a failure keeps its number.
-    number = int(TaskContext.get().getLocalProperty("streaming.sql.batchId"))
-    for batch in batches:
-        yield batch.append_column("trigger", pa.array([number] * batch.num_rows, pa.int64()))
+def _record(requests: DataFrame, folder: str, **trigger: object) -> StreamingQuery:
+    """Starts to write each request with the number of the trigger that brought it."""
 
+    def with_trigger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A trigger that runs again after a failure keeps its number.
+        number = int(TaskContext.get().getLocalProperty("streaming.sql.batchId"))
+        for batch in batches:
+            yield batch.append_column("trigger", pa.array([number] * batch.num_rows, pa.int64()))
 
-def answer_arrivals(
-    tables: Tables, requests: DataFrame, folder: str, slice_rows: int = SLICE_ROWS
-) -> None:
-    """Answer all requests that are there now into ``folder``/outcomes, then stop.
-
-    Requests apply in order of arrival: by trigger, then (ts, request_id).  None
-    is refused for its age; ``late`` tells that an earlier trigger had answered a
-    later request for the same book.  ``tables`` are the state before the stream.
-    New loans are numbered on from their highest loan key by request_id, so those
-    start at 0 or above; a return may name such a loan without its book.
-
-    A streaming query first records which trigger brought each request.  Then each
-    trigger is a batch replay on the state its predecessors left, whose slices
-    bound what a busy book brings to one task.  Every trigger writes the state it
-    leaves, as large as the books asked for and the loans changed since the start.
-    A trigger cut off is answered again with the same result, one answered is not.
-    """
-    spark = requests.sparkSession
-    query = (
+    return (
         conform(requests, LEDGER_REQUEST)
-        .mapInArrow(_with_trigger, _ARRIVED)
+        .mapInArrow(with_trigger, _ARRIVED)
         .writeStream.format("parquet")
         .partitionBy("trigger")
         .option("path", f"{folder}/arrived")
         .option("checkpointLocation", f"{folder}/progress")
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
-    query.awaitTermination()
-
-    done = f"{folder}/answered"
-    start = {name: spark.createDataFrame([], columns) for name, columns in _LEFT.items()}
-    _write_trigger(folder, _BEFORE, start, spark.createDataFrame([], _OUTCOMES))
-    spark.createDataFrame([(_BEFORE,)], "trigger long").write.mode("ignore").parquet(done)
-    last = spark.read.schema("trigger long").parquet(done).agg(F.max("trigger")).first()[0]
-    arrived = spark.read.schema(_ARRIVED).parquet(f"{folder}/arrived")
-    new = arrived.where(F.col("trigger") > last).select("trigger").distinct()
-    top = tables.borrows.agg(F.max("id")).first()[0] or 0
-    for number in sorted(row.trigger for row in new.collect()):
-        left = {
-            name: spark.read.schema(columns).parquet(f"{folder}/state/{last}/{name}")
-            for name, columns in _LEFT.items()
-        }
-        asked = arrived.where(F.col("trigger") == number).drop("trigger")
-        key = (F.lit(top + 1) + F.col("request_id")).cast("long")
-        answered = replay(_tables_after(tables, left), asked, slice_rows, new_loan_id=key)
-        _write_trigger(
-            folder, number, _left_after(left, answered, top), _with_lateness(answered, left["books"])
-        )
-        spark.createDataFrame([(number,)], "trigger long").write.mode("append").parquet(done)
-        last = number
 
 
-def _write_trigger(
-    folder: str, number: int, left: dict[str, DataFrame], outcomes: DataFrame
+def answer_arrivals(
+    tables: Tables,
+    requests: DataFrame,
+    folder: str,
+    slice_rows: int = SLICE_ROWS,
+    compact_every: int = COMPACT_EVERY,
+    every: str | None = None,
 ) -> None:
-    for name, rows in left.items():
-        rows.write.mode("overwrite").parquet(f"{folder}/state/{number}/{name}")
-    outcomes.write.mode("overwrite").parquet(f"{folder}/outcomes/trigger={number}")
+    """Answer the requests of a stream into ``folder``/outcomes, trigger by trigger, while it runs.
+
+    Without ``every`` all requests that are there now are taken; with it (an interval such as ``"1 minute"``) the
+    stream goes on until it is stopped.  Requests apply in order of arrival: by trigger, then (ts, request_id).  None is refused for
+    its age; ``late`` tells that an earlier trigger had answered a later request for the same book.  ``tables`` are the state before the
+    stream.  New loans are numbered on from their first free loan key by request_id, so those start at 0 or above; a return may
+    name such a loan without its book.
+
+    Outcomes are written after the changes, and the mark that a trigger is answered last of all: a trigger cut
+    off is answered again with the same result, one answered is not.  A later call with the same folder goes on.
+    """
+    query = _record(requests, folder, **({"processingTime": every} if every else {"availableNow": True}))
+    ledger = ArrivalLedger(tables, folder, slice_rows, compact_every)
+    try:
+        while query.isActive:
+            if not ledger.answer_recorded():
+                query.awaitTermination(1)
+        query.awaitTermination()
+        ledger.answer_recorded()
+    finally:
+        query.stop()
+
+
+class ArrivalLedger:
+    """Answers recorded triggers one after another, and keeps the state as a log of changes under ``folder``."""
+
+    def __init__(self, tables: Tables, folder: str, slice_rows: int = SLICE_ROWS, compact_every: int = COMPACT_EVERY):
+        self.spark: SparkSession = tables.books.sparkSession
+        self.tables, self.folder = tables, folder
+        self.slice_rows, self.compact_every = slice_rows, compact_every
+        # All triggers answered since the last compaction, and the number of that.
+        self.since: list[int] = []
+        self.compacted = _BEFORE
+        if path_exists(self.spark, f"{folder}/answered"):
+            marks = self.spark.read.schema(_ANSWERED).parquet(f"{folder}/answered")
+            self.compacted = marks.agg(F.max("compacted")).first()[0]
+            later = marks.where(F.col("trigger") > self.compacted).select("trigger").distinct()
+            self.since = sorted(row.trigger for row in later.collect())
+        self.first_key = self.spark.range(1).select(next_free(tables, "borrows")).first()[0]
+
+    def answer_recorded(self) -> int:
+        """Answers the triggers recorded by now; how many there were."""
+        if not path_exists(self.spark, f"{self.folder}/arrived/_spark_metadata"):
+            return 0
+        arrived = self.spark.read.schema(_ARRIVED).parquet(f"{self.folder}/arrived")
+        last = self.since[-1] if self.since else self.compacted
+        # One number per trigger that waits.
+        waiting = arrived.where(F.col("trigger") > last).select("trigger").distinct()
+        numbers = sorted(row.trigger for row in waiting.collect())
+        for number in numbers:
+            self._answer(number, arrived.where(F.col("trigger") == number).drop("trigger"))
+        return len(numbers)
+
+    def state(self) -> dict[str, DataFrame]:
+        """What all answered triggers changed: loans they opened that are out, older loans they closed, books."""
+        parts = {}
+        for name, columns in _CHANGES.items():
+            paths = [f"{self.folder}/changes/{name}/trigger={number}" for number in self.since]
+            if self.compacted != _BEFORE:
+                paths.append(f"{self.folder}/compacted/upto={self.compacted}/{name}")
+            parts[name] = self.spark.read.schema(columns).parquet(*paths) if paths else self.spark.createDataFrame([], columns)
+        books = parts["books"].groupBy("book_id").agg(F.sum("delta").alias("delta"), F.max(F.struct("at_us", "request_id")).alias("last"))
+        return {
+            "opened": parts["opened"].join(parts["closed"], "id", "left_anti"),
+            "closed": parts["closed"].where(F.col("id") < self.first_key),
+            "books": books.select("book_id", "delta", "last.at_us", "last.request_id"),
+        }
+
+    def _answer(self, number: int, asked: DataFrame) -> None:
+        state = self.state()
+        key = (F.lit(self.first_key) + F.col("request_id")).cast("long")
+        answered = replay(_tables_after(self.tables, state), asked, self.slice_rows, new_loan_id=key)
+        for name, rows in _changes_of(answered).items():
+            rows.write.mode("overwrite").parquet(f"{self.folder}/changes/{name}/trigger={number}")
+        outcomes = _with_lateness(answered, state["books"])
+        outcomes.write.mode("overwrite").parquet(f"{self.folder}/outcomes/trigger={number}")
+        self.since.append(number)
+        self._mark(number)
+        if len(self.since) >= self.compact_every:
+            self._compact(number)
+
+    def _mark(self, number: int) -> None:
+        mark = self.spark.createDataFrame([(number, self.compacted)], _ANSWERED)
+        mark.coalesce(1).write.mode("append").parquet(f"{self.folder}/answered")
+
+    def _compact(self, number: int) -> None:
+        """Folds the changes so far into one table each; the mark makes it count."""
+        for name, rows in self.state().items():
+            rows.write.mode("overwrite").parquet(f"{self.folder}/compacted/upto={number}/{name}")
+        self.compacted, self.since = number, []
+        self._mark(number)
+
+
+def _changes_of(answered: Replay) -> dict[str, DataFrame]:
+    asked = answered.answers.groupBy("book_id").agg(
+        F.sum(F.when(~F.col("accepted"), 0).when(F.col("code") == BORROW, -1).otherwise(1)).cast("long").alias("delta"),
+        F.max(F.struct("at_us", "request_id")).alias("last"),
+    )
+    return {
+        "opened": answered.opened.join(answered.closed.select("id"), "id", "left_anti"),
+        "closed": answered.closed.select("id").join(answered.opened.select("id"), "id", "left_anti"),
+        "books": asked.select("book_id", "delta", "last.at_us", "last.request_id"),
+    }
 
 
 def _tables_after(tables: Tables, left: dict[str, DataFrame]) -> Tables:
@@ -229,25 +185,6 @@ def _tables_after(tables: Tables, left: dict[str, DataFrame]) -> Tables:
     return tables.replace(books=books, borrows=conform(borrows, BORROWS).unionByName(left["opened"]))
 
 
-def _left_after(left: dict[str, DataFrame], answered: Replay, top: int) -> dict[str, DataFrame]:
-    closed = answered.closed.select("id")
-    asked = answered.answers.groupBy("book_id").agg(
-        F.max(F.struct("at_us", "request_id")).alias("last")
-    )
-    books = (
-        left["books"]
-        .unionByName(asked.selectExpr("book_id", "0L AS delta", "last.at_us", "last.request_id"))
-        .unionByName(answered.stock_delta, allowMissingColumns=True)
-        .groupBy("book_id")
-        .agg(F.sum("delta").alias("delta"), F.max(F.when(F.col("at_us").isNotNull(), F.struct("at_us", "request_id"))).alias("last"))
-    )
-    return {
-        "opened": left["opened"].unionByName(answered.opened).join(closed, "id", "left_anti"),
-        "closed": left["closed"].unionByName(closed.where(F.col("id") <= top)),
-        "books": books.select("book_id", "delta", "last.at_us", "last.request_id"),
-    }
-
-
 def _with_lateness(answered: Replay, books: DataFrame) -> DataFrame:
     last = books.select("book_id", F.struct("at_us", "request_id").alias("last"))
     late = (

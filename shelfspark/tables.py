@@ -21,9 +21,11 @@ class Tables:
     borrows: DataFrame
     genres: DataFrame
     users: DataFrame
+    # (tbl, next_id): keys go on from there, also where rows with higher keys are gone.
+    counters: DataFrame | None = None
 
     def conformed(self) -> Tables:
-        return Tables(**{name: conform(getattr(self, name), TABLES[name]) for name in TABLES})
+        return self.replace(**{name: conform(getattr(self, name), TABLES[name]) for name in TABLES})
 
     def replace(self, **changed: DataFrame) -> Tables:
         return dataclasses.replace(self, **changed)

@@ -11,7 +11,7 @@ from shelfspark.operators import book_state, ledger, slices
 from shelfspark.schema import BOOKS, BORROWS, GENRES, LEDGER_REQUEST, USERS
 from shelfspark.session import work_folder
 from shelfspark.sources import files
-from shelfspark.streaming.ledger import answer_arrivals, ledger_stream, run_to_files
+from shelfspark.streaming.ledger import ArrivalLedger, answer_arrivals
 from shelfspark.tables import Tables
 
 START = dt.datetime(2026, 5, 1, 9)
@@ -249,57 +249,6 @@ def test_state_equals_serial_rule(stock, moves):
     assert held == out
 
 
-def stream_batches(spark, tables, batches):
-    """Each batch arrives after the one before was answered; progress is kept."""
-    folder = work_folder(spark)
-    for number, rows in enumerate(batches):
-        asked(spark, rows).coalesce(1).write.parquet(f"{folder}/in/{number}")
-        arriving = files.stream_requests(spark, f"{folder}/in/*", "ledger", max_files=1)
-        run_to_files(ledger_stream(tables, arriving), folder)
-    return spark.read.parquet(f"{folder}/outcomes").collect()
-
-
-def test_stream_equals_batch(spark):
-    rows = traffic(5, 300, 4, 20)
-    loans = [(1000, 1, 1, "active"), (1001, 2, 1, "overdue"), (1002, 30, 2, "active")]
-    rows.append((900, 1000, 30, "return", None, 1002))
-    tables = library(spark, {b: 3 for b in range(1, 5)}, loans)
-    got = stream_batches(spark, tables, [rows[:100], rows[100:200], rows[200:]])
-    want, _, _ = one_by_one({b: 3 for b in range(1, 5)}, loans, rows, lambda i: 1003 + i)
-    assert len(got) == len(rows)
-    assert {x.request_id: x.outcome for x in got} == want
-    batch = ledger.replay(tables, asked(spark, rows)).outcomes.collect()
-    assert {x.request_id: x.message for x in got} == {x.request_id: x.message for x in batch}
-
-
-def test_stream_returns_loans_it_opened(spark):
-    loans = [(1, 7, 1, "returned", False), (2, 8, 1, "active", True)]
-    tables = library(spark, {1: 1}, loans)
-    first = [(0, 10, 5, "borrow", 1, None), (1, 11, 7, "return", 1, 1), (2, 12, 8, "borrow", 1, None)]
-    second = [
-        (3, 20, 6, "return", 1, 3),  # not the owner
-        (4, 21, 5, "return", 1, 3),
-        (5, 22, 5, "return", 1, 3),
-        (6, 23, 7, "return", 1, 1),
-    ]
-    got = {x.request_id: x.outcome for x in stream_batches(spark, tables, [first, second])}
-    want, _, _ = one_by_one({1: 1}, loans, first + second, lambda i: 3 + i)
-    assert got == want
-    assert [i for i in got if got[i] == "returned"] and {i for i in got if got[i] == "returned"} == {1, 4}
-
-
-def test_stream_marks_late_requests(spark):
-    tables = library(spark, {1: 1, 2: 1})
-    first = [(5, 50, 1, "borrow", 1, None)]
-    second = [
-        (6, 40, 1, "return", 1, None),  # before what book 1 has answered
-        (7, 40, 2, "borrow", 2, None),  # book 2 has answered nothing yet
-        (8, 60, 3, "borrow", 1, None),
-    ]
-    got = {x.request_id: x.outcome for x in stream_batches(spark, tables, [first, second])}
-    assert got == {5: "borrowed", 6: "late", 7: "borrowed", 8: "unavailable"}
-
-
 def arrival_batches(spark, tables, batches, slice_rows):
     """Two files arrive at a time, each a trigger of its own."""
     folder = work_folder(spark)
@@ -347,3 +296,101 @@ def test_arrivals_return_loans_of_earlier_triggers(spark):
         0: "borrowed", 1: "returned", 2: "returned", 3: "no_such_loan", 4: "unavailable", 5: "no_such_loan", 6: "borrowed",
     }
     assert not got[0][1] and got[1][1] and got[2][1] and got[6][1]
+
+
+def test_arrivals_equal_a_batch_in_order(spark):
+    rows = traffic(5, 300, 4, 20)
+    loans = [(1000, 1, 1, "active"), (1001, 2, 1, "overdue"), (1002, 30, 2, "active")]
+    rows.append((900, 1000, 30, "return", None, 1002))
+    tables = library(spark, {b: 3 for b in range(1, 5)}, loans)
+    got = arrival_batches(spark, tables, [rows[:100], rows[100:200], rows[200:]], 1_000_000)
+    batch = ledger.replay(tables, asked(spark, rows)).outcomes.collect()
+    assert {x.request_id: (x.outcome, x.message) for x in got} == {x.request_id: (x.outcome, x.message) for x in batch}
+    assert not any(x.late for x in got)
+
+
+def test_arrivals_return_loans_by_their_owner_only(spark):
+    loans = [(1, 7, 1, "returned", False), (2, 8, 1, "active", True)]
+    tables = library(spark, {1: 1}, loans)
+    first = [(0, 10, 5, "borrow", 1, None), (1, 11, 7, "return", 1, 1), (2, 12, 8, "borrow", 1, None)]
+    second = [(3, 20, 6, "return", 1, 3), (4, 21, 5, "return", 1, 3), (5, 22, 5, "return", 1, 3), (6, 23, 7, "return", 1, 1)]
+    got = {x.request_id: x.outcome for x in arrival_batches(spark, tables, [first, second], 1_000_000)}
+    want, _, _ = one_by_one({1: 1}, loans, first + second, lambda i: 3 + i)
+    assert got == want and {i for i in got if got[i] == "returned"} == {1, 4}
+
+
+def test_a_trigger_writes_what_it_changed_and_no_more(spark):
+    """Nine triggers of as many requests each: rows written do not grow, compactions leave the answers alone."""
+    rows = traffic(9, 270, 6, 40)
+    tables = library(spark, {b: 4 for b in range(1, 7)}, [(1000, 1, 1, "active")])
+    folder = work_folder(spark)
+    for number in range(9):
+        asked(spark, rows[30 * number : 30 * number + 30]).coalesce(1).write.parquet(f"{folder}/in/{number}")
+    arriving = files.stream_requests(spark, f"{folder}/in/*", "ledger", max_files=1)
+    answer_arrivals(tables, arriving, folder, compact_every=4)
+    got = spark.read.parquet(f"{folder}/outcomes").collect()
+    want, left, out = one_by_one({b: 4 for b in range(1, 7)}, [(1000, 1, 1, "active")], rows, lambda i: 1001 + i)
+    assert {x.request_id: x.outcome for x in got} == want and len(got) == len(rows)
+    for number in range(9):
+        written = sum(spark.read.parquet(f"{folder}/changes/{name}/trigger={number}").count() for name in ("opened", "closed", "books"))
+        assert written <= 2 * 30 + 6
+    at_end = ArrivalLedger(tables, folder, compact_every=4)
+    assert at_end.compacted == 7 and at_end.since == [8] and at_end.answer_recorded() == 0
+    state = at_end.state()
+    assert {(r.id, r.user_id, r.book_id) for r in state["opened"].collect()} == {x for x in out if x[0] != 1000}
+    assert {r.book_id: 4 + r.delta for r in state["books"].collect()} == {b: left[b] for b in {r[4] for r in rows if r[4]}}
+
+
+def test_a_trigger_cut_off_is_answered_again(spark):
+    rows = traffic(3, 80, 3, 10)
+    tables = library(spark, {b: 2 for b in range(1, 4)}, [])
+    folder = work_folder(spark)
+    for number in range(2):
+        asked(spark, rows[40 * number : 40 * number + 40]).coalesce(1).write.parquet(f"{folder}/in/{number}")
+    arriving = files.stream_requests(spark, f"{folder}/in/*", "ledger", max_files=1)
+    marked = ArrivalLedger._mark
+
+    def cut_off(self, number):
+        if number == 1:
+            raise RuntimeError("lost")
+        marked(self, number)
+
+    ArrivalLedger._mark = cut_off
+    try:
+        with pytest.raises(RuntimeError):
+            answer_arrivals(tables, arriving, folder)
+    finally:
+        ArrivalLedger._mark = marked
+    answer_arrivals(tables, arriving, folder)
+    want, _, _ = one_by_one({b: 2 for b in range(1, 4)}, [], rows, lambda i: 1 + i)
+    got = spark.read.parquet(f"{folder}/outcomes").collect()
+    assert len(got) == len(rows) and {x.request_id: x.outcome for x in got} == want
+
+
+def test_requests_are_answered_while_the_stream_runs(spark):
+    """With an interval the call goes on; what has arrived is answered before it ends."""
+    rows = traffic(3, 40, 3, 10)
+    tables = library(spark, {b: 2 for b in range(1, 4)}, [])
+    folder = work_folder(spark)
+    asked(spark, rows[:20]).coalesce(1).write.parquet(f"{folder}/in/0")
+    arriving = files.stream_requests(spark, f"{folder}/in/*", "ledger")
+    answered = ArrivalLedger._answer
+    seen = []
+
+    def watch(self, number, requests):
+        answered(self, number, requests)
+        seen.append([q.isActive for q in spark.streams.active])
+        if number == 0:
+            asked(spark, rows[20:]).coalesce(1).write.parquet(f"{folder}/in/1")
+        else:
+            for query in spark.streams.active:
+                query.stop()
+
+    ArrivalLedger._answer = watch
+    try:
+        answer_arrivals(tables, arriving, folder, every="1 second")
+    finally:
+        ArrivalLedger._answer = answered
+    assert seen == [[True], [True]]
+    want, _, _ = one_by_one({b: 2 for b in range(1, 4)}, [], rows, lambda i: 1 + i)
+    assert {x.request_id: x.outcome for x in spark.read.parquet(f"{folder}/outcomes").collect()} == want

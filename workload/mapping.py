@@ -197,6 +197,28 @@ def delete_genre_requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def mixed_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """One per order, of all kinds: on books and genres that are there, that the batch adds, or that it deletes.
+
+    Times run through the batch in another order than request ids, and repeat.
+    """
+    top = read(spark, folder, "part").agg(F.max("p_partkey")).scalar()
+    asked = read(spark, folder, "orders").withColumn("r", F.col("o_orderkey")).withColumn("new_book", top + 1 + F.col("r") % 200)
+    return asked.selectExpr(
+        "r AS request_id",
+        f"{EPOCH} + make_dt_interval(0, 0, 0, r * 7919 % 10007) AS ts",
+        "CASE WHEN r % 5 = 0 THEN 1L ELSE 50L END AS user_id",
+        "CASE WHEN r % 23 = 0 THEN 'add_genre' WHEN r % 23 = 1 THEN 'delete_genre' WHEN r % 23 < 5 THEN 'add_book' "
+        "WHEN r % 23 < 7 THEN 'delete_book' WHEN r % 23 = 7 THEN 'rename_book' ELSE 'edit_book' END AS kind",
+        "CAST(CASE WHEN r % 3 = 0 THEN new_book ELSE r * 31 % 2500 END AS STRING) AS book_id",
+        "concat(' Issue ', r) AS title",
+        "o_orderstatus AS author",
+        "CAST(r * 13 % 61 AS STRING) AS genre_id",
+        "CAST(r % 50 AS STRING) AS quantity",
+        "CASE WHEN r % 4 = 0 THEN concat('nation_', r % 25) ELSE concat(' Shelf ', r % 11, ' ') END AS name",
+    )
+
+
 # Errors are requests of a kind the ledger does not know.
 EVENT_KIND = (
     "CASE WHEN event_type IN ('purchase', 'signup') THEN 'borrow' "

@@ -140,7 +140,7 @@ def _reports() -> dict[str, str]:
             a=ACTIVE,
         ),
         "borrow_history": history,
-        "borrow_history_untrusted": history,
+        "borrow_history_trusted": history,
         "user_stats": _with(USER_STATS),
         "user_stats_display": _with(
             f"SELECT *, strftime(last_borrow, {MINUTE}) AS last_borrow_text FROM a", a=USER_STATS
@@ -196,16 +196,17 @@ def _reports() -> dict[str, str]:
             + _contains(
                 ["id", "title", "author", "coalesce(genre_name, '—')", "quantity",
                  f"strftime(created_at, {DAY})"],
-                "%",
+                "50%_O",
             ),
-            a=CATALOGUE,
+            a="""SELECT * REPLACE (CASE id % 9 WHEN 0 THEN title || ' 50%_off' WHEN 1 THEN title || ' 50 percent' ELSE title END AS title)
+            FROM shelved""",
         ),
         "search_history": _with(
             "SELECT * FROM a WHERE "
             + _contains(
                 ["username", "title", "coalesce(genre_name, '—')", "borrowed_at", "due_date",
                  "coalesce(CAST(returned_at AS VARCHAR), '—')", "status"],
-                "Overdue",
+                "returned",
             ),
             a=HISTORY,
         ),
@@ -277,7 +278,7 @@ def _changes() -> dict[str, str]:
     return {
         "register_users": _with(
             """SELECT * FROM users UNION ALL
-            SELECT (SELECT max(id) FROM users) + 1 + request_id - (SELECT min(request_id) FROM r),
+            SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY request_id),
             username, password, 'user', ts FROM ranked WHERE fresh""",
             **REGISTER,
         ),
@@ -302,7 +303,7 @@ def _changes() -> dict[str, str]:
         ),
         "add_books": _with(
             f"""SELECT * FROM books UNION ALL
-            SELECT (SELECT max(id) FROM books) + 1 + r - (SELECT min(r) FROM v), title, author,
+            SELECT (SELECT max(id) FROM books) + row_number() OVER (ORDER BY r), title, author,
             CAST(quantity AS INT), CAST(genre_id AS INT), {AT} FROM judged WHERE outcome = 'added'""",
             **ADD,
         ),
@@ -481,6 +482,101 @@ def _checks() -> dict[str, str]:
     }
 
 
+# --- one batch of all kinds, replayed one after another -----------------------
+
+MIXED = {
+    "req": f"""SELECT o_orderkey AS r, {EPOCH} + to_seconds(o_orderkey * 7919 % 10007) AS ts, o_orderkey % 5 <> 0 AS permitted,
+        CASE WHEN o_orderkey % 23 = 0 THEN 'add_genre' WHEN o_orderkey % 23 = 1 THEN 'delete_genre'
+          WHEN o_orderkey % 23 < 5 THEN 'add_book' WHEN o_orderkey % 23 < 7 THEN 'delete_book'
+          WHEN o_orderkey % 23 = 7 THEN 'rename_book' ELSE 'edit_book' END AS kind,
+        CASE WHEN o_orderkey % 3 = 0 THEN (SELECT max(id) FROM books) + 1 + o_orderkey % 200 ELSE o_orderkey * 31 % 2500 END AS book,
+        'Issue ' || o_orderkey AS title, o_orderstatus AS author, nullif(o_orderkey * 13 % 61, 0) AS genre,
+        o_orderkey * 13 % 61 AS gone_genre, o_orderkey % 50 AS quantity,
+        CASE WHEN o_orderkey % 4 = 0 THEN 'nation_' || (o_orderkey % 25) ELSE 'Shelf ' || (o_orderkey % 11) END AS name FROM orders""",
+    "placed": "SELECT *, row_number() OVER (ORDER BY ts, r) AS pos FROM req",
+    # Each add takes the next key of its table, accepted or not.
+    "keyed": """SELECT *, row_number() OVER (PARTITION BY kind, permitted ORDER BY pos) +
+        CASE kind WHEN 'add_genre' THEN (SELECT max(id) FROM genres) WHEN 'add_book' THEN (SELECT max(id) FROM books) END AS key FROM placed""",
+    "gev": """SELECT *, row_number() OVER (ORDER BY pos) AS n FROM keyed
+        WHERE permitted AND kind IN ('add_genre', 'delete_genre')""",
+    "st": """SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS id,
+          CAST(NULL AS BOOLEAN) AS ok, (SELECT list({'id': CAST(id AS BIGINT), 'name': name}) FROM genres) AS live
+        UNION ALL
+        SELECT n, pos, kind, CASE kind WHEN 'add_genre' THEN key ELSE gone_genre END, ok,
+          CASE WHEN ok AND kind = 'add_genre' THEN list_append(live, {'id': key, 'name': name})
+               WHEN ok THEN list_filter(live, lambda g: g.id <> gone_genre) ELSE live END
+        FROM (SELECT e.n, e.pos, e.kind, e.key, e.gone_genre, e.name, s.live,
+                CASE e.kind WHEN 'add_genre' THEN len(list_filter(s.live, lambda g: lower(g.name) = lower(e.name))) = 0
+                  ELSE len(list_filter(s.live, lambda g: g.id = e.gone_genre)) > 0 END AS ok
+              FROM st s JOIN gev e ON e.n = s.n + 1)""",
+    "life": """SELECT g.id, coalesce(b.pos, 0) AS born, d.pos AS died FROM
+        (SELECT id FROM genres UNION SELECT id FROM st WHERE ok AND kind = 'add_genre') g
+        LEFT JOIN (SELECT id, pos FROM st WHERE ok AND kind = 'add_genre') b USING (id)
+        LEFT JOIN (SELECT id, pos FROM st WHERE ok AND kind = 'delete_genre') d USING (id)""",
+    "bev": """SELECT *, row_number() OVER (PARTITION BY book ORDER BY pos) AS n FROM (
+          SELECT pos, kind, CASE kind WHEN 'add_book' THEN key ELSE book END AS book, title, author, genre, quantity, ts,
+            genre IS NULL OR EXISTS (SELECT 1 FROM life l WHERE l.id = k.genre AND l.born < k.pos AND (l.died IS NULL OR l.died > k.pos)) AS genre_ok
+          FROM keyed k WHERE permitted AND kind IN ('add_book', 'edit_book', 'delete_book')
+          UNION ALL
+          SELECT died, 'unlink', b.id, NULL, NULL, l.id, NULL, NULL, true FROM life l,
+            (SELECT id FROM books UNION SELECT key FROM keyed WHERE permitted AND kind = 'add_book') b WHERE died IS NOT NULL)""",
+    "bst": """SELECT x.id AS book, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS BOOLEAN) AS ok, b.id IS NOT NULL AS live,
+          b.title, b.author, CAST(b.genre_id AS BIGINT) AS genre, CAST(b.quantity AS BIGINT) AS quantity, b.created_at
+        FROM (SELECT id FROM books UNION SELECT book FROM bev) x LEFT JOIN books b USING (id)
+        UNION ALL
+        SELECT book, n, pos, ok, CASE WHEN ok AND kind = 'add_book' THEN true WHEN ok AND kind = 'delete_book' THEN false ELSE live END,
+          CASE WHEN ok AND kind IN ('add_book', 'edit_book') THEN new_title ELSE title END,
+          CASE WHEN ok AND kind IN ('add_book', 'edit_book') THEN new_author ELSE author END,
+          CASE WHEN ok AND kind IN ('add_book', 'edit_book') THEN new_genre WHEN kind = 'unlink' AND genre = new_genre THEN NULL ELSE genre END,
+          CASE WHEN ok AND kind IN ('add_book', 'edit_book') THEN new_quantity ELSE quantity END,
+          CASE WHEN ok AND kind = 'add_book' THEN ts ELSE created_at END
+        FROM (SELECT s.*, e.n AS m, e.kind, e.title AS new_title, e.author AS new_author, e.genre AS new_genre, e.quantity AS new_quantity, e.ts,
+                e.pos AS at, CASE e.kind WHEN 'add_book' THEN e.genre_ok WHEN 'edit_book' THEN e.genre_ok AND s.live WHEN 'delete_book' THEN s.live END AS yes
+              FROM bst s JOIN bev e ON e.book = s.book AND e.n = s.n + 1) AS t(book, old_n, old_pos, old_ok, live, title, author, genre, quantity, created_at,
+                n, kind, new_title, new_author, new_genre, new_quantity, ts, pos, ok)""",
+    "last": "SELECT * FROM bst QUALIFY row_number() OVER (PARTITION BY book ORDER BY n DESC) = 1",
+}
+
+
+def _mixed() -> dict[str, str]:
+    return {
+        "mixed_requests_books": _with(
+            """SELECT book AS id, title, author, CAST(quantity AS INT) AS quantity, CAST(genre AS INT) AS genre_id, created_at
+            FROM last WHERE live""",
+            **MIXED,
+        ),
+        "mixed_requests_genres": _with(
+            """SELECT CAST(g.id AS INT) AS id, g.name AS name FROM (
+              SELECT unnest(live) AS g FROM st WHERE n = (SELECT max(n) FROM st))""",
+            **MIXED,
+        ),
+        "mixed_requests_borrows": _with("SELECT * FROM borrows WHERE book_id IN (SELECT book FROM last WHERE live)", **MIXED),
+        "mixed_requests_outcomes": _with(
+            """SELECT request_id, outcome, CASE
+              WHEN outcome = 'added' AND kind = 'add_book' THEN 'Book "' || title || '" added.'
+              WHEN kind = 'edit_book' AND outcome IN ('updated', 'no_such_book') THEN 'Book updated.'
+              WHEN outcome = 'added' THEN 'Genre "' || name || '" added.'
+              WHEN outcome = 'exists' THEN 'Genre already exists.'
+              WHEN kind = 'delete_genre' AND outcome <> 'forbidden' THEN 'Genre deleted. Affected books set to no genre.'
+              WHEN kind = 'delete_book' AND outcome <> 'forbidden' THEN 'Book deleted.' ELSE '' END AS message,
+              CASE WHEN kind = 'delete_book' AND outcome = 'deleted' THEN quantity + coalesce(n_out, 0) END AS restored_quantity
+            FROM (SELECT k.r AS request_id, k.kind, k.title, k.name, b.quantity, o.n_out, CASE
+                WHEN NOT k.permitted THEN 'forbidden' WHEN k.kind = 'rename_book' THEN 'unknown_kind'
+                WHEN k.kind = 'add_genre' THEN CASE WHEN g.ok THEN 'added' ELSE 'exists' END
+                WHEN k.kind = 'delete_genre' THEN CASE WHEN g.ok THEN 'deleted' ELSE 'no_such_genre' END
+                WHEN k.kind = 'delete_book' THEN CASE WHEN b.ok THEN 'deleted' ELSE 'no_such_book' END
+                WHEN NOT e.genre_ok THEN 'unknown_genre'
+                WHEN k.kind = 'add_book' THEN 'added' WHEN b.ok THEN 'updated' ELSE 'no_such_book' END AS outcome
+              FROM keyed k LEFT JOIN st g ON g.pos = k.pos
+              LEFT JOIN (SELECT * FROM bev WHERE kind <> 'unlink') e ON e.pos = k.pos
+              LEFT JOIN bst b ON b.book = e.book AND b.n = e.n
+              LEFT JOIN (SELECT book_id, count(*) AS n_out FROM borrows WHERE status IN ('active', 'overdue') GROUP BY book_id) o
+                ON o.book_id = k.book)""",
+            **MIXED,
+        ),
+    }
+
+
 # --- ledger -----------------------------------------------------------------
 
 EVENT_LEDGER = """WITH RECURSIVE req AS (
@@ -502,6 +598,14 @@ st AS (
 SELECT event_id, ok FROM st WHERE event_id IS NOT NULL
 UNION ALL SELECT event_id, false FROM events WHERE event_type = 'error'"""
 
+# The same in order of arrival; late are those that an earlier batch has overtaken on their book.
+ARRIVAL_LEDGER = f"""SELECT event_id, ok, coalesce(late, false) AS late FROM ({
+    EVENT_LEDGER.replace("ORDER BY ts, event_id", "ORDER BY event_id % 3, ts, event_id")
+}) LEFT JOIN (
+  SELECT event_id, (ts, event_id) < max((ts, event_id)) OVER (PARTITION BY event_id % 23 ORDER BY event_id % 3
+    RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late
+  FROM events WHERE event_type <> 'error') USING (event_id)"""
+
 LINES = {
     "req": f"""SELECT {LOAN_KEY} AS request_id,
         o_orderdate + INTERVAL 3000 DAY AS ts,
@@ -544,7 +648,7 @@ def _ledger() -> dict[str, str]:
     return {
         "ledger_replay": EVENT_LEDGER,
         "ledger_replay_sliced": EVENT_LEDGER,
-        "ledger_stream": EVENT_LEDGER,
+        "ledger_stream": ARRIVAL_LEDGER,
         "ledger_outcomes": _with(
             """SELECT request_id, outcome, CASE outcome WHEN 'borrowed' THEN 'Book borrowed! Due back on ' ||
             CAST(CAST(CAST(ts AS DATE) + 7 AS DATE) AS VARCHAR) || '.'
@@ -576,4 +680,4 @@ def _ledger() -> dict[str, str]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_reports(), **_changes(), **_checks(), **_ledger()}
+    return {**_reports(), **_changes(), **_mixed(), **_checks(), **_ledger()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions import display as d
 from shelfspark.functions.loans import due_date
 from shelfspark.functions.text import clean_int, clean_text, md5_hex, zero_to_null
-from shelfspark.operators import accounts, catalogue, checks, ledger, requests, search
+from shelfspark.operators import accounts, batch, catalogue, checks, ledger, requests, search
 from shelfspark.operators.migration import normalise_genres
 from shelfspark.operators.sweep import sweep
 from shelfspark.plans import reports as r
@@ -113,6 +113,12 @@ def _search(report: Callable, operator: Callable, text: str, *args) -> Query:
     return lambda spark, folder: operator(report(m.snapshot(spark, folder), *args), text)
 
 
+def search_literal(spark: SparkSession, folder: str) -> DataFrame:
+    """Signs that a pattern would take as wildcards stand for themselves; every ninth title has some."""
+    marked = F.when(F.col("id") % 9 == 0, F.concat("title", F.lit(" 50%_off"))).when(F.col("id") % 9 == 1, F.concat("title", F.lit(" 50 percent"))).otherwise(F.col("title"))
+    return search.search_catalogue(r.catalogue(m.snapshot(spark, folder)).withColumn("title", marked), "50%_O")
+
+
 # --- constraint checks, each over tables broken on purpose -----------------
 
 
@@ -209,20 +215,17 @@ def check_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 def check_all(spark: SparkSession, folder: str) -> DataFrame:
     """How many rows break each declared rule in the mapped tables."""
-    out = None
-    for rule, rows in checks.all_violations(m.star_tables(spark, folder).conformed()).items():
-        part = rows.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return checks.violation_counts(m.star_tables(spark, folder).conformed())
 
 
 # --- ledger -----------------------------------------------------------------
 
 
-def _event_answers(outcomes: DataFrame) -> DataFrame:
+def _event_answers(outcomes: DataFrame, *more: str) -> DataFrame:
     return outcomes.select(
         F.col("request_id").alias("event_id"),
         F.col("outcome").isin("borrowed", "returned").alias("ok"),
+        *more,
     )
 
 
@@ -237,18 +240,19 @@ def ledger_replay_sliced(spark: SparkSession, folder: str) -> DataFrame:
     return _event_answers(ledger.replay(tables, asked, slice_rows=rows).outcomes)
 
 
+ARRIVALS = 3
+
+
 def ledger_stream_replay(spark: SparkSession, folder: str) -> DataFrame:
-    """The same requests as a stream over the event file, answered in order of arrival."""
+    """The same requests as a stream: they arrive in three batches, each from all over the time of the others."""
     tables, _ = m.event_ledger(spark, folder)
     events = m.read(spark, folder, "events")
-    arriving = (
-        spark.readStream.schema(events.schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(folder)
-    )
     results = work_folder(spark)
-    answer_arrivals(tables, m.ledger_requests(arriving), results)
-    return _event_answers(spark.read.parquet(f"{results}/outcomes"))
+    arriving = m.ledger_requests(spark.readStream.schema(events.schema).parquet(f"{results}/events/*"))
+    for number in range(ARRIVALS):
+        events.where(F.col("event_id") % ARRIVALS == number).write.parquet(f"{results}/events/{number}")
+        answer_arrivals(tables, arriving, results)
+    return _event_answers(spark.read.parquet(f"{results}/outcomes"), "late")
 
 
 def _line_replay(spark: SparkSession, folder: str, reuse: bool) -> ledger.Replay:
@@ -277,7 +281,7 @@ def queries() -> dict[str, Query]:
         "active_borrows": _report(r.active_borrows),
         "active_borrows_display": _report(r.active_borrows_display),
         "borrow_history": _report(r.borrow_history),
-        "borrow_history_untrusted": _report(r.borrow_history, False),
+        "borrow_history_trusted": _report(r.borrow_history, True),
         "user_stats": _report(r.user_stats),
         "user_stats_display": _report(r.user_stats_display),
         "top_books": _report(r.top_books),
@@ -319,6 +323,10 @@ def queries() -> dict[str, Query]:
             catalogue.delete_books, m.delete_book_requests, tables["borrows"]
         ),
         "delete_books_outcomes": _change(catalogue.delete_books, m.delete_book_requests, _outcomes),
+        "mixed_requests_books": _change(batch.apply_catalogue, m.mixed_requests, tables["books"]),
+        "mixed_requests_genres": _change(batch.apply_catalogue, m.mixed_requests, tables["genres"]),
+        "mixed_requests_borrows": _change(batch.apply_catalogue, m.mixed_requests, tables["borrows"]),
+        "mixed_requests_outcomes": _change(batch.apply_catalogue, m.mixed_requests, _outcomes),
         "ledger_replay": ledger_replay,
         "ledger_replay_sliced": ledger_replay_sliced,
         "ledger_stream": ledger_stream_replay,
@@ -327,8 +335,8 @@ def queries() -> dict[str, Query]:
         "ledger_loans": ledger_loans,
         "normalise_genre": normalise_genre,
         "search_catalogue": _search(r.catalogue, search.search_catalogue, "BOLT"),
-        "search_catalogue_literal": _search(r.catalogue, search.search_catalogue, "%"),
-        "search_history": _search(r.borrow_history, search.search_history, "Overdue"),
+        "search_catalogue_literal": search_literal,
+        "search_history": _search(r.borrow_history, search.search_history, "returned"),
         "search_browse": _search(r.browse, search.search_browse, "out of stock", m.MEMBER),
         "check_primary_keys": check_primary_keys,
         "check_unique_names": check_unique_names,
