@@ -228,15 +228,15 @@ def near_duplicates(rows: DataFrame, work: WorkTables, key: str = "vec_id", vect
 
     Two vectors link when they are found with a cosine of at least ``cosine``; none below it link.  Vectors that are
     null, empty, zero or hold a null or a component that is not finite link with nothing, and neither do vectors of
-    different lengths; each is its own component.  Rows with equal vectors link with one another.  A null id takes
-    part in links as a smallest id never given to a component.  Rows that repeat an id are rows of their own in
-    ``n_links`` and share a component.  No rows give no rows; other columns are not read.
+    different lengths; each is its own component.  Rows with equal vectors link with one another.  The join runs on
+    distinct vectors, so a row without an id links like any other; it never names a component, which is null where no row has
+    an id.  Rows that repeat an id are rows of their own.  No rows give no rows; other columns are not read.
     """
     given = work.cut(rows.select(F.col(key).cast("long").alias("vec"), F.col(vector).cast("array<double>").alias("vector")))
     finite = F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     usable = finite & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
-    distinct = given.where(usable).groupBy("vector").agg(F.min("vec").alias("vec"), F.count("*").alias("weight"))
-    distinct = work.cut(distinct)
+    distinct = given.where(usable).groupBy("vector").agg(F.min("vec").alias("rep"), F.count("*").alias("weight"))
+    distinct = work.cut(distinct.withColumn("vec", F.monotonically_increasing_id()))
     vectors, most = distinct.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
     sizes = [1 << k for k in range(padded(most).bit_length())]
     plans = {size: plan_caps(vectors, cosine, size) for size in sizes if size >= LEAST_DIMENSIONS}
@@ -254,7 +254,7 @@ def near_duplicates(rows: DataFrame, work: WorkTables, key: str = "vec_id", vect
                         caps[i] = found
             yield pa.RecordBatch.from_pydict({"vec": batch.column(1), "weight": batch.column(2), "dim": pa.array(dims, pa.int32()), "vector": vectors, "caps": pa.array(caps, pa.list_(pa.int64()))})
 
-    decoded = work.cut(distinct.where("vec is not null").mapInArrow(decode, "vec long, weight long, dim int, vector array<double>, caps array<long>"))
+    decoded = work.cut(distinct.select("vector", "vec", "weight").mapInArrow(decode, "vec long, weight long, dim int, vector array<double>, caps array<long>"))
     entries = decoded.select("vec", "weight", "dim", "vector", "caps", F.explode("caps").alias("cap"))
     sizes = decoded.select("dim", F.explode("caps").alias("cap")).groupBy("dim", "cap").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.select("dim", "cap", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -266,9 +266,11 @@ def near_duplicates(rows: DataFrame, work: WorkTables, key: str = "vec_id", vect
     counts = met.groupBy("vec").agg(F.sum("links").alias("links"))
     label = components(met.where("vec != root").select("vec", "root").distinct(), work)
 
-    whole = distinct.join(counts, "vec", "left").join(label, F.col("vec") == F.col("node"), "left").select(
-        F.col("vector").alias("of"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "vec").alias("component")
+    linked = distinct.join(label, F.col("vec") == F.col("node"), "left").withColumn("component", F.coalesce("component", "vec"))
+    named = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    whole = linked.join(counts, "vec", "left").join(named, "component").select(
+        F.col("vector").alias("of"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), "component_id"
     )
-    named = given.withColumn("usable", usable).join(whole, F.when(F.col("usable"), F.col("vector")) == F.col("of"), "left")
-    component = F.coalesce("component", "vec")
-    return named.select(F.col("vec").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec").eqNullSafe(component).alias("kept"))
+    met = given.withColumn("usable", usable).join(whole, F.when(F.col("usable"), F.col("vector")) == F.col("of"), "left")
+    component = F.when(F.col("of").isNull(), F.col("vec")).otherwise(F.col("component_id"))
+    return met.select(F.col("vec").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec").eqNullSafe(component).alias("kept"))

@@ -31,13 +31,12 @@ SCALE = 1 << 24
 BLOCK_GRAMS = 8192
 BLOCK_TEXTS = 256
 MAX_LETTERS = 20_000
-MAX_LANGUAGES = 1000
+MAX_LANGUAGES = 20_000
 # How often chance alone may pass for a language, and which share of learned pieces may look like chance.
 CHANCE = 1e-4
 UNLIKE = 0.002
 PIECES = 4000
 LEAST_PIECES = 50
-PIECE_CHARACTERS = 1000
 PIECE_WORDS = (1, 2, 4, 8, 16, 32, 64)
 LEAST_GRAMS = (4, 8, 16, 32, 64, 128)
 LETTERS = regex.compile(r"\p{L}+")
@@ -126,7 +125,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
     """Prototypes from all rows of ``docs`` that have a language and a letter.
 
     Each task sums the unit vectors of its texts per language, scaled to integers so that the order of
-    summation doesn't matter; the driver gets one vector per language, at most ``MAX_LANGUAGES``.
+    summation doesn't matter; the driver gets one vector of 8 kB per language.  More than ``MAX_LANGUAGES`` raise an error.
+    Null languages and texts, and texts without a letter, teach nothing; repeated rows count as often as they come; no rows give no
+    languages; other columns are not read.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +159,8 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> Column:
     """A column struct(lang_pred, score) for ``docs``: the nearest prototype and its cosine, cut to 0 to 1.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned.  Equal cosines
-    go to the language whose name comes first.  The whole text counts.
+    go to the language whose name comes first.  The whole text counts.  Repeated rows get equal answers, an empty table none; other
+    columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
@@ -196,8 +198,8 @@ class Limits:
 def limits(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang") -> Limits:
     """The limits for ``profiles``, which were learned from ``docs``.
 
-    All learned texts give their letters.  Pieces of 1 to 64 words are cut from the starts of at most ``PIECES`` texts (or
-    ``LEAST_PIECES`` a language), chosen by hash per language; ``grams`` is twice the least number from which on all but
+    All learned texts give their letters.  A sample of at most ``PIECES`` texts (or ``LEAST_PIECES`` a language), chosen by a hash of
+    the whole text per language, gives pieces of 1 to 64 words from a place in the text that the hash names too; ``grams`` is twice the least number from which on all but
     ``UNLIKE`` of the pieces of every language exceed the noise, as learned texts score higher than new ones.
     """
     buckets = max(LEAST_PIECES, PIECES // max(1, len(profiles.languages)))
@@ -208,20 +210,22 @@ def limits(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str =
             for whole, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if whole:
                     met.update(whole.lower())
-                    start = whole[:PIECE_CHARACTERS]
-                    order, bucket = divmod(xxhash.xxh64_intdigest(start.encode("utf-8", "surrogatepass"), SEED) >> 1, buckets)
-                    chosen[name, bucket] = min(chosen.get((name, bucket), (order, start)), (order, start))
+                    order, bucket = divmod(xxhash.xxh64_intdigest(whole.encode("utf-8", "surrogatepass"), SEED) >> 1, buckets)
+                    if (name, bucket) not in chosen or order < chosen[name, bucket][0]:
+                        words = LETTERS.findall(whole)
+                        at = order % max(1, len(words) - PIECE_WORDS[-1] + 1)
+                        chosen[name, bucket] = (order, " ".join(words[at : at + PIECE_WORDS[-1]]))
         letters = [ord(x) for x in met if LETTERS.match(x)]
         rows = [(None, point, 0, None) for point in letters] + [(*key, *value) for key, value in chosen.items()]
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in rows], schema)
 
-    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("order", pa.int64()), ("start", pa.string())])
+    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("order", pa.int64()), ("piece", pa.string())])
     known = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    found = known.mapInArrow(gather, "lang string, bucket int, order long, start string").groupBy("lang", "bucket").agg(F.min_by("start", "order").alias("start")).collect()
+    found = known.mapInArrow(gather, "lang string, bucket int, order long, piece string").groupBy("lang", "bucket").agg(F.min_by("piece", "order").alias("piece")).collect()
     met = frozenset(chr(row.bucket) for row in found if row.lang is None)
     noise = NormalDist().inv_cdf(1 - CHANCE / max(1, len(profiles.languages))) / DIMENSIONS**0.5
 
-    words = [(row.lang, LETTERS.findall(row.start)) for row in found if row.lang is not None]
+    words = [(row.lang, row.piece.split()) for row in found if row.lang is not None]
     pieces = [(name, " ".join(x[:length])) for name, x in words for length in PIECE_WORDS if len(x) >= length]
     scores = (text_vectors([piece for _, piece in pieces], Letters()).astype(np.float64) @ profiles.prototypes.T).max(axis=1)
     names = np.array([name for name, _ in pieces], object)

@@ -1,7 +1,8 @@
 """Mixing sources to target weights, for sources that may overlap.
 
 1. Documents are summed by membership pattern, the set of sources they belong to.
-2. A minimum-cost flow routes the patterns' tokens to the sources' quotas.  A pattern's tokens
+2. A minimum-cost flow routes the patterns' tokens to the sources' quotas, for each connected set of patterns
+   and sources apart; a pattern that alone serves a source alone needs no search.  A pattern's tokens
    can be used up to ``max_repeats`` times; every further part of a copy costs more than the one
    before (a convex cost), so repeats are spread over the patterns that can serve a quota.
 3. A pattern that is to give r times its tokens keeps floor(r) copies of each document and one more
@@ -27,7 +28,7 @@ from shelfspark.llm.flow import Flow
 
 SEED = 7_919
 STEPS_PER_COPY = 4
-MAX_PATTERNS = 4096
+MAX_PATTERNS = 1 << 15
 DIGIT_BITS, HASH_BITS = 8, 56
 CHOICES = 2048
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -75,19 +76,50 @@ def shared_targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...]
 
 
 def plan(patterns: dict[str, int], members: dict[str, list], targets: dict, max_repeats: int) -> dict[str, int]:
-    """Tokens each pattern gives: the flow from patterns (tokens, members) to the sources' targets."""
-    names, sources = sorted(patterns), list(targets)
+    """Tokens each pattern gives: the flow from patterns (tokens, members) to the sources' targets.
+
+    Patterns that share no source, directly or through others, are planned apart.
+    """
+    group: dict = {}
+
+    def root(node):
+        while group.setdefault(node, node) != node:
+            group[node] = node = group[group[node]]
+        return node
+
+    for name in patterns:
+        for source in members[name]:
+            if source in targets:
+                group[root(("source", source))] = root(("pattern", name))
+    parts: dict = {}
+    for name in sorted(patterns):
+        parts.setdefault(root(("pattern", name)), ([], []))[0].append(name)
+    for source in targets:
+        if (there := parts.get(root(("source", source)))) is not None:
+            there[1].append(source)
+    given: dict[str, int] = {}
+    for names, sources in parts.values():
+        if len(names) == 1 and len(sources) <= 1:
+            given[names[0]] = min(max_repeats * patterns[names[0]], max(0, round(targets[sources[0]]))) if sources else 0
+        else:
+            given |= _flow(names, sources, patterns, members, targets, max_repeats)
+    return given
+
+
+def _flow(names: list[str], sources: list, patterns: dict[str, int], members: dict[str, list], targets: dict, max_repeats: int) -> dict[str, int]:
+    """The plan of one connected set of patterns and sources."""
     flow = Flow(2 + len(names) + len(sources))
+    place = {source: 2 + len(names) + j for j, source in enumerate(sources)}
     taken = {}
     for i, name in enumerate(names):
         parts = max_repeats * STEPS_PER_COPY
         edges = [patterns[name] * k // STEPS_PER_COPY for k in range(parts + 1)]
         taken[name] = [flow.arc(0, 2 + i, edges[k + 1] - edges[k], (k + 1) ** 2) for k in range(parts)]
-        for j, source in enumerate(sources):
-            if source in members[name]:
-                flow.arc(2 + i, 2 + len(names) + j, max_repeats * patterns[name], 0)
-    for j, source in enumerate(sources):
-        flow.arc(2 + len(names) + j, 1, round(targets[source]), 0)
+        for source in members[name]:
+            if source in place:
+                flow.arc(2 + i, place[source], max_repeats * patterns[name], 0)
+    for source in sources:
+        flow.arc(place[source], 1, round(targets[source]), 0)
     flow.run(0, 1)
     return {name: sum(flow.used(number) for number in arcs) for name, arcs in taken.items()}
 
@@ -156,8 +188,8 @@ def mix(docs: DataFrame, targets: dict | None, work: WorkTables, key: str = "doc
     ``sources`` is an array column (default: the column source alone), ``size`` a token count (default:
     words of the column text), ``targets`` tokens per source (default ``shared_targets``).  A source without
     documents gets nothing, an empty table an empty rule.  Documents without tokens take part in no copy
-    beyond the whole ones.  Rows that repeat an id are chosen together.  Equal inputs give equal rules.
-    ``MAX_PATTERNS`` bounds the patterns, and so what the driver holds; more raise an error.
+    beyond the whole ones.  Rows that repeat an id are chosen together.  Equal inputs give equal rules; other columns are not read.
+    ``MAX_PATTERNS`` bounds the patterns, and so what the driver holds (a row per pattern and size class); more raise an error.
     """
     sources = F.array("source") if sources is None else sources
     size = words(F.col("text")) if size is None else size
@@ -182,9 +214,12 @@ def mix(docs: DataFrame, targets: dict | None, work: WorkTables, key: str = "doc
     rest = {name: given[name] - whole[name] * tokens[name] for name in tokens}
     wanted = {(name, c): rest[name] * amount / tokens[name] for (name, c), (amount, _) in strata.items() if tokens[name] and amount and rest[name]}
     edges = _edges(rows, wanted)
+    of_pattern: dict[str, dict] = {}
+    for k, x in edges.items():
+        of_pattern.setdefault(k[0], {})[k] = x
     until: dict[tuple[str, int], int] = {}
-    for name in tokens:
-        until |= _settle({k: x for k, x in edges.items() if k[0] == name})
+    for own in of_pattern.values():
+        until |= _settle(own)
     rule = [(name, c, whole[name], until.get((name, c), 0)) for name, c in sorted(strata)]
     totals = [(name, tokens[name], given[name]) for name in sorted(tokens)]
     session = docs.sparkSession

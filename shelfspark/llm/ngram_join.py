@@ -107,13 +107,18 @@ def fine_parity(shingles: np.ndarray) -> np.ndarray | None:
     return parity(shingles, 1 << (len(shingles) - 1).bit_length()) if len(shingles) > PARITY else None
 
 
+def set_key(shingles: np.ndarray) -> bytes | None:
+    """A digest that tells sets apart; the empty set has none."""
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str | None]]:
     for doc, text in zip(batch.column(0), batch.column(1), strict=True):
         yield doc.as_py(), text.as_py()
 
 
 def _read_sets(docs: DataFrame, bits: int) -> DataFrame:
-    """One row per document (doc, n, set_key), and per task the counts of its shingles' buckets."""
+    """One row per document (doc, text_hash, n, set_key), and per task the counts of its shingles' buckets."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = WordHashes(), np.zeros(1 << bits, np.uint32)
@@ -124,17 +129,19 @@ def _read_sets(docs: DataFrame, bits: int) -> DataFrame:
                 np.add.at(counts, bucket_of(found, bits), 1)
                 ids.append(doc)
                 sizes.append(len(found))
-                keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-            yield _rows(ids, sizes, keys)
+                keys.append(set_key(found))
+            yield _rows(ids, batch.column(2), sizes, keys)
         chunks = list(sparse_chunks(counts))
         if chunks:
-            yield _rows([None] * len(chunks), [None] * len(chunks), [None] * len(chunks), chunks)
+            none = [None] * len(chunks)
+            yield _rows(none, pa.nulls(len(chunks), pa.int64()), none, none, chunks)
 
-    def _rows(ids, sizes, keys, chunks=()) -> pa.RecordBatch:
+    def _rows(ids, hashed, sizes, keys, chunks=()) -> pa.RecordBatch:
         chunks = chunks or [(None, None, None)] * len(ids)
         return pa.RecordBatch.from_pydict(
             {
                 "doc": pa.array(ids, pa.int64()),
+                "text_hash": hashed,
                 "n": pa.array(sizes, pa.int64()),
                 "set_key": pa.array(keys, pa.binary()),
                 "chunk": pa.array([c[0] for c in chunks], pa.int32()),
@@ -143,21 +150,22 @@ def _read_sets(docs: DataFrame, bits: int) -> DataFrame:
             }
         )
 
-    return docs.mapInArrow(read, f"doc long, n long, set_key binary, {SKETCH}")
+    return docs.mapInArrow(read, f"doc long, text_hash long, n long, set_key binary, {SKETCH}")
 
 
 def _signature_rows(docs: DataFrame, counts: np.ndarray, frequent_from: int, sketch_bits: int) -> DataFrame:
-    """(doc, n, sigs, places, bits, fine) per document with words; fine is null for sets of up to ``PARITY`` shingles."""
+    """(doc, set_key, n, sigs, places, bits, fine) per document with words; fine is null for sets of up to ``PARITY`` shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, sizes, sigs, places, bits, fine = [], [], [], [], [], []
+            ids, keys, sizes, sigs, places, bits, fine = [], [], [], [], [], [], []
             for doc, text in _texts(batch):
                 found = shingle_set(text, hashes)
-                if doc is None or not len(found):
+                if not len(found):
                     continue
+                keys.append(set_key(found))
                 bits.append(parity(found))
                 fine.append(fine_parity(found))
                 own, at = signatures(found, shared.value, frequent_from, sketch_bits)
@@ -168,6 +176,7 @@ def _signature_rows(docs: DataFrame, counts: np.ndarray, frequent_from: int, ske
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc": pa.array(ids, pa.int64()),
+                    "set_key": pa.array(keys, pa.binary()),
                     "n": pa.array(sizes, pa.int32()),
                     "sigs": pa.array(sigs, pa.list_(pa.int64())),
                     "places": pa.array(places, pa.list_(pa.int32())),
@@ -176,7 +185,7 @@ def _signature_rows(docs: DataFrame, counts: np.ndarray, frequent_from: int, ske
                 }
             )
 
-    return docs.mapInArrow(sign, "doc long, n int, sigs array<long>, places array<int>, bits array<long>, fine array<long>")
+    return docs.mapInArrow(sign, "doc long, set_key binary, n int, sigs array<long>, places array<int>, bits array<long>, fine array<long>")
 
 
 def _only_marked(rows: DataFrame, marks: Bitmap) -> DataFrame:
@@ -202,22 +211,38 @@ def _only_marked(rows: DataFrame, marks: Bitmap) -> DataFrame:
     return rows.select("doc", "n", "sigs", "places").mapInArrow(prune, "sig long, place int, doc long, n int")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, shingles) of the documents in ``wanted``; a bitmap of fixed size spares reading most others' words."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
+def _sets_of(docs: DataFrame, wanted: DataFrame, first: DataFrame) -> DataFrame:
+    """(doc, shingles) of the nodes in ``wanted``, read from their first rows.
+
+    A bitmap of fixed size spares reading most other rows' words.
+    """
+    rows = first.join(wanted.toDF("node"), "node", "left_semi").select("node", F.col("rep").alias("doc"), "set_key")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(rows.select("doc")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            batch = batch.filter(pa.array(~batch.column(0).is_null().to_numpy(zero_copy_only=False)))
-            near = shared.value.test(batch.column(0).to_numpy().view(np.uint64))
-            ids, sets = [], []
+            unnamed = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            near = unnamed | shared.value.test(batch.column(0).fill_null(0).to_numpy().view(np.uint64))
+            ids, keys, sets = [], [], []
             for doc, text in _texts(batch.filter(pa.array(near))):
-                ids.append(doc)
-                sets.append(shingle_set(text, hashes).view(np.int64))
-            yield pa.RecordBatch.from_pydict({"doc": pa.array(ids, pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+                found = shingle_set(text, hashes)
+                if len(found):
+                    ids.append(doc)
+                    keys.append(set_key(found))
+                    sets.append(found.view(np.int64))
+            yield pa.RecordBatch.from_pydict({"doc": pa.array(ids, pa.int64()), "set_key": pa.array(keys, pa.binary()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+
+    found = docs.mapInArrow(read, "doc long, set_key binary, shingles array<long>")
+    return _at_first(found, rows).select("doc", "shingles")
 
-    return docs.mapInArrow(read, "doc long, shingles array<long>").join(wanted.toDF("doc"), "doc", "left_semi")
+
+def _at_first(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """``table`` (doc, set_key, …) at the rows (node, doc, set_key), by node in place of doc."""
+    same = (F.col("t.set_key") == F.col("r.set_key")) & F.col("t.doc").eqNullSafe(F.col("r.doc"))
+    others = [F.col(f"t.{c}") for c in table.columns if c not in ("doc", "set_key")]
+    more = [F.col(f"r.{c}") for c in rows.columns if c not in ("node", "doc", "set_key")]
+    return table.alias("t").join(rows.alias("r"), same).select(F.col("r.node").alias("doc"), *others, *more)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -274,14 +299,17 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, work: WorkTables, key: str = "doc_id", text: str = "text", percent: int = PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of ``docs``.
+    """(doc_id, n_shingles, component_id, text_hash, kept) per row of ``docs``.
 
     Two documents link when 100 * |intersection| >= ``percent`` * |union| of their shingle sets;
     ``percent`` is 80, for which the prefix lengths are derived.  Texts are read whole.  Null, empty
-    and blank texts have no shingles and link with nothing, and are their own component.  A null id
-    never names a component: such a row takes part by its equal sets only, and gets a null component
-    when no row with an id has its set.  Rows that repeat an id with different texts count as one
-    node.  No rows give no rows; other columns are not read.
+    and blank texts have no shingles and link with nothing, and are their own component.  The join
+    runs on distinct sets, so rows that repeat an id with different texts link each by its own
+    text, whatever their order.  A row without an id links like any other but never names a
+    component, which is null where no row has an id.  No rows give no rows; other columns are not read.
+
+    ``kept`` marks one document of each component, that with the smallest id and of those the smallest
+    ``text_hash`` (xxhash64 of the text), and all documents without words; rows with equal id and text are one document.
 
     ``sketch_bits`` sets the counters of the frequency table (2**20 of four bytes by default, whatever the
     corpus); a token is frequent when its bucket holds over four times the mean and over 64.
@@ -289,13 +317,17 @@ def near_duplicates(docs: DataFrame, work: WorkTables, key: str = "doc_id", text
     if percent != PERCENT:
         raise ValueError("the prefix lengths hold for 80 percent")
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    read = work.cut(_read_sets(texts, sketch_bits))
-    rows = read.where("n is not null").select("doc", "n", "set_key")
+    read = work.cut(_read_sets(texts.withColumn("text_hash", F.xxhash64("text")), sketch_bits))
+    rows = read.where("n is not null").select("doc", "text_hash", "n", "set_key")
     counts = gather_buckets(read.where("chunk is not null"), sketch_bits)
     frequent_from = max(64, 4 * int(counts.sum(dtype=np.int64) >> sketch_bits)) + 1
-    first = work.cut(rows.where("n > 0 and doc is not null").groupBy("set_key").agg(F.min("doc").alias("rep")))
+    # A node per distinct set, and the row that stands for it.
+    again = rows.where("n > 0").groupBy("set_key", "doc").agg(F.count("*").alias("copies"), F.min("text_hash").alias("text_hash"))
+    first = again.groupBy("set_key").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "copies", "text_hash")).alias("f"))
+    first = work.cut(first.select(F.monotonically_increasing_id().alias("node"), "set_key", F.col("f.doc").alias("rep"), "f.copies", "f.text_hash"))
     signed = _signature_rows(texts, counts, frequent_from, sketch_bits)
-    signed = work.cut(signed.join(first.select(F.col("rep").alias("doc")), "doc", "left_semi"))
+    signed = _at_first(signed, first.select("node", F.col("rep").alias("doc"), "set_key", "copies"))
+    signed = work.cut(signed.where("copies = 1").union(signed.where("copies > 1").dropDuplicates(["doc"])).drop("copies"))
 
     shared = signed.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("rows")).where("rows > 1")
     shared = work.cut(shared.select("sig"))
@@ -309,7 +341,7 @@ def near_duplicates(docs: DataFrame, work: WorkTables, key: str = "doc_id", text
     stars = stars.join(_side("x", signed, bits="xb"), "x").join(_side("y", signed, bits="yb"), "y").where(_alike())
     stars = work.cut(_finely_alike(stars.drop("xb", "yb"), signed).select("x", "y", "shared"))
     best = stars.groupBy("y").agg(F.min(F.struct(-F.col("shared"), F.col("x").alias("x"))).alias("b")).select("b.x", "y")
-    sets = work.cut(_sets_of(texts, _ends(stars)).dropDuplicates(["doc"]))
+    sets = work.cut(_sets_of(texts, _ends(stars), first).dropDuplicates(["doc"]))
     links = work.cut(_verified(best, sets, percent))
     label = work.cut(components(links, work))
 
@@ -329,10 +361,17 @@ def near_duplicates(docs: DataFrame, work: WorkTables, key: str = "doc_id", text
     rest = rest.select("x", "y", "xn", "yn").distinct().join(stars, ["x", "y"], "left_anti")
     rest = work.cut(_finely_alike(rest, signed).select("x", "y"))
     if not rest.isEmpty():
-        sets = work.cut(_sets_of(texts, _ends(rest)).dropDuplicates(["doc"]))
+        sets = work.cut(_sets_of(texts, _ends(rest), first).dropDuplicates(["doc"]))
         label = work.cut(components(links.union(_verified(rest, sets, percent)), work))
 
-    named = first.join(label, first["rep"] == label["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    linked = first.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    winner = linked.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "text_hash")).alias("w"))
+    named = linked.select("set_key", "component").join(winner, "component").select("set_key", F.col("w.rep").alias("rep"), F.col("w.text_hash").alias("rep_hash"))
+    wordless = F.col("n") == 0
     return rows.join(named, "set_key", "left").select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id")
+        F.col("doc").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.when(wordless, F.col("doc")).otherwise(F.col("rep")).alias("component_id"),
+        "text_hash",
+        (wordless | (F.col("doc").eqNullSafe(F.col("rep")) & F.col("text_hash").eqNullSafe(F.col("rep_hash")))).alias("kept"),
     )

@@ -69,7 +69,8 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), WorkTables(spark, "ngrams"))
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"), WorkTables(spark, "ngrams"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ HEXLIKE = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{16,}+")
 # A JSON object begins with a brace, whose first six bits are an e.
 JWT = re.compile(r"(?<![A-Za-z0-9_-])e[A-Za-z0-9_-]{9,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]{16,}+")
 # Lines of base64 are joined while they are as wide as the first; a line break may be written out as \\n.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16,}+={0,2}")
+BASE64 = re.compile(r"(?:(?<=\\n)|(?<![A-Za-z0-9+/\\]))[A-Za-z0-9+/]{16,}+={0,2}")
 LAST_LINE = re.compile(r"[A-Za-z0-9+/]++={0,2}")
 BREAK = re.compile(r"(?:\\r)?\\n|\r?\n[\x20\t]*")
 # How a DER sequence and the OpenSSH container begin, in base64 and in hex.
