@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.functions.loans import is_open
-from shelfspark.operators.book_state import INHERITED, REPLAYED, STUCK, replay_slice
+from shelfspark.operators import ample
+from shelfspark.operators.book_state import BORROW, INHERITED, REPLAYED, STUCK, replay_slice
 from shelfspark.session import work_folder, write_and_reread
 from shelfspark.tables import Tables
 
@@ -95,22 +96,44 @@ def _run(sliced: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def answer(tables: Tables, events: DataFrame, slice_rows: int) -> DataFrame:
-    """The answer to each request of ``events``."""
+    """The answer to each request of ``events``.
+
+    Books whose stock cannot run out need no replay; see ``shelfspark.operators.ample``.
+    """
     spark = events.sparkSession
-    # Busy books have more than slice_rows requests: there are fewer than
-    # count / slice_rows of them.
-    sizes = events.groupBy("book_id").agg(F.count("*").alias("n")).where(F.col("n") > slice_rows)
-    busy = {row.book_id: row.n for row in sizes.collect()}
-    slices = max(spark.sparkContext.defaultParallelism, math.ceil(events.count() / slice_rows))
-    if not busy:
-        return _whole_books(tables, events, slices)
-    books = F.broadcast(spark.createDataFrame([(book,) for book in busy], "book_id long"))
-    ordinary = _whole_books(tables, events.join(books, "book_id", "left_anti"), slices)
-    hot = events.join(books, "book_id", "left_semi")
-    hot_slices = math.ceil(sum(busy.values()) / slice_rows)
-    shelves = tables.books.select(F.col("id").alias("book_id"), "quantity").join(books, "book_id")
-    stock = {**dict.fromkeys(busy, 0), **{row.book_id: row.quantity for row in shelves.collect()}}
-    return ordinary.unionByName(_BusyBooks(tables, hot, hot_slices, stock).answers())
+    stock = tables.books.select(F.col("id").alias("book_id"), "quantity")
+    borrows = F.sum((F.col("code") == BORROW).cast("long"))
+    sizes = events.groupBy("book_id").agg(F.count("*").alias("n"), borrows.alias("borrows")).join(stock, "book_id", "left")
+    folds = ample.cannot_run_out(F.col("quantity"), F.col("borrows"), F.col("n")) & (F.col("n") <= slice_rows)
+    sizes = write_and_reread(sizes.select("book_id", "n", "quantity", folds.alias("folds")), work_folder(spark))
+    # Busy books have more than slice_rows requests: there are fewer than count / slice_rows of them.
+    busy_book = F.when(F.col("n") > slice_rows, F.struct("book_id", "n", "quantity"))
+    replayed, folded, busy = sizes.agg(
+        F.coalesce(F.sum(F.when(~F.col("folds"), F.col("n"))), F.lit(0)),
+        F.coalesce(F.sum(F.col("folds").cast("int")), F.lit(0)),
+        F.collect_list(busy_book),
+    ).first()
+    parts = []
+    if folded:
+        free = sizes.where("folds").select("book_id")
+        mine = events.join(free, "book_id", "left_semi")
+        parts.append(ample.fold_members(mine, blocking(tables).join(free, "book_id", "left_semi")))
+        events = events.join(free, "book_id", "left_anti")
+    slices = max(spark.sparkContext.defaultParallelism, math.ceil(replayed / slice_rows))
+    if busy:
+        books = F.broadcast(spark.createDataFrame([(row.book_id,) for row in busy], "book_id long"))
+        hot = events.join(books, "book_id", "left_semi")
+        events = events.join(books, "book_id", "left_anti")
+        hot_slices = math.ceil(sum(row.n for row in busy) / slice_rows)
+        hot_stock = {row.book_id: row.quantity or 0 for row in busy}
+        parts.append(_BusyBooks(tables, hot, hot_slices, hot_stock).answers())
+    if replayed > sum(row.n for row in busy):
+        parts.append(_whole_books(tables, events, slices))
+    answers = parts.pop() if parts else _whole_books(tables, events, slices)
+    answers = answers.select(*ample.ANSWER)
+    for part in parts:
+        answers = answers.unionByName(part.select(*ample.ANSWER))
+    return answers
 
 
 def _whole_books(tables: Tables, events: DataFrame, slices: int) -> DataFrame:

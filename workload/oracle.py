@@ -551,6 +551,20 @@ def _mixed() -> dict[str, str]:
             **MIXED,
         ),
         "mixed_requests_borrows": _with("SELECT * FROM borrows WHERE book_id IN (SELECT book FROM last WHERE live)", **MIXED),
+        "top_books_kept": _with(
+            """SELECT CAST(row_number() OVER (ORDER BY borrow_count DESC, t.book) AS INT) AS rank, t.book AS id, title, author,
+              CAST(quantity AS INT) AS quantity, g.name AS genre_name, borrow_count, currently_out
+            FROM (SELECT book_id AS book, count(*) AS borrow_count, count(*) FILTER (status IN ('active', 'overdue')) AS currently_out
+              FROM borrows GROUP BY book_id HAVING book_id IN (SELECT book FROM last WHERE live) ORDER BY 2 DESC, 1 LIMIT 5) t
+            JOIN last ON last.book = t.book LEFT JOIN kept_genres g ON g.id = last.genre""",
+            **MIXED,
+            kept_genres="SELECT g.id AS id, g.name AS name FROM (SELECT unnest(live) AS g FROM st WHERE n = (SELECT max(n) FROM st))",
+        ),
+        "genre_stats_kept": _with(
+            """SELECT name AS genre_name, (SELECT count(*) FROM last WHERE live AND genre = g.id) AS book_count FROM kept_genres g""",
+            **MIXED,
+            kept_genres="SELECT g.id AS id, g.name AS name FROM (SELECT unnest(live) AS g FROM st WHERE n = (SELECT max(n) FROM st))",
+        ),
         "mixed_requests_outcomes": _with(
             """SELECT request_id, outcome, CASE
               WHEN outcome = 'added' AND kind = 'add_book' THEN 'Book "' || title || '" added.'
@@ -644,6 +658,15 @@ LINES = {
 }
 
 
+LINE_LOANS = """SELECT id, user_id, book_id, borrowed_at, due_date, coalesce(closed_at, returned_at) AS returned_at,
+            CASE WHEN closed_at IS NOT NULL THEN 'returned' ELSE status END AS status
+            FROM (SELECT id, user_id, book_id, borrowed_at, due_date, returned_at, status FROM borrows
+              UNION ALL SELECT loan_id, user_id, book_id, ts, CAST(CAST(ts AS DATE) + 7 AS DATE), NULL, 'active'
+              FROM ans WHERE ok AND line % 2 = 0) l
+            LEFT JOIN (SELECT loan_id, ts AS closed_at FROM ans WHERE ok AND line % 2 = 1) c
+              ON c.loan_id = l.id"""
+
+
 def _ledger() -> dict[str, str]:
     return {
         "ledger_replay": EVENT_LEDGER,
@@ -666,15 +689,15 @@ def _ledger() -> dict[str, str]:
               WHERE ok GROUP BY book_id) d ON d.book_id = b.id""",
             **LINES,
         ),
-        "ledger_loans": _with(
-            """SELECT id, user_id, book_id, borrowed_at, due_date, coalesce(closed_at, returned_at) AS returned_at,
-            CASE WHEN closed_at IS NOT NULL THEN 'returned' ELSE status END AS status
-            FROM (SELECT id, user_id, book_id, borrowed_at, due_date, returned_at, status FROM borrows
-              UNION ALL SELECT loan_id, user_id, book_id, ts, CAST(CAST(ts AS DATE) + 7 AS DATE), NULL, 'active'
-              FROM ans WHERE ok AND line % 2 = 0) l
-            LEFT JOIN (SELECT loan_id, ts AS closed_at FROM ans WHERE ok AND line % 2 = 1) c
-              ON c.loan_id = l.id""",
+        "ledger_loans": _with(LINE_LOANS, **LINES),
+        "user_stats_kept": _with(
+            USER_STATS.replace("per_user", "now_per_user"),
             **LINES,
+            **DELETE_BOOKS,
+            now_loans=LINE_LOANS,
+            now_swept=f"""SELECT user_id, borrowed_at, CASE WHEN status = 'active' AND due_date < {AS_OF} AND returned_at IS NULL
+                THEN 'overdue' ELSE status END AS status FROM now_loans WHERE book_id NOT IN (SELECT id FROM firsts)""",
+            now_per_user=CTES["per_user"].replace("FROM loans", "FROM now_swept"),
         ),
     }
 

@@ -14,6 +14,7 @@ from shelfspark.operators import accounts, batch, catalogue, checks, ledger, req
 from shelfspark.operators.migration import normalise_genres
 from shelfspark.operators.sweep import sweep
 from shelfspark.plans import reports as r
+from shelfspark.plans import upkeep
 from shelfspark.schema import BOOKS, TABLES
 from shelfspark.session import work_folder
 from shelfspark.streaming.ledger import answer_arrivals
@@ -274,6 +275,29 @@ def ledger_loans(spark: SparkSession, folder: str) -> DataFrame:
     return _line_replay(spark, folder, True).tables.borrows
 
 
+def user_stats_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Kept through a replay of all order lines and the deletion of books after it."""
+    before = m.star_tables(spark, folder)
+    kept = upkeep.keep(before)
+    played = _line_replay(spark, folder, True)
+    kept = upkeep.updated(kept, played.tables, upkeep.loans_of_replay(before, played)).written()
+    after = catalogue.delete_books(played.tables, m.delete_book_requests(spark, folder)).tables
+    kept = upkeep.updated(kept, after, upkeep.loans_of_deletion(played.tables, after))
+    return upkeep.user_stats(kept, after, m.AS_OF)
+
+
+def _kept_through_batch(report: Callable) -> Query:
+    """Kept through a batch that adds, edits and deletes books and genres."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        before = m.star_tables(spark, folder)
+        after = batch.apply_catalogue(before, m.mixed_requests(spark, folder)).tables
+        loans, books = upkeep.loans_of_deletion(before, after), upkeep.books_changed(before, after)
+        return report(upkeep.updated(upkeep.keep(before), after, loans, books), after)
+
+    return query
+
+
 def queries() -> dict[str, Query]:
     tables = {name: _table(name) for name in TABLES}
     return {
@@ -287,6 +311,9 @@ def queries() -> dict[str, Query]:
         "top_books": _report(r.top_books),
         "never_borrowed": _report(r.never_borrowed),
         "genre_stats": _report(r.genre_stats),
+        "user_stats_kept": user_stats_kept,
+        "top_books_kept": _kept_through_batch(upkeep.top_books),
+        "genre_stats_kept": _kept_through_batch(upkeep.genre_stats),
         "overdue_top": _report(r.overdue_top),
         "due_soon": _report(r.due_soon),
         "due_soon_display": _report(r.due_soon_display),
