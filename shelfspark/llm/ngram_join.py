@@ -324,6 +324,9 @@ def near_duplicates(docs: DataFrame, work: WorkTables, key: str = "doc_id", text
     # A node per distinct set, and the row that stands for it.
     again = rows.where("n > 0").groupBy("set_key", "doc").agg(F.count("*").alias("copies"), F.min("text_hash").alias("text_hash"))
     first = again.groupBy("set_key").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "copies", "text_hash")).alias("f"))
+    # Nodes are numbered in the order of ids: the smallest member of a signature is then its oldest text, of which others are copies.
+    order = (F.col("f.doc").asc_nulls_last(), F.col("set_key").asc())
+    first = first.repartitionByRange(*order).sortWithinPartitions(*order)
     first = work.cut(first.select(F.monotonically_increasing_id().alias("node"), "set_key", F.col("f.doc").alias("rep"), "f.copies", "f.text_hash"))
     signed = _signature_rows(texts, counts, frequent_from, sketch_bits)
     signed = _at_first(signed, first.select("node", F.col("rep").alias("doc"), "set_key", "copies"))
