@@ -64,6 +64,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder, on whatever storage the path names."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write_and_reread(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     """Cut lineage with a written table, so a lost executor costs no recomputation."""
     df.write.partitionBy(*partition_by).parquet(path)

@@ -219,6 +219,27 @@ def mixed_requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def raw_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """(request_id, ts, user_id, query, body): the requests of ``mixed_requests`` as a browser sends them.
+
+    Titles hold signs that have to be encoded; some parameters come twice, some not at all, some sendings ask for two things.
+    """
+    asked = mixed_requests(spark, folder).withColumn("title", F.concat("title", F.lit(" é&=+% "), "author"))
+    sent = {name: F.concat(F.lit(f"{name}="), F.url_encode(F.coalesce(name, F.lit("")))) for name in ("book_id", "title", "author", "genre_id", "quantity")}
+    name = F.concat(F.lit("genre.name="), F.url_encode("name"))
+    twice = F.when(F.col("request_id") % 7 == 0, F.lit("quantity=none&"))
+    some = F.when(F.col("request_id") % 11 != 0, sent["genre_id"])
+    kind = F.col("kind")
+    book = F.concat_ws("&", kind, sent["book_id"], twice, sent["title"], F.lit(""), some, sent["quantity"], sent["author"])
+    body = F.when(kind.isin("add_book", "edit_book"), book).when(kind == "add_genre", F.concat(name, F.lit("&add_genre=")))
+    query = (
+        F.when(kind == "delete_book", F.concat(F.lit("page=2&delete_book="), F.col("book_id")))
+        .when(kind == "delete_genre", F.concat(F.lit("delete_genre=x&delete%5Fgenre="), F.col("genre_id")))
+        .when(F.col("request_id") % 13 == 0, F.concat(F.lit("delete_genre="), F.col("genre_id"), F.lit("%zz")))
+    )
+    return asked.select("request_id", "ts", "user_id", query.alias("query"), body.alias("body"))
+
+
 # Errors are requests of a kind the ledger does not know.
 EVENT_KIND = (
     "CASE WHEN event_type IN ('purchase', 'signup') THEN 'borrow' "

@@ -551,6 +551,21 @@ def _mixed() -> dict[str, str]:
             **MIXED,
         ),
         "mixed_requests_borrows": _with("SELECT * FROM borrows WHERE book_id IN (SELECT book FROM last WHERE live)", **MIXED),
+        "form_requests": _with(
+            """SELECT r * 5 + CASE kind WHEN 'add_book' THEN 0 WHEN 'edit_book' THEN 1 WHEN 'delete_book' THEN 2 WHEN 'add_genre' THEN 3 ELSE 4 END AS request_id,
+              ts, CASE WHEN permitted THEN 50 ELSE 1 END AS user_id, kind,
+              CASE WHEN kind IN ('edit_book', 'delete_book') THEN CAST(book AS VARCHAR) END AS book_id,
+              CASE WHEN kind IN ('add_book', 'edit_book') THEN ' ' || title || ' é&=+% ' || author END AS title,
+              CASE WHEN kind IN ('add_book', 'edit_book') THEN author END AS author,
+              CASE WHEN kind = 'delete_genre' OR kind IN ('add_book', 'edit_book') AND r % 11 <> 0 THEN CAST(gone_genre AS VARCHAR) END AS genre_id,
+              CASE WHEN kind IN ('add_book', 'edit_book') THEN CAST(quantity AS VARCHAR) END AS quantity,
+              CASE WHEN kind = 'add_genre' THEN CASE WHEN r % 4 = 0 THEN name ELSE ' ' || name || ' ' END END AS name
+            FROM req WHERE kind <> 'rename_book'
+            UNION ALL
+            SELECT r * 5 + 4, ts, CASE WHEN permitted THEN 50 ELSE 1 END, 'delete_genre', NULL, NULL, NULL, gone_genre || '%zz', NULL, NULL
+            FROM req WHERE r % 13 = 0 AND kind NOT IN ('delete_genre', 'delete_book')""",
+            req=MIXED["req"],
+        ),
         "top_books_kept": _with(
             """SELECT CAST(row_number() OVER (ORDER BY borrow_count DESC, t.book) AS INT) AS rank, t.book AS id, title, author,
               CAST(quantity AS INT) AS quantity, g.name AS genre_name, borrow_count, currently_out
@@ -690,6 +705,12 @@ def _ledger() -> dict[str, str]:
             **LINES,
         ),
         "ledger_loans": _with(LINE_LOANS, **LINES),
+        "rewritten_loans": _with(LINE_LOANS, **LINES),
+        "rewritten_books": _with(
+            """SELECT id, title, author, CAST(quantity + coalesce(delta, 0) AS INT) AS quantity, genre_id, created_at FROM books
+            LEFT JOIN (SELECT book_id AS id, SUM(CASE WHEN line % 2 = 0 THEN -1 ELSE 1 END) AS delta FROM ans WHERE ok GROUP BY 1) USING (id)""",
+            **LINES,
+        ),
         "user_stats_kept": _with(
             USER_STATS.replace("per_user", "now_per_user"),
             **LINES,

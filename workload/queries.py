@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions import display as d
+from shelfspark.functions import forms
 from shelfspark.functions.loans import due_date
 from shelfspark.functions.text import clean_int, clean_text, md5_hex, zero_to_null
 from shelfspark.operators import accounts, batch, catalogue, checks, ledger, requests, search
@@ -17,6 +18,7 @@ from shelfspark.plans import reports as r
 from shelfspark.plans import upkeep
 from shelfspark.schema import BOOKS, TABLES
 from shelfspark.session import work_folder
+from shelfspark.sources import changes
 from shelfspark.streaming.ledger import answer_arrivals
 from workload import mapping as m
 
@@ -275,6 +277,28 @@ def ledger_loans(spark: SparkSession, folder: str) -> DataFrame:
     return _line_replay(spark, folder, True).tables.borrows
 
 
+def _rewritten(spark: SparkSession, folder: str) -> DataFrame:
+    """A snapshot written, replayed, rewritten where the replay touched it, and read back."""
+    home = work_folder(spark)
+    changes.write_ranges(m.star_tables(spark, folder), home, "yyyy")
+    before = changes.read_ranges(spark, home)
+    changes.apply_replay(before, ledger.replay(before, m.line_requests(spark, folder)), home, "yyyy")
+    return changes.read_ranges(spark, home)
+
+
+def rewritten_loans(spark: SparkSession, folder: str) -> DataFrame:
+    return _rewritten(spark, folder).borrows
+
+
+def rewritten_books(spark: SparkSession, folder: str) -> DataFrame:
+    return _rewritten(spark, folder).books
+
+
+def form_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed requests read from forms."""
+    return forms.catalogue_requests(m.raw_forms(spark, folder))
+
+
 def user_stats_kept(spark: SparkSession, folder: str) -> DataFrame:
     """Kept through a replay of all order lines and the deletion of books after it."""
     before = m.star_tables(spark, folder)
@@ -354,6 +378,9 @@ def queries() -> dict[str, Query]:
         "mixed_requests_genres": _change(batch.apply_catalogue, m.mixed_requests, tables["genres"]),
         "mixed_requests_borrows": _change(batch.apply_catalogue, m.mixed_requests, tables["borrows"]),
         "mixed_requests_outcomes": _change(batch.apply_catalogue, m.mixed_requests, _outcomes),
+        "form_requests": form_requests,
+        "rewritten_loans": rewritten_loans,
+        "rewritten_books": rewritten_books,
         "ledger_replay": ledger_replay,
         "ledger_replay_sliced": ledger_replay_sliced,
         "ledger_stream": ledger_stream_replay,
