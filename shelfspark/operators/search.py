@@ -26,8 +26,8 @@ def search(df: DataFrame, cells: Sequence[Column], query: str) -> DataFrame:
     return df.where(contains_ci(row_text(cells), query))
 
 
-def search_catalogue(catalogue: DataFrame, query: str) -> DataFrame:
-    cells = [
+def catalogue_cells() -> list[Column]:
+    return [
         F.col("id").cast("string"),
         F.col("title"),
         F.col("author"),
@@ -35,7 +35,10 @@ def search_catalogue(catalogue: DataFrame, query: str) -> DataFrame:
         F.col("quantity").cast("string"),
         d.day_text("created_at"),
     ]
-    return search(catalogue, cells, query)
+
+
+def search_catalogue(catalogue: DataFrame, query: str) -> DataFrame:
+    return search(catalogue, catalogue_cells(), query)
 
 
 def search_history(history: DataFrame, query: str) -> DataFrame:

@@ -313,6 +313,18 @@ def browse(snap: Snapshot, user_id: int) -> DataFrame:
     )
 
 
+def browse_members(snap: Snapshot, user_ids: list[int]) -> DataFrame:
+    """The shelf as each of some members sees it, whether there are loans to them or not.
+
+    The list is an argument, so a row per book and member of it; books meet loans on book and member.
+    """
+    listed = F.array(*(F.lit(user_id).cast("long") for user_id in sorted(set(user_ids))))
+    mine = snap.tables.borrows.where(F.col("user_id").isin(*user_ids) & is_open("status"))
+    held = mine.groupBy(F.col("user_id").alias("member"), F.col("book_id").alias("id")).agg(F.count("*").alias("held"))
+    shelf = _with_genre_name(snap.books.withColumn("member", F.explode(listed)), snap).join(held, ["member", "id"], "left")
+    return shelf.select("member", *snap.books.columns, "genre_name", F.coalesce("held", F.lit(0)).alias("i_have_it")).orderBy("member", ci("title"), "id")
+
+
 def browse_display(snap: Snapshot, user_id: int) -> DataFrame:
     return browse(snap, user_id).select(
         "*",

@@ -10,7 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shelfspark.functions import forms
-from shelfspark.operators import ledger
+from shelfspark.operators import ledger, search, search_index
+from shelfspark.plans import reports
 from shelfspark.schema import BOOKS, BORROWS, GENRES, LEDGER_REQUEST, TABLES, USERS
 from shelfspark.session import work_folder
 from shelfspark.sources import changes
@@ -132,3 +133,29 @@ def test_catalogue_requests_from_forms(spark):
 def test_ledger_requests_from_forms(spark, query, want):
     raw = spark.createDataFrame([(1, NOON, 9, query, "borrow=7")], RAW)
     assert sorted((r.request_id, r.kind, r.book_id, r.borrow_id) for r in forms.ledger_requests(raw).collect()) == want
+
+
+# --- search by trigrams ----------------------------------------------------------------
+
+
+def test_search_by_trigrams_equals_the_scan(spark):
+    words = ["Clean", "Code", "50%_off", "CODE", "Ängste", "ängst", "日本語の本", "a b", "x"]
+    shelf = [(i, f"{words[i % 9]} {words[i * 7 % 9]} {i}", words[i % 4] if i % 5 else None, i % 3) for i in range(400)]
+    df = spark.createDataFrame(shelf, "id long, title string, author string, n int")
+    cells = [F.col("title"), F.col("author"), F.col("n").cast("string")]
+    postings = search_index.write_index(df, cells, f"{work_folder(spark)}/postings")
+    for query in ("code", "50%_O", "_off", "%", "", "ÄNGST", "日本語", "本語の", "e a", "zzz", "  ", "code 1", "e\n", "Clean Code 0", "38"):
+        assert rows(search_index.search_indexed(df, cells, query, postings)) == rows(search.search(df, cells, query)), query
+    whole = files_of(f"{os.path.dirname(postings.inputFiles()[0].removeprefix('file://'))}/..")
+    read_ = search_index.candidates(postings, "日本語")
+    assert rows(read_) and len(read_.inputFiles()) <= len(whole) and search_index.candidates(postings, "ab") is None
+    plan = read_._jdf.queryExecution().executedPlan().toString()
+    # One bucket of the postings is listed and one gram of it asked for.
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "EqualTo(gram" in plan
+
+
+def test_browse_for_a_list_of_members(spark):
+    snap = starter_tables(spark).at(dt.date(2026, 4, 22))
+    got = reports.browse_members(snap, [5, 9, 77, 5]).collect()
+    want = [(u, *r) for u in (5, 9, 77) for r in reports.browse(snap, u).collect()]
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]

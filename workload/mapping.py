@@ -19,10 +19,10 @@ from shelfspark.tables import Snapshot, Tables
 AS_OF = dt.date(2001, 8, 2)
 MEMBER = 7
 EPOCH = "TIMESTAMP_NTZ '1995-01-01 00:00:00'"
-# Tells every line of the test tables apart; order and line number alone repeat.
+# Tells every line of the test tables apart; order and line number alone repeat.  Rises with the order key, which may go up to 2**35.
 LOAN_KEY = (
-    "(((l_orderkey * 8 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT)) * 100000"
-    " + l_partkey) * 1000 + l_suppkey"
+    "((l_orderkey * 8 + l_linenumber) * 16777216"
+    " + (l_partkey * 1009 + l_suppkey * 31 + CAST(l_quantity AS BIGINT)) % 16777216)"
 )
 
 # The test tables' columns; naming them saves a job per read that would look
@@ -47,7 +47,8 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-@functools.cache
+# One session and folder at a time: an older session's plans are let go.
+@functools.lru_cache(maxsize=1)
 def star_tables(spark: SparkSession, folder: str) -> Tables:
     """The plans are made once per session, as registered views would be; no data is kept."""
     genres = read(spark, folder, "nation").selectExpr("n_nationkey AS id", "n_name AS name")

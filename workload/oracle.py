@@ -12,8 +12,8 @@ MEMBER = 7
 EPOCH = "TIMESTAMP '1995-01-01 00:00:00'"
 OPEN = "status IN ('active', 'overdue')"
 # Tells every line of the test tables apart.
-LOAN_KEY = """(((l_orderkey * 8 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT)) * 100000
-        + l_partkey) * 1000 + l_suppkey"""
+LOAN_KEY = """((l_orderkey * 8 + l_linenumber) * 16777216
+        + (l_partkey * 1009 + l_suppkey * 31 + CAST(l_quantity AS BIGINT)) % 16777216)"""
 
 CTES = {
     "genres": "SELECT n_nationkey AS id, n_name AS name FROM nation",
@@ -173,6 +173,10 @@ def _reports() -> dict[str, str]:
             f"SELECT *, {_member_text('status', 'days_rem')} AS due_text FROM a", a=MINE
         ),
         "browse": _with(BROWSE),
+        "browse_members": _with(
+            f"""SELECT member, s.*, (SELECT count(*) FROM loans w WHERE {OPEN} AND w.user_id = member AND w.book_id = s.id) AS i_have_it
+            FROM shelved s, (SELECT unnest([{MEMBER}, 50, 1234, 999999999]) AS member)"""
+        ),
         "browse_display": _with(
             f"""SELECT *, {_stock_text('quantity')} AS stock_text,
             {_action('i_have_it > 0', 'quantity')} AS action_text FROM a""",
@@ -191,6 +195,15 @@ def _reports() -> dict[str, str]:
             ),
             a=CATALOGUE,
         ),
+        "search_catalogue_indexed": _with(
+            "SELECT * FROM a WHERE "
+            + _contains(
+                ["id", "title", "author", "coalesce(genre_name, '—')", "quantity",
+                 f"strftime(created_at, {DAY})"],
+                "BOLT",
+            ),
+            a=CATALOGUE,
+        ),
         "search_catalogue_literal": _with(
             "SELECT * FROM a WHERE "
             + _contains(

@@ -11,7 +11,7 @@ from shelfspark.functions import display as d
 from shelfspark.functions import forms
 from shelfspark.functions.loans import due_date
 from shelfspark.functions.text import clean_int, clean_text, md5_hex, zero_to_null
-from shelfspark.operators import accounts, batch, catalogue, checks, ledger, requests, search
+from shelfspark.operators import accounts, batch, catalogue, checks, ledger, requests, search, search_index
 from shelfspark.operators.migration import normalise_genres
 from shelfspark.operators.sweep import sweep
 from shelfspark.plans import reports as r
@@ -122,6 +122,13 @@ def search_literal(spark: SparkSession, folder: str) -> DataFrame:
     return search.search_catalogue(r.catalogue(m.snapshot(spark, folder)).withColumn("title", marked), "50%_O")
 
 
+def search_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """Through a table of trigrams of the whole catalogue."""
+    catalogue_rows, cells = r.catalogue(m.snapshot(spark, folder)), search.catalogue_cells()
+    postings = search_index.write_index(catalogue_rows, cells, f"{work_folder(spark)}/postings")
+    return search_index.search_indexed(catalogue_rows, cells, "BOLT", postings)
+
+
 # --- constraint checks, each over tables broken on purpose -----------------
 
 
@@ -348,6 +355,7 @@ def queries() -> dict[str, Query]:
         "my_borrows": _report(r.my_borrows, m.MEMBER),
         "my_borrows_all": _report(r.my_borrows_display),
         "browse": _report(r.browse, m.MEMBER),
+        "browse_members": _report(r.browse_members, [m.MEMBER, 50, 1234, 999999999]),
         "browse_display": _report(r.browse_display, m.MEMBER),
         "borrowable": _report(r.borrowable, m.MEMBER),
         "genre_list": _report(r.genre_list),
@@ -389,6 +397,7 @@ def queries() -> dict[str, Query]:
         "ledger_loans": ledger_loans,
         "normalise_genre": normalise_genre,
         "search_catalogue": _search(r.catalogue, search.search_catalogue, "BOLT"),
+        "search_catalogue_indexed": search_indexed,
         "search_catalogue_literal": search_literal,
         "search_history": _search(r.borrow_history, search.search_history, "returned"),
         "search_browse": _search(r.browse, search.search_browse, "out of stock", m.MEMBER),
