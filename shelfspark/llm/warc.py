@@ -31,7 +31,6 @@ RANGE_BYTES = 16 << 20
 READ_BYTES = 1 << 20
 MOST_TASKS = 20_000
 LEVEL = 5
-HEADER_LIMIT = 1 << 20
 MANIFEST = "path string, bytes long, records long"
 
 
