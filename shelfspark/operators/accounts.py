@@ -66,7 +66,11 @@ def login_audit(users: DataFrame, attempts: DataFrame) -> DataFrame:
     keyed = attempts.select(
         "request_id", ci(clean_text("username")).alias("name_key"), md5_hex("password").alias("given")
     )
-    stored = users.groupBy(ci("username").alias("name_key")).agg(F.min_by("password", "id").alias("stored"))
+    named = users.select("id", ci("username").alias("name_key"), F.col("password").alias("stored"))
+    first = named.groupBy("name_key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = named.join(first, "name_key").where(F.col("id") > F.col("first")).select("id")
+    # Joined by id last, so that the join with the attempts has a shuffle of its own and may split a busy name.
+    stored = named.join(later, "id", "left_anti").select("name_key", "stored")
     judged = keyed.join(stored, "name_key", "left").withColumn(
         "outcome",
         F.when(F.col("given") == F.col("stored"), "accepted").otherwise("denied"),
