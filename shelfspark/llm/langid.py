@@ -39,6 +39,8 @@ PIECES = 4000
 LEAST_PIECES = 50
 PIECE_WORDS = (1, 2, 4, 8, 16, 32, 64)
 LEAST_GRAMS = (4, 8, 16, 32, 64, 128)
+# A text that is like no language in this many of its words is odd as a whole; so many may be, per language.
+ODD_WORDS, ODD = 16, 0.02
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -199,8 +201,10 @@ def limits(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str =
     """The limits for ``profiles``, which were learned from ``docs``.
 
     All learned texts give their letters.  A sample of at most ``PIECES`` texts (or ``LEAST_PIECES`` a language), chosen by a hash of
-    the whole text per language, gives pieces of 1 to 64 words from a place in the text that the hash names too; ``grams`` is twice the least number from which on all but
-    ``UNLIKE`` of the pieces of every language exceed the noise, as learned texts score higher than new ones.
+    the whole text per language, gives pieces of 1 to 64 words, taken at even distances from the whole text (n-grams do not reach beyond a word); ``grams`` is twice the least number from which on all but
+    ``UNLIKE`` of the pieces of every language exceed the noise, as learned texts score higher than new ones.  Texts that are
+    odd as a whole, such as one that quotes other scripts throughout, tell nothing about lengths and are left out, up to a share of
+    ``ODD`` per language; beyond that there is no limit by the noise.
     """
     buckets = max(LEAST_PIECES, PIECES // max(1, len(profiles.languages)))
 
@@ -213,8 +217,9 @@ def limits(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str =
                     order, bucket = divmod(xxhash.xxh64_intdigest(whole.encode("utf-8", "surrogatepass"), SEED) >> 1, buckets)
                     if (name, bucket) not in chosen or order < chosen[name, bucket][0]:
                         words = LETTERS.findall(whole)
-                        at = order % max(1, len(words) - PIECE_WORDS[-1] + 1)
-                        chosen[name, bucket] = (order, " ".join(words[at : at + PIECE_WORDS[-1]]))
+                        step = max(1.0, len(words) / PIECE_WORDS[-1])
+                        places = (int((i + order % 1024 / 1024) * step) for i in range(min(PIECE_WORDS[-1], len(words))))
+                        chosen[name, bucket] = (order, " ".join(words[at] for at in places))
         letters = [ord(x) for x in met if LETTERS.match(x)]
         rows = [(None, point, 0, None) for point in letters] + [(*key, *value) for key, value in chosen.items()]
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in rows], schema)
@@ -226,10 +231,18 @@ def limits(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str =
     noise = NormalDist().inv_cdf(1 - CHANCE / max(1, len(profiles.languages))) / DIMENSIONS**0.5
 
     words = [(row.lang, row.piece.split()) for row in found if row.lang is not None]
-    pieces = [(name, " ".join(x[:length])) for name, x in words for length in PIECE_WORDS if len(x) >= length]
-    scores = (text_vectors([piece for _, piece in pieces], Letters()).astype(np.float64) @ profiles.prototypes.T).max(axis=1)
-    names = np.array([name for name, _ in pieces], object)
-    sizes = np.array([effective_grams(piece) for _, piece in pieces])
+    pieces = [(i, name, length, " ".join(x[:length])) for i, (name, x) in enumerate(words) for length in PIECE_WORDS if len(x) >= length]
+    scores = (text_vectors([piece for *_, piece in pieces], Letters()).astype(np.float64) @ profiles.prototypes.T).max(axis=1)
+    longest = {i: (length, score) for (i, _, length, _), score in zip(pieces, scores, strict=True)}
+    odd = {i for i, (length, score) in longest.items() if length >= ODD_WORDS and score <= noise}
+    for language in profiles.languages:
+        own = [i for i, (name, _) in enumerate(words) if name == language]
+        if len(odd.intersection(own)) > ODD * len(own):
+            return Limits(noise, None, met)
+    keep = np.array([i not in odd for i, *_ in pieces], bool)
+    names = np.array([name for _, name, *_ in pieces], object)[keep]
+    sizes = np.array([effective_grams(piece) for *_, piece in pieces])[keep]
+    scores = scores[keep]
     for least in LEAST_GRAMS:
         rest = [scores[(names == name) & (sizes >= least)] for name in profiles.languages]
         if all(len(x) and (x <= noise).mean() <= UNLIKE for x in rest):

@@ -140,9 +140,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 line = b" " + b" ".join(words) + b" "
                 starts, base = [], set()
                 for phrase, label in phrases:
-                    at = line.find(phrase)
+                    at, before, counted = line.find(phrase), 0, 0
                     while at >= 0:
-                        starts.append(line.count(b" ", 0, at))
+                        # Words before this place: blanks are counted on from the place before.
+                        before, counted = before + line.count(b" ", counted, at), at
+                        starts.append(before)
                         base.add(label)
                         at = line.find(phrase, at + 1)
                 labels, score = set(base), 1.0 if base else 0.0

@@ -28,7 +28,6 @@ FEATURES = (
     "stops",
     "marks",
     "symbols",
-    "bars",
     "non_ascii",
     "capital_words",
     "symbol_words",
@@ -39,7 +38,6 @@ FEATURES = (
     "log_lines",
     "mean_line",
     "repeated_lines",
-    "symbol_lines",
     "words_per_stop",
     "repeated_pairs",
     "worst_stretch",
@@ -87,7 +85,6 @@ def features(text: str | None) -> np.ndarray:
     counts = np.bincount(codes)
     pairs = codes[:-1].astype(np.int64) * len(counts) + codes[1:]
     lines = [line for line in data.split(b"\n") if line.strip()]
-    line_symbols = sum(1 for line in lines if line.count(b"|") + line.count(b"!!") + line.count(b"$$") + line.count(b"&&") + line.count(b"##") > 0)
     bad = last_symbol | (capitals == lengths) & (lengths > 2) | ~plain
     windows = np.add.reduceat(bad.astype(np.int64), np.arange(0, n, STRETCH)) / np.diff(np.append(np.arange(0, n, STRETCH), n))
     out[:] = (
@@ -101,7 +98,6 @@ def features(text: str | None) -> np.ndarray:
         share[_STOP],
         share[_MARK],
         share[_SYMBOL],
-        (raw == 124).mean(),
         share[_OTHER],
         (capitals > 1).mean(),
         last_symbol.mean(),
@@ -112,7 +108,6 @@ def features(text: str | None) -> np.ndarray:
         np.log1p(len(lines)),
         n / len(lines),
         1 - len(set(lines)) / len(lines),
-        line_symbols / len(lines),
         n / (1 + (kind == _STOP).sum()),
         1 - len(np.unique(pairs)) / max(1, len(pairs)),
         windows.max(),
@@ -121,7 +116,11 @@ def features(text: str | None) -> np.ndarray:
 
 
 def with_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, x) per row: the statistics as an array of doubles."""
+    """(doc_id, x) per row: the statistics as an array of doubles.
+
+    Null and empty texts have the statistics of no words; repeated rows and null ids give a row each, no rows give none; other columns
+    are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

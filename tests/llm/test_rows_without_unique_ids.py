@@ -6,7 +6,7 @@ import time
 import pytest
 
 import corpus_pipeline
-from shelfspark.llm import caps, langid, mixing, ngram_join
+from shelfspark.llm import caps, langid, licenses, mixing, ngram_join
 from shelfspark.llm.common import WorkTables
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id long, text_hash long, kept boolean, node long, rep long"
@@ -162,3 +162,11 @@ def test_predictions_by_definition(spark):
     assert langid.train(docs.limit(0)).languages == ()
     none = docs.limit(0)
     assert none.select(langid.predict(none, profiles)).count() == 0
+
+
+def test_phrases_of_a_long_text_take_linear_time(spark):
+    n = 400_000
+    start = time.perf_counter()
+    row = licenses.scan(documents(spark, [(1, "mit license apache license x " * n)])).first()
+    assert (row.n_words, row.n_base, row.first_word, row.last_word) == (5 * n, 2 * n, 0, 5 * n - 3)
+    assert time.perf_counter() - start < 120
