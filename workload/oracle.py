@@ -175,7 +175,7 @@ def _reports() -> dict[str, str]:
         "browse": _with(BROWSE),
         "browse_members": _with(
             f"""SELECT member, s.*, (SELECT count(*) FROM loans w WHERE {OPEN} AND w.user_id = member AND w.book_id = s.id) AS i_have_it
-            FROM shelved s, (SELECT unnest([{MEMBER}, 50, 1234, 999999999]) AS member)"""
+            FROM shelved s, (SELECT CAST(unnest([{MEMBER}, 50, 1234, 999999999]) AS BIGINT) AS member)"""
         ),
         "browse_display": _with(
             f"""SELECT *, {_stock_text('quantity')} AS stock_text,
@@ -566,7 +566,7 @@ def _mixed() -> dict[str, str]:
         "mixed_requests_borrows": _with("SELECT * FROM borrows WHERE book_id IN (SELECT book FROM last WHERE live)", **MIXED),
         "form_requests": _with(
             """SELECT r * 5 + CASE kind WHEN 'add_book' THEN 0 WHEN 'edit_book' THEN 1 WHEN 'delete_book' THEN 2 WHEN 'add_genre' THEN 3 ELSE 4 END AS request_id,
-              ts, CASE WHEN permitted THEN 50 ELSE 1 END AS user_id, kind,
+              ts, CAST(CASE WHEN permitted THEN 50 ELSE 1 END AS BIGINT) AS user_id, kind,
               CASE WHEN kind IN ('edit_book', 'delete_book') THEN CAST(book AS VARCHAR) END AS book_id,
               CASE WHEN kind IN ('add_book', 'edit_book') THEN ' ' || title || ' é&=+% ' || author END AS title,
               CASE WHEN kind IN ('add_book', 'edit_book') THEN author END AS author,
@@ -575,7 +575,7 @@ def _mixed() -> dict[str, str]:
               CASE WHEN kind = 'add_genre' THEN CASE WHEN r % 4 = 0 THEN name ELSE ' ' || name || ' ' END END AS name
             FROM req WHERE kind <> 'rename_book'
             UNION ALL
-            SELECT r * 5 + 4, ts, CASE WHEN permitted THEN 50 ELSE 1 END, 'delete_genre', NULL, NULL, NULL, gone_genre || '%zz', NULL, NULL
+            SELECT r * 5 + 4, ts, CAST(CASE WHEN permitted THEN 50 ELSE 1 END AS BIGINT), 'delete_genre', NULL, NULL, NULL, gone_genre || '%zz', NULL, NULL
             FROM req WHERE r % 13 = 0 AND kind NOT IN ('delete_genre', 'delete_book')""",
             req=MIXED["req"],
         ),
