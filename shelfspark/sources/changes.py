@@ -36,13 +36,15 @@ def write_ranges(tables: Tables, folder: str, periods: str = MONTHS) -> None:
 
     Rows of a partition go to few files, and a partition with a large share of all rows to several, as its size asks for.
     """
-    counters = counters_after(tables, **dict.fromkeys(TABLES, 0))
-    counters.coalesce(1).write.mode("errorifexists").parquet(f"{folder}/counters")
     laid_out = {"borrows": (_laid_out(tables.borrows, periods), LOAN_PARTS), "books": (_in_ranges(tables.books), BOOK_PARTS)}
     for name, schema in TABLES.items():
         df, parts = laid_out.get(name, (conform(getattr(tables, name), schema), ()))
         df = df.hint("rebalance", *parts) if parts else df
         df.write.mode("errorifexists").partitionBy(*parts).parquet(f"{folder}/{name}")
+    # The highest keys are those of the written tables, which are cheap to read.
+    written = {name: tables.books.sparkSession.read.schema("id long").parquet(f"{folder}/{name}") for name in TABLES}
+    counters = counters_after(tables.replace(**written), **dict.fromkeys(TABLES, 0))
+    counters.coalesce(1).write.mode("errorifexists").parquet(f"{folder}/counters")
 
 
 def read_ranges(spark: SparkSession, folder: str) -> Tables:
@@ -93,16 +95,19 @@ def apply_replay(before: Tables, replay: Replay, folder: str, periods: str = MON
     stored = _with_parts(spark, folder, "borrows")
     back = F.col("closed_at").isNotNull()
     ended = {"returned_at": F.coalesce("closed_at", "returned_at"), "status": F.when(back, "returned").otherwise(F.col("status"))}
-    was = stored.where(F.col("returned_at").isNull()).join(closed, "id")
-    moved = _laid_out(was.withColumns(ended), periods)
-    opened = _laid_out(replay.opened.join(closed, "id", "left").withColumns(ended), periods)
-    changed = write_and_reread(moved.unionByName(opened), work_folder(spark))
-    parts = was.select(*LOAN_PARTS).union(changed.select(*LOAN_PARTS)).distinct()
+    from_part = F.struct(*LOAN_PARTS)
+    was = stored.where(F.col("returned_at").isNull()).join(closed, "id").withColumn("was", from_part)
+    opened = replay.opened.join(closed, "id", "left").withColumn("was", F.lit(None))
+    ended_loans = was.drop("period").unionByName(opened).withColumns(ended).withColumn("period", F.date_format("borrowed_at", periods))
+    changed = write_and_reread(ended_loans.select(*[F.col(f.name).cast(f.dataType) for f in BORROWS], "period", "was"), work_folder(spark))
+    parts = changed.where("was is not null").select("was.*").union(changed.select(*LOAN_PARTS)).distinct()
     loans = sorted(tuple(row) for row in parts.collect())
     stays = stored.where(_any_of(loans, LOAN_PARTS)).join(closed.select("id"), "id", "left_anti")
     deltas = write_and_reread(replay.stock_delta.where(F.col("delta") != 0).withColumnRenamed("book_id", "id"), work_folder(spark))
-    counters = [tuple(row) for row in counters_after(replay.tables, **dict.fromkeys(TABLES, 0)).collect()]
-    _rewrite(stays.select(*BORROWS.names, "period").unionByName(changed), folder, "borrows", LOAN_PARTS, loans)
+    # A replay adds loans and no books; their keys need none of the joins that give the state after it.
+    keyed = replay.tables.replace(books=before.books, borrows=before.borrows.select("id").union(replay.opened.select("id")))
+    counters = [tuple(row) for row in counters_after(keyed, **dict.fromkeys(TABLES, 0)).collect()]
+    _rewrite(stays.select(*BORROWS.names, "period").unionByName(changed.drop("was")), folder, "borrows", LOAN_PARTS, loans)
 
     shelved = _with_parts(spark, folder, "books")
     ranges = deltas.join(shelved.select("id", "keys"), "id").select("keys").distinct()
