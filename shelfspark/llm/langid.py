@@ -28,15 +28,14 @@ GRAM = 3
 SEED = 20_240_811
 UNKNOWN = "und"
 SCALE = 1 << 24
-BLOCK_GRAMS = 8192
+BLOCK_GRAMS = 2048
 BLOCK_TEXTS = 256
 MAX_LETTERS = 20_000
+MAX_GRAMS = 8192
 MAX_LANGUAGES = 20_000
 # How often chance alone may pass for a language, and which share of learned pieces may look like chance.
 CHANCE = 1e-4
 UNLIKE = 0.002
-PIECES = 4000
-LEAST_PIECES = 50
 PIECE_WORDS = (1, 2, 4, 8, 16, 32, 64)
 LEAST_GRAMS = (4, 8, 16, 32, 64, 128)
 # A text that is like no language in this many of its words is odd as a whole; so many may be, per language.
@@ -76,15 +75,19 @@ class Letters:
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct packed letter n-grams of a whole text and how often each occurs; words end in spaces."""
-    words = LETTERS.findall(text.lower())
+    """Distinct packed letter n-grams of a whole text and how often each occurs."""
+    return np.unique(gram_keys(LETTERS.findall(text.lower())), return_counts=True)
+
+
+def gram_keys(words: list[str]) -> np.ndarray:
+    """The packed letter n-grams of words in lower case, in order; words end in spaces."""
     if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     points = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     keys = np.zeros(len(points) - GRAM + 1, np.uint64)
     for k in range(GRAM):
         keys = (keys << np.uint64(21)) | points[k : k + len(keys)]
-    return np.unique(keys, return_counts=True)
+    return keys
 
 
 def effective_grams(text: str) -> float:
@@ -170,14 +173,15 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> Column:
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         letters, own = Letters(), shared.value
         for texts in batches:
-            vectors = text_vectors(texts.tolist(), letters)
-            some = vectors.any(axis=1) & (len(own.languages) > 0)
             names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            if some.any():
-                cosines = vectors[some].astype(np.float64) @ own.prototypes.T
-                best = cosines.argmax(axis=1)
-                names[some] = np.array(own.languages, object)[best]
-                scores[some] = np.clip(cosines[np.arange(len(best)), best], 0, 1)
+            for start in range(0, len(texts) if own.languages else 0, BLOCK_TEXTS):
+                vectors = text_vectors(texts.iloc[start : start + BLOCK_TEXTS].tolist(), letters)
+                some = np.flatnonzero(vectors.any(axis=1))
+                if len(some):
+                    cosines = vectors[some].astype(np.float64) @ own.prototypes.T
+                    best = cosines.argmax(axis=1)
+                    names[start + some] = np.array(own.languages, object)[best]
+                    scores[start + some] = np.clip(cosines[np.arange(len(best)), best], 0, 1)
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     return nearest(F.col(text))
@@ -200,56 +204,104 @@ class Limits:
 def limits(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang") -> Limits:
     """The limits for ``profiles``, which were learned from ``docs``.
 
-    All learned texts give their letters.  A sample of at most ``PIECES`` texts (or ``LEAST_PIECES`` a language), chosen by a hash of
-    the whole text per language, gives pieces of 1 to 64 words, taken at even distances from the whole text (n-grams do not reach beyond a word); ``grams`` is twice the least number from which on all but
-    ``UNLIKE`` of the pieces of every language exceed the noise, as learned texts score higher than new ones.  Texts that are
-    odd as a whole, such as one that quotes other scripts throughout, tell nothing about lengths and are left out, up to a share of
-    ``ODD`` per language; beyond that there is no limit by the noise.
+    All learned texts give their letters, and each gives pieces of 1 to 64 words, taken at even distances from the whole text from a
+    start chosen by its hash; ``grams`` is twice the least number from which on all but ``UNLIKE`` of the pieces of every language
+    exceed the noise, as learned texts score higher than new ones.  Texts that are odd as a whole, such as one that quotes
+    other scripts throughout, tell nothing about lengths and are left out, up to a share of ``ODD`` per language; beyond that
+    there is no limit by the noise.  Tasks count pieces; the driver gets some numbers per language and one row per letter.
     """
-    buckets = max(LEAST_PIECES, PIECES // max(1, len(profiles.languages)))
+    noise = NormalDist().inv_cdf(1 - CHANCE / max(1, len(profiles.languages))) / DIMENSIONS**0.5
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met, chosen = set(), {}
+        grams, own, met, counts = Grams(), shared.value, set(), {}
         for batch in batches:
-            for whole, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if whole:
+            for start in range(0, batch.num_rows, BLOCK_TEXTS):
+                part = batch.slice(start, BLOCK_TEXTS)
+                for whole, name in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if not whole:
+                        continue
                     met.update(whole.lower())
-                    order, bucket = divmod(xxhash.xxh64_intdigest(whole.encode("utf-8", "surrogatepass"), SEED) >> 1, buckets)
-                    if (name, bucket) not in chosen or order < chosen[name, bucket][0]:
-                        words = LETTERS.findall(whole)
-                        step = max(1.0, len(words) / PIECE_WORDS[-1])
-                        places = (int((i + order % 1024 / 1024) * step) for i in range(min(PIECE_WORDS[-1], len(words))))
-                        chosen[name, bucket] = (order, " ".join(words[at] for at in places))
-        letters = [ord(x) for x in met if LETTERS.match(x)]
-        rows = [(None, point, 0, None) for point in letters] + [(*key, *value) for key, value in chosen.items()]
+                    table = counts.setdefault(name, np.zeros((1 + len(LEAST_GRAMS), 2), np.int64))
+                    found = scored_pieces(spread_words(whole), own, grams)
+                    odd = bool(found) and found[-1][0] >= ODD_WORDS and found[-1][2] <= noise
+                    table[0] += (1, odd)
+                    for _, size, score in found if not odd else ():
+                        table[1:][np.array(LEAST_GRAMS) <= size] += (1, score <= noise)
+        rows = [(None, ord(x), 0, 0) for x in met if LETTERS.match(x)]
+        rows += [(name, i, *pair) for name, table in counts.items() for i, pair in enumerate(table.tolist())]
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in rows], schema)
 
-    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("order", pa.int64()), ("piece", pa.string())])
+    schema = pa.schema([("lang", pa.string()), ("place", pa.int32()), ("n", pa.int64()), ("low", pa.int64())])
     known = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    found = known.mapInArrow(gather, "lang string, bucket int, order long, piece string").groupBy("lang", "bucket").agg(F.min_by("piece", "order").alias("piece")).collect()
-    met = frozenset(chr(row.bucket) for row in found if row.lang is None)
-    noise = NormalDist().inv_cdf(1 - CHANCE / max(1, len(profiles.languages))) / DIMENSIONS**0.5
-
-    words = [(row.lang, row.piece.split()) for row in found if row.lang is not None]
-    pieces = [(i, name, length, " ".join(x[:length])) for i, (name, x) in enumerate(words) for length in PIECE_WORDS if len(x) >= length]
-    scores = (text_vectors([piece for *_, piece in pieces], Letters()).astype(np.float64) @ profiles.prototypes.T).max(axis=1)
-    longest = {i: (length, score) for (i, _, length, _), score in zip(pieces, scores, strict=True)}
-    odd = {i for i, (length, score) in longest.items() if length >= ODD_WORDS and score <= noise}
-    for language in profiles.languages:
-        own = [i for i, (name, _) in enumerate(words) if name == language]
-        if len(odd.intersection(own)) > ODD * len(own):
+    added = known.mapInArrow(gather, "lang string, place int, n long, low long").groupBy("lang", "place").agg(F.sum("n").alias("n"), F.sum("low").alias("low"))
+    found = {(row.lang, row.place): (row.n, row.low) for row in added.collect()}
+    met = frozenset(chr(place) for name, place in found if name is None)
+    for name in profiles.languages:
+        texts, odd = found[name, 0]
+        if odd > ODD * texts:
             return Limits(noise, None, met)
-    keep = np.array([i not in odd for i, *_ in pieces], bool)
-    names = np.array([name for _, name, *_ in pieces], object)[keep]
-    sizes = np.array([effective_grams(piece) for *_, piece in pieces])[keep]
-    scores = scores[keep]
-    for least in LEAST_GRAMS:
-        rest = [scores[(names == name) & (sizes >= least)] for name in profiles.languages]
-        if all(len(x) and (x <= noise).mean() <= UNLIKE for x in rest):
+    for i, least in enumerate(LEAST_GRAMS, 1):
+        rest = [found[name, i] for name in profiles.languages]
+        if all(n and low <= UNLIKE * n for n, low in rest):
             return Limits(noise, 2 * least, met)
     return Limits(noise, None, met)
 
 
+def spread_words(text: str) -> list[str]:
+    """Up to as many words as the longest piece has, at even distances from the whole text; a hash of it gives the start."""
+    words = LETTERS.findall(text)
+    offset = (xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), SEED) >> 1) % 1024 / 1024
+    step = max(1.0, len(words) / PIECE_WORDS[-1])
+    return [words[int((i + offset) * step)] for i in range(min(PIECE_WORDS[-1], len(words)))]
+
+
+class Grams:
+    """n-gram vectors by packed key, made when first met; forgets all when full."""
+
+    def __init__(self):
+        self.letters, self.at = Letters(), {}
+        self.table = np.empty((MAX_GRAMS, DIMENSIONS), np.int8)
+
+    def vectors(self, keys: np.ndarray) -> np.ndarray:
+        """The vectors of distinct keys, at most ``MAX_GRAMS``."""
+        if len(self.at) + len(keys) > MAX_GRAMS:
+            self.at = {}
+        new = np.array([key for key in keys.tolist() if key not in self.at], np.uint64)
+        for low in range(0, len(new), BLOCK_GRAMS):
+            part = new[low : low + BLOCK_GRAMS]
+            self.table[len(self.at) : len(self.at) + len(part)] = self.letters.grams(part)
+            self.at.update(zip(part.tolist(), range(len(self.at), len(self.at) + len(part)), strict=True))
+        return self.table[[self.at[key] for key in keys.tolist()]]
+
+
+def scored_pieces(words: list[str], profiles: Profiles, grams: Grams) -> list[tuple[int, float, float]]:
+    """The pieces of a list of words, shortest first: their words, effective n-grams and best cosine.
+
+    The n-grams of a piece come first in every longer one, so all are counted from the longest.
+    """
+    sizes = [length for length in PIECE_WORDS if len(words) >= length]
+    if not sizes:
+        return []
+    pieces = [" ".join(words[:length]) for length in sizes]
+    lower = [word.lower() for word in words[: sizes[-1]]]
+    parts = LETTERS.findall(" ".join(lower))
+    # In lower case a word may come apart.
+    lengths = [len(x) + 1 for x in parts] if len(parts) == len(lower) else [sum(len(x) + 1 for x in LETTERS.findall(word)) for word in lower]
+    ends = np.cumsum(lengths)[[length - 1 for length in sizes]] - 1
+    distinct, inverse = np.unique(gram_keys(parts), return_inverse=True)
+    counts = np.stack([np.bincount(inverse[: max(0, end)], minlength=len(distinct)) for end in ends.tolist()]).astype(np.float32)
+    if len(distinct) > MAX_GRAMS:
+        vectors = text_vectors(pieces, grams.letters).astype(np.float64)
+    else:
+        vectors = (counts @ grams.vectors(distinct).astype(np.float32)).astype(np.float64)
+        vectors /= np.maximum(np.sqrt((vectors**2).sum(axis=1)), 1e-30)[:, None]
+    best = (vectors @ profiles.prototypes.T).max(axis=1)
+    counts = counts.astype(np.float64)
+    effective = counts.sum(axis=1) ** 2 / np.maximum(1.0, (counts**2).sum(axis=1))
+    return list(zip(sizes, effective.tolist(), best.tolist(), strict=True))
+
+
 def like_learned(docs: DataFrame, profiles: Profiles, limit: Limits, text: str = "text") -> Column:
     """Whether a text is like a learned language.
 
@@ -262,14 +314,17 @@ def like_learned(docs: DataFrame, profiles: Profiles, limit: Limits, text: str =
     def like(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         letters, (own, limit) = Letters(), shared.value
         for texts in batches:
-            vectors = text_vectors(texts.tolist(), letters)
-            best = (vectors.astype(np.float64) @ own.prototypes.T).max(axis=1)
-            kept = vectors.any(axis=1)
-            for i in np.flatnonzero(kept & (best <= limit.noise)):
-                if limit.grams is not None and effective_grams(texts.iloc[i]) >= limit.grams:
-                    kept[i] = False
-                else:
-                    kept[i] = not limit.letters.isdisjoint(texts.iloc[i].lower())
+            kept = np.zeros(len(texts), bool)
+            for start in range(0, len(texts), BLOCK_TEXTS):
+                vectors = text_vectors(texts.iloc[start : start + BLOCK_TEXTS].tolist(), letters)
+                best = (vectors.astype(np.float64) @ own.prototypes.T).max(axis=1)
+                some = vectors.any(axis=1)
+                kept[start : start + BLOCK_TEXTS] = some
+                for i in (start + np.flatnonzero(some & (best <= limit.noise))).tolist():
+                    if limit.grams is not None and effective_grams(texts.iloc[i]) >= limit.grams:
+                        kept[i] = False
+                    else:
+                        kept[i] = not limit.letters.isdisjoint(texts.iloc[i].lower())
             yield pd.Series(kept)
 
     return like(F.col(text))
