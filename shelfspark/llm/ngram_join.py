@@ -42,7 +42,9 @@ PERCENT = 80
 SKETCH_BITS = 20
 SMALL = 20
 PARITY = 512
-MAX_CACHED_WORDS = 200_000
+MAX_CACHED_WORDS = 50_000
+# Rows a task turns into sets or signatures at once.
+BLOCK_ROWS = 1000
 MULTIPLIERS = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -112,6 +114,13 @@ def set_key(shingles: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded length, so that what is made of a batch stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, BLOCK_ROWS):
+            yield batch.slice(start, BLOCK_ROWS)
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str | None]]:
     for doc, text in zip(batch.column(0), batch.column(1), strict=True):
         yield doc.as_py(), text.as_py()
@@ -122,7 +131,7 @@ def _read_sets(docs: DataFrame, bits: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = WordHashes(), np.zeros(1 << bits, np.uint32)
-        for batch in batches:
+        for batch in _blocks(batches):
             ids, sizes, keys = [], [], []
             for doc, text in _texts(batch):
                 found = shingle_set(text, hashes)
@@ -159,7 +168,7 @@ def _signature_rows(docs: DataFrame, counts: np.ndarray, frequent_from: int, ske
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in _blocks(batches):
             ids, keys, sizes, sigs, places, bits, fine = [], [], [], [], [], [], []
             for doc, text in _texts(batch):
                 found = shingle_set(text, hashes)
@@ -193,7 +202,7 @@ def _only_marked(rows: DataFrame, marks: Bitmap) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(marks)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _blocks(batches):
             sigs, places = batch.column(2), batch.column(3)
             of = sigs.value_parent_indices().to_numpy()
             flat = sigs.flatten().to_numpy()
@@ -221,7 +230,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, first: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in _blocks(batches):
             unnamed = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             near = unnamed | shared.value.test(batch.column(0).fill_null(0).to_numpy().view(np.uint64))
             ids, keys, sets = [], [], []
