@@ -83,15 +83,15 @@ def keep(tables: Tables) -> Kept:
 def loans_of_replay(before: Tables, replay: Replay) -> DataFrame:
     """The signed loans that a replay opened and closed; of the loans before, those that are still out are read."""
     closed = replay.closed.select("id", "closed_at")
-    out = before.borrows.where(F.col("returned_at").isNull()).join(closed, "id")
     back = F.col("closed_at").isNotNull()
     ended = {"returned_at": F.coalesce("closed_at", "returned_at"), "status": F.when(back, "returned").otherwise(F.col("status"))}
+    loan = [F.col(c) for c in _LOAN]
+    was = F.struct(F.lit(-1).cast("long").alias("sign"), *loan)
+    now = F.struct(F.lit(1).cast("long").alias("sign"), *(ended.get(c, F.col(c)).alias(c) for c in _LOAN))
+    # A loan as it was and as it is come from one join.
+    out = before.borrows.where(F.col("returned_at").isNull()).join(closed, "id").select(F.explode(F.array(was, now)).alias("loan"))
     opened = replay.opened.join(closed, "id", "left")
-    return (
-        _signed(out, -1, _LOAN)
-        .unionByName(_signed(out.withColumns(ended), 1, _LOAN))
-        .unionByName(_signed(opened.withColumns(ended), 1, _LOAN))
-    )
+    return out.select("loan.*").unionByName(_signed(opened.withColumns(ended), 1, _LOAN))
 
 
 def loans_of_deletion(before: Tables, after: Tables) -> DataFrame:
@@ -121,20 +121,24 @@ def updated(kept: Kept, after: Tables, loans: DataFrame | None = None, books: Da
         kept = dataclasses.replace(kept, genres=_merged(kept.genres, _per_genre(books), ["id"], ("n",), "n"))
     if loans is None:
         return kept
+    # Each of the tables reads the change, and the change may be costly to derive.
+    folder = work_folder(loans.sparkSession)
+    loans = write_and_reread(loans, f"{folder}/loans")
     change = _per_member(loans)
     counts = _merged(kept.members, change, ["id"], _MEMBER_COUNTS, "total")
     latest = kept.members.select("id", F.col("last_borrow").alias("old")).join(change.select("id", "last_borrow", "last_gone"), "id", "full")
     newest = F.greatest("old", "last_borrow")
     # The latest may be gone if a loan of that time went and none as late came.
     gone = F.coalesce((F.col("last_gone") >= F.col("old")) & (F.col("last_borrow").isNull() | (F.col("last_borrow") < F.col("last_gone"))), F.lit(False))
-    dated = counts.join(latest.select("id", newest.alias("newest"), gone.alias("gone")), "id")
+    dated = write_and_reread(counts.join(latest.select("id", newest.alias("newest"), gone.alias("gone")), "id"), f"{folder}/dated")
+    members = dated.where(~F.col("gone")).select("id", *_MEMBER_COUNTS, F.col("newest").alias("last_borrow"))
     stale = dated.where("gone").select(F.col("id").alias("user_id"))
-    again = after.borrows.join(stale, "user_id", "left_semi").groupBy(F.col("user_id").alias("id")).agg(F.max("borrowed_at").alias("found"))
-    known = dated.where(~F.col("gone")).select("id", *_MEMBER_COUNTS, F.col("newest").alias("last_borrow"))
-    looked_up = dated.where("gone").join(again, "id", "left").select("id", *_MEMBER_COUNTS, F.col("found").alias("last_borrow"))
+    if not stale.isEmpty():
+        again = after.borrows.join(stale, "user_id", "left_semi").groupBy(F.col("user_id").alias("id")).agg(F.max("borrowed_at").alias("found"))
+        members = members.unionByName(dated.where("gone").join(again, "id", "left").select("id", *_MEMBER_COUNTS, F.col("found").alias("last_borrow")))
     return dataclasses.replace(
         kept,
-        members=known.unionByName(looked_up),
+        members=members,
         due=_merged(kept.due, _per_due(loans), ["id", "due_date"], ("n",), "n"),
         books=_merged(kept.books, _per_book(loans), ["id"], ("total", "out"), "total"),
     )
