@@ -19,7 +19,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +31,18 @@ BLOCK_GRAMS = 2048
 BLOCK_TEXTS = 256
 MAX_LETTERS = 20_000
 MAX_GRAMS = 8192
+MAX_DOTS = 1 << 18
+MAX_WORDS = 50_000
+BLOCK_WORDS = 2048
+# Between these, times that of n-grams all orthogonal, lies the norm of a sum of random vectors of n-grams.
+NORM_FROM, NORM_TO = 0.6, 1.5
 MAX_LANGUAGES = 20_000
-# How often chance alone may pass for a language, and which share of learned pieces may look like chance.
+# How often chance alone may pass for a language, and which share of learned runs of words may look like chance.
 CHANCE = 1e-4
 UNLIKE = 0.002
-PIECE_WORDS = (1, 2, 4, 8, 16, 32, 64)
+RUN_WORDS = 64
 LEAST_GRAMS = (4, 8, 16, 32, 64, 128)
-# A text that is like no language in this many of its words is odd as a whole; so many may be, per language.
+# A text is odd as a whole if most of its longest runs of words, of so many at least, are like no language; so many may be, per language.
 ODD_WORDS, ODD = 16, 0.02
 LETTERS = regex.compile(r"\p{L}+")
 
@@ -204,30 +208,28 @@ class Limits:
 def limits(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang") -> Limits:
     """The limits for ``profiles``, which were learned from ``docs``.
 
-    All learned texts give their letters, and each gives pieces of 1 to 64 words, taken at even distances from the whole text from a
-    start chosen by its hash; ``grams`` is twice the least number from which on all but ``UNLIKE`` of the pieces of every language
-    exceed the noise, as learned texts score higher than new ones.  Texts that are odd as a whole, such as one that quotes
+    All learned texts give their letters and all their words, in runs of 1, 2, 4 to 64 words (``spread_words``); ``grams`` is twice the
+    least number from which on all but ``UNLIKE`` of the runs of every language exceed the noise, as learned texts score higher than
+    new ones.  Texts that are odd as a whole, with most of their runs of 64 words within the noise, such as one that quotes
     other scripts throughout, tell nothing about lengths and are left out, up to a share of ``ODD`` per language; beyond that
-    there is no limit by the noise.  Tasks count pieces; the driver gets some numbers per language and one row per letter.
+    there is no limit by the noise.  Tasks count runs; the driver gets some numbers per language and one row per letter.
     """
     noise = NormalDist().inv_cdf(1 - CHANCE / max(1, len(profiles.languages))) / DIMENSIONS**0.5
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, own, met, counts = Grams(), shared.value, set(), {}
+        runs, met, counts = Runs(shared.value, noise), set(), {}
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK_TEXTS):
                 part = batch.slice(start, BLOCK_TEXTS)
-                for whole, name in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if not whole:
-                        continue
-                    met.update(whole.lower())
+                known = [(whole.lower(), name) for whole, name in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if whole]
+                found, odd = runs.count([whole for whole, _ in known])
+                for i, (whole, name) in enumerate(known):
+                    met.update(whole)
                     table = counts.setdefault(name, np.zeros((1 + len(LEAST_GRAMS), 2), np.int64))
-                    found = scored_pieces(spread_words(whole), own, grams)
-                    odd = bool(found) and found[-1][0] >= ODD_WORDS and found[-1][2] <= noise
-                    table[0] += (1, odd)
-                    for _, size, score in found if not odd else ():
-                        table[1:][np.array(LEAST_GRAMS) <= size] += (1, score <= noise)
+                    table[0] += (1, odd[i])
+                    if not odd[i]:
+                        table[1:] += found[i]
         rows = [(None, ord(x), 0, 0) for x in met if LETTERS.match(x)]
         rows += [(name, i, *pair) for name, table in counts.items() for i, pair in enumerate(table.tolist())]
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in rows], schema)
@@ -248,12 +250,14 @@ def limits(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str =
     return Limits(noise, None, met)
 
 
-def spread_words(text: str) -> list[str]:
-    """Up to as many words as the longest piece has, at even distances from the whole text; a hash of it gives the start."""
-    words = LETTERS.findall(text)
-    offset = (xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), SEED) >> 1) % 1024 / 1024
-    step = max(1.0, len(words) / PIECE_WORDS[-1])
-    return [words[int((i + offset) * step)] for i in range(min(PIECE_WORDS[-1], len(words)))]
+def spread_words(lower: str) -> list[str]:
+    """All words of a text in lower case, in an order that brings those together that lie at even distances over the whole text.
+
+    ``RUN_WORDS`` in a row then come from all over the text, as a quoted passage tells little about texts of its length.
+    """
+    words = LETTERS.findall(lower)
+    step = -(-len(words) // RUN_WORDS)
+    return [word for start in range(step) for word in words[start::step]]
 
 
 class Grams:
@@ -275,31 +279,146 @@ class Grams:
         return self.table[[self.at[key] for key in keys.tolist()]]
 
 
-def scored_pieces(words: list[str], profiles: Profiles, grams: Grams) -> list[tuple[int, float, float]]:
-    """The pieces of a list of words, shortest first: their words, effective n-grams and best cosine.
+class Runs:
+    """Counts runs of words by length and likeness to ``profiles``; keeps what it needs again of n-grams and words, and forgets all when full."""
+
+    def __init__(self, profiles: Profiles, noise: float):
+        self.profiles, self.noise = profiles, noise
+        self.grams, self.at, self.low_words = Grams(), {}, {}
+        languages = max(1, len(profiles.languages))
+        self.table = np.empty((min(MAX_DOTS, 4 * MAX_DOTS // languages) // 4, languages))
+        self.block_words = max(RUN_WORDS, 64 * BLOCK_WORDS // max(64, languages))
+
+    def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text in lower case: per entry of ``LEAST_GRAMS`` its runs of so many effective n-grams and those within the noise, and whether it is odd.
+
+        Every word of a text is in a run of 1, in one of 2, 4 and so on to ``RUN_WORDS`` words; the last may be shorter, and
+        none counts twice.  Blocks of words bound what a long text takes.
+        """
+        counts, words = np.zeros((len(texts), 1 + len(LEAST_GRAMS), 2), np.int64), [spread_words(text) for text in texts]
+        longest = np.zeros((len(texts), 2), np.int64)
+        block, text, run = [], [], []
+        for i, spread in enumerate(words):
+            for low in range(0, len(spread), RUN_WORDS):
+                if len(block) + RUN_WORDS > self.block_words:
+                    self._count_block(block, np.array(text), np.array(run), counts, longest)
+                    block, text, run = [], [], []
+                part = spread[low : low + RUN_WORDS]
+                # A run of the greatest length goes by the place of its first word.
+                text.extend([i] * len(part))
+                run.extend([len(block)] * len(part))
+                block.extend(part)
+        if block:
+            self._count_block(block, np.array(text), np.array(run), counts, longest)
+        atleast = counts[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]
+        # Of all runs of a text, and of those within the noise.
+        atleast[:, :, 0] += atleast[:, :, 1]
+        return atleast, longest[:, 1] > longest[:, 0]
+
+    def _count_block(self, block: list[str], text: np.ndarray, run: np.ndarray, counts: np.ndarray, longest: np.ndarray) -> None:
+        """Adds the runs in a block of words to ``counts`` by text, size and whether they are within the noise, and the longest to ``longest`` by the latter."""
+        keys, grams = np.unique(gram_keys(block), return_inverse=True)
+        upto = np.zeros((len(grams) + 1, self.table.shape[1]))
+        np.cumsum(self._dots(keys)[grams], axis=0, out=upto[1:])
+        # The n-gram after a word's own joins it to the next and belongs to runs that have both.
+        ends = np.cumsum([len(word) + 1 for word in block]) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        place, length = np.arange(len(block)) - run, 1
+        run_ends = np.searchsorted(run, run, "right") - 1
+        while True:
+            first = np.flatnonzero(place % length == 0)
+            last = np.minimum(first + length - 1, run_ends[first])
+            # A run no longer than one before has been counted.
+            new = 2 * (last - first + 1) > length
+            whole = (last - first + 1 >= ODD_WORDS) & (length >= RUN_WORDS)
+            total, squares, pairs = _gram_counts(grams, starts[first], ends[last], len(keys))
+            dot, norm = upto[ends[last]] - upto[starts[first]], np.sqrt(DIMENSIONS * squares)
+            best = dot.max(axis=1)
+            low = best <= self.noise * NORM_FROM * norm
+            unsure = (new | whole) & ~low & (best <= self.noise * NORM_TO * norm)
+            low[unsure] = self._within_noise(np.flatnonzero(unsure), best, keys, pairs, [block[i] for i in first[unsure].tolist()] if length == 1 else None)
+            size = np.searchsorted(LEAST_GRAMS, total**2 / np.maximum(1, squares), "right")
+            at = text[first] * counts[0].size + 2 * size + low
+            counts += np.bincount(at[new], minlength=counts.size).reshape(counts.shape)
+            if length >= RUN_WORDS:
+                np.add.at(longest, (text[first[whole]], low[whole].astype(np.int64)), 1)
+                break
+            length *= 2
+
+    def _dots(self, keys: np.ndarray) -> np.ndarray:
+        """The dot products of distinct n-grams' vectors with the prototypes."""
+        if len(keys) > len(self.table):
+            return self._new_dots(keys)
+        names = keys.tolist()
+        new = [key for key in names if key not in self.at]
+        if len(self.at) + len(new) > len(self.table):
+            self.at, new = {}, names
+        if new:
+            rows = slice(len(self.at), len(self.at) + len(new))
+            self.table[rows] = self._new_dots(np.array(new, np.uint64))
+            self.at.update(zip(new, range(rows.start, rows.stop), strict=True))
+        return self.table[[self.at[key] for key in names]]
+
+    def _new_dots(self, keys: np.ndarray) -> np.ndarray:
+        prototypes = self.profiles.prototypes.T.astype(np.float32)
+        return np.concatenate([self.grams.letters.grams(keys[low : low + BLOCK_GRAMS]).astype(np.float32) @ prototypes for low in range(0, len(keys), BLOCK_GRAMS)])
+
+    def _within_noise(self, runs: np.ndarray, best: np.ndarray, keys: np.ndarray, pairs: tuple[np.ndarray, ...], words: list[str] | None) -> np.ndarray:
+        """Whether the best dot products of some runs are within the noise by their true norms, which single ``words`` need once."""
+        todo = runs
+        if words is not None:
+            first = {word: i for i, word in zip(runs.tolist(), words) if word not in self.low_words}
+            todo = np.array(sorted(first.values()), np.int64)
+        of, gram, n = pairs
+        mine = np.isin(of, todo)
+        of, gram, n = np.searchsorted(todo, of[mine]), gram[mine], n[mine]
+        sums = self._sums(len(todo), of, keys[gram], n)
+        low = best[todo] <= self.noise * np.sqrt(np.einsum("ij,ij->i", sums, sums))
+        if words is None:
+            return low
+        known = dict(zip(todo.tolist(), low.tolist()))
+        found = {word: known[i] for word, i in first.items()}
+        out = np.array([found[word] if word in found else self.low_words[word] for word in words], bool)
+        if len(self.low_words) + len(found) > MAX_WORDS:
+            self.low_words = {}
+        self.low_words.update(found)
+        return out
 
-    The n-grams of a piece come first in every longer one, so all are counted from the longest.
-    """
-    sizes = [length for length in PIECE_WORDS if len(words) >= length]
-    if not sizes:
-        return []
-    pieces = [" ".join(words[:length]) for length in sizes]
-    lower = [word.lower() for word in words[: sizes[-1]]]
-    parts = LETTERS.findall(" ".join(lower))
-    # In lower case a word may come apart.
-    lengths = [len(x) + 1 for x in parts] if len(parts) == len(lower) else [sum(len(x) + 1 for x in LETTERS.findall(word)) for word in lower]
-    ends = np.cumsum(lengths)[[length - 1 for length in sizes]] - 1
-    distinct, inverse = np.unique(gram_keys(parts), return_inverse=True)
-    counts = np.stack([np.bincount(inverse[: max(0, end)], minlength=len(distinct)) for end in ends.tolist()]).astype(np.float32)
-    if len(distinct) > MAX_GRAMS:
-        vectors = text_vectors(pieces, grams.letters).astype(np.float64)
-    else:
-        vectors = (counts @ grams.vectors(distinct).astype(np.float32)).astype(np.float64)
-        vectors /= np.maximum(np.sqrt((vectors**2).sum(axis=1)), 1e-30)[:, None]
-    best = (vectors @ profiles.prototypes.T).max(axis=1)
-    counts = counts.astype(np.float64)
-    effective = counts.sum(axis=1) ** 2 / np.maximum(1.0, (counts**2).sum(axis=1))
-    return list(zip(sizes, effective.tolist(), best.tolist(), strict=True))
+    def _sums(self, runs: int, of: np.ndarray, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The sums of vectors of n-grams ``keys``, each ``n`` times, by run; ``of`` rises."""
+        # More often than that an n-gram comes in further rows; a part then stays below 2 ** 15.
+        most = 3
+        if n.max(initial=0) > most:
+            rows = -(-n // most)
+            of, keys = np.repeat(of, rows), np.repeat(keys, rows)
+            left = np.repeat(n, rows) - most * (np.arange(len(of)) - np.repeat(np.cumsum(rows) - rows, rows))
+            n = np.minimum(left, most)
+        out = np.zeros((runs, DIMENSIONS), np.float32)
+        for low in range(0, len(keys), MAX_GRAMS):
+            part = slice(low, low + MAX_GRAMS)
+            distinct, inverse = np.unique(keys[part], return_inverse=True)
+            vectors = self.grams.vectors(distinct)
+            here, starts, lengths = np.unique(of[part], return_index=True, return_counts=True)
+            order = np.argsort(-lengths, kind="stable")
+            here, starts, lengths = here[order], starts[order], lengths[order]
+            times = n[part].astype(np.int16)
+            sums = np.zeros((len(here), DIMENSIONS), np.int16)
+            # The first n-gram of all runs, then the second of those that have one, and so on.
+            for k in range(int(lengths[0])):
+                some = starts[: int(np.searchsorted(-lengths, -k))] + k
+                more = vectors[inverse[some]]
+                sums[: len(some)] += more if times[some].max() == 1 else more * times[some, None]
+            out[here] += sums
+        return out
+
+
+def _gram_counts(grams: np.ndarray, low: np.ndarray, high: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """For runs of n-grams from ``low`` to before ``high``: how many they have, the sum of squares of how often each occurs, and (run, n-gram, how often)."""
+    run = np.searchsorted(low, np.arange(len(grams)), "right") - 1
+    inside = np.arange(len(grams)) < high[run]
+    pairs, n = np.unique(run[inside] * distinct + grams[inside], return_counts=True)
+    of = pairs // distinct
+    return high - low, np.bincount(of, n * n, len(low)), (of, pairs % distinct, n)
 
 
 def like_learned(docs: DataFrame, profiles: Profiles, limit: Limits, text: str = "text") -> Column:

@@ -1,6 +1,10 @@
 """What a task holds, and how often costly inputs are derived."""
 
+import random
+
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import types as T
 
 from shelfspark.llm import langid
@@ -88,3 +92,54 @@ def test_limits_count_all_texts(spark):
     docs = spark.createDataFrame(plain + odd, "doc_id long, text string, lang string")
     profiles = langid.train(docs.where("doc_id < 100"))
     assert langid.limits(docs, profiles).grams is None
+
+
+def test_limits_count_all_words(spark):
+    """Half of the words look like no language: those that even distances from a start chosen by the hash of the text would pass over."""
+
+    def text(i, parity):
+        plain = [f"{'abcdefgh'[(i + j) % 8]}an{'eiou'[(i // 8 + j) % 4]}" for j in range(64)]
+        odd = [chr(0x4E00 + 31 * j + i) * 3 for j in range(64)]
+        return " ".join(x for pair in (zip(plain, odd) if parity == 0 else zip(odd, plain)) for x in pair)
+
+    def passes_over(value, parity):
+        return int((xxhash.xxh64_intdigest(value.encode(), langid.SEED) >> 1) % 1024 / 1024 * 2) == parity
+
+    mixed = [(100 + i, value, "aa") for i in range(60) for parity in (0, 1) if passes_over(value := text(i, parity), parity)]
+    plain = [(i, " ".join(f"{'abcdefgh'[(i + j) % 8]}an{'eiou'[(i // 8 + j) % 4]}" for j in range(64)), "aa") for i in range(32)]
+    docs = spark.createDataFrame(plain + mixed, "doc_id long, text string, lang string")
+    profiles = langid.train(docs.where("doc_id < 100"))
+    assert len(mixed) > 20 and langid.limits(docs.where("doc_id < 100"), profiles).grams is not None
+    assert langid.limits(docs, profiles).grams is None
+
+
+def test_runs_equal_their_vectors(spark):
+    """Every word is in runs of 1 to 64 words; sizes and likeness are those of the vectors, in blocks of any size and without a full cache."""
+    rng = random.Random(1)
+    # Of few letters, where n-grams are least like orthogonal; with long and repeated words; short and empty ones.
+    words = ["".join(rng.choices("ab", k=rng.randrange(1, 9))) for _ in range(60)] + ["xyz" * 40, "a" * 9000, "\u0130n", "q"] + ["stone", "river"] * 9
+    texts = [" ".join(rng.choices(words, k=n)).lower() for n in (0, 1, 2, 3, 5, 64, 65, 130, 300)]
+    docs = spark.createDataFrame([(" ".join(rng.choices(words, k=30)), lang) for lang in ("aa", "bb")], "text string, lang string")
+    profiles, noise = langid.train(docs), 0.45
+    counted = langid.Runs(profiles, noise)
+    counted.block_words, counted.table = 64, np.empty((300, 2))
+    found, odd = counted.count(texts)
+    for text, got, is_odd in zip(texts, found, odd, strict=True):
+        spread = langid.spread_words(text)
+        assert sorted(spread) == sorted(langid.LETTERS.findall(text))
+        want, length, runs = np.zeros_like(got), 1, []
+        while length <= langid.RUN_WORDS:
+            for low in range(0, len(spread), langid.RUN_WORDS):
+                part = spread[low : low + langid.RUN_WORDS]
+                runs += [" ".join(part[k : k + length]) for k in range(0, len(part), length) if 2 * len(part[k : k + length]) > length]
+            length *= 2
+        if runs:
+            for run, vector in zip(runs, langid.text_vectors(runs, langid.Letters()), strict=True):
+                low = (vector @ profiles.prototypes.T).max() <= noise
+                want[np.array(langid.LEAST_GRAMS) <= langid.effective_grams(run)] += (1, low)
+            parts = [spread[k : k + langid.RUN_WORDS] for k in range(0, len(spread), langid.RUN_WORDS)]
+            whole = langid.text_vectors([" ".join(part) for part in parts if len(part) >= langid.ODD_WORDS], langid.Letters())
+            low = [x <= noise for x in (whole @ profiles.prototypes.T).max(axis=1, initial=-1)]
+            assert is_odd == (2 * sum(low) > len(low))
+        assert got.tolist() == want.tolist()
+    assert 0 < found[:, 0, 1].sum() < found[:, 0, 0].sum()
